@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import to_day, to_ts
+from ..session import cut_lineage
 from .profiles import block_stats_daily
 
 # Measure name -> column of the daily profile used as y.
@@ -34,15 +35,18 @@ HOUR = 3600
 
 def series(daily: DataFrame, metric: str = "cpus", queues: Sequence[str] | None = None,
            metric_columns: dict[str, str] | None = None) -> DataFrame:
-    """Training rows of one measure: distinct (hour_block, queue, ds, y, date)."""
+    """Training rows of one measure: (hour_block, queue, ds, y, date).
+
+    A usage series has one row per (queue, tick), so the rows are already
+    distinct; no de-duplicating shuffle is spent on them.
+    """
     cols = metric_columns or METRIC_COLUMNS
     src = cols.get(metric, metric)
     if src not in daily.columns:
         raise ValueError(f"unknown measure {metric!r}")
     df = daily if queues is None else daily.filter(F.col("queue").isin(*queues))
     return (df.select(F.lit(metric).alias("metric"), "hour_block", "queue", "second", "ds",
-                      F.col(src).cast("double").alias("y"), "date")
-              .distinct())
+                      F.col(src).cast("double").alias("y"), "date"))
 
 
 def series_all(daily: DataFrame, metrics: Sequence[str] | None = None,
@@ -55,7 +59,7 @@ def series_all(daily: DataFrame, metrics: Sequence[str] | None = None,
     pairs = ", ".join(f"'{m}', cast(`{cols[m]}` as double)" for m in metrics)
     stacked = df.select("hour_block", "queue", "second", "ds", "date",
                         F.expr(f"stack({len(metrics)}, {pairs}) as (metric, y)"))
-    return stacked.select("metric", "hour_block", "queue", "second", "ds", "y", "date").distinct()
+    return stacked.select("metric", "hour_block", "queue", "second", "ds", "y", "date")
 
 
 def fit(train: DataFrame, group: Sequence[str] = ("queue", "metric"),
@@ -133,12 +137,19 @@ def horizon(train: DataFrame, group: Sequence[str] = ("queue", "metric")) -> Dat
     return train.groupBy(*group).agg(F.max("date").alias("last_date"))
 
 
+def materialise(train: DataFrame) -> DataFrame:
+    """Training rows are read by several passes (fit, frame, backtest): write
+    them once to the shared checkpoint folder instead of recomputing the
+    whole series lineage for every pass."""
+    return cut_lineage(train)
+
+
 def forecast_all(series_df: DataFrame, periods: int = 48, step: int = HOUR,
                  tz: str = "UTC", metrics: Sequence[str] | None = None,
                  queues: Sequence[str] | None = None, z: float = Z80) -> DataFrame:
     """Usage series -> daily profiles -> every (queue, measure) forecast."""
     daily = block_stats_daily(series_df, tz=tz)
-    train = series_all(daily, metrics, queues)
+    train = materialise(series_all(daily, metrics, queues))
     model = fit(train, step=step)
     frame = future(train, periods, step, tz=tz)
     return backtest(predict(model, frame, step=step, z=z), train)

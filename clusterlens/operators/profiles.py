@@ -62,12 +62,29 @@ def block_stats(series: DataFrame, keys: Sequence[str] = ("queue", "hour_block")
 
 def block_stats_daily(series: DataFrame, tz: str = "UTC",
                       measures: dict[str, str] | None = None) -> DataFrame:
-    """Both profiles on every row, plus the weekday of the row's date."""
+    """Both profiles on every row, plus the weekday of the row's date.
+
+    One aggregation to (queue, hour_block, date) - sums and counts - feeds
+    both statistics tables; the coarser one is rolled up from that small
+    table, so the series is scanned once for statistics and joined once.
+    """
+    measures = measures or PROFILE_MEASURES
     df = with_hour_block(series, tz=tz) if "hour_block" not in series.columns else series
-    by_block = group_stats(df, ["queue", "hour_block"], "per_block", measures)
-    by_date = group_stats(df, ["queue", "hour_block", "date"], "per_block_per_date", measures)
-    out = (df.join(by_block, on=["queue", "hour_block"], how="inner")
-             .join(by_date, on=["queue", "hour_block", "date"], how="inner"))
+    fine_keys = ["queue", "hour_block", "date"]
+    sums = [F.sum(src).alias(f"_s_{src}") for src in measures]
+    fine = df.groupBy(*fine_keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    coarse = fine.groupBy("queue", "hour_block").agg(
+        F.sum("_n").alias("_cn"), *[F.sum(f"_s_{src}").alias(f"_c_{src}") for src in measures])
+    stats_cols = []
+    for src, label in measures.items():
+        stats_cols += [
+            (F.col(f"_c_{src}") / F.col("_cn")).alias(f"mean_{label}_per_block"),
+            F.col(f"_c_{src}").alias(f"totl_{label}_per_block"),
+            (F.col(f"_s_{src}") / F.col("_n")).alias(f"mean_{label}_per_block_per_date"),
+            F.col(f"_s_{src}").alias(f"totl_{label}_per_block_per_date"),
+        ]
+    stats = fine.join(coarse, on=["queue", "hour_block"]).select(*fine_keys, *stats_cols)
+    out = df.join(stats, on=fine_keys, how="inner")
     return out.withColumn("weekday", weekday("date")).withColumn("weekday_index",
                                                                  weekday_index("date"))
 

@@ -213,8 +213,8 @@ def q_weekdays(spark, sf):
 
 
 def q_hour_blocks(spark, sf):
-    return with_hour_block(_series(spark, sf), "second", LOCAL_TZ).select(
-        "queue", "second", "hour_block", "ds", "date")
+    return _iso(with_hour_block(_series(spark, sf), "second", LOCAL_TZ).select(
+        "queue", "second", "hour_block", "ds", "date"), "date")
 
 
 def q_front_columns(spark, sf):
@@ -224,7 +224,7 @@ def q_front_columns(spark, sf):
 
 
 def q_series_select(spark, sf):
-    return fc.series(_daily(spark, sf), "mem")
+    return _iso(fc.series(_daily(spark, sf), "mem"), "date")
 
 
 # --------------------------------------------------------------------------
@@ -274,9 +274,9 @@ def q_block_stats(spark, sf):
 
 
 def q_block_stats_daily(spark, sf):
-    return _daily(spark, sf).select(*_BLOCK_COLS, "date", "weekday",
-                                    *prof.stat_columns("per_block"),
-                                    *prof.stat_columns("per_block_per_date"))
+    return _iso(_daily(spark, sf).select(*_BLOCK_COLS, "date", "weekday",
+                                         *prof.stat_columns("per_block"),
+                                         *prof.stat_columns("per_block_per_date")), "date")
 
 
 def q_profile_mean(spark, sf):
@@ -296,7 +296,7 @@ def _report_input(spark, sf):
 
 
 def q_data_window(spark, sf):
-    return rep.report_window(_report_input(spark, sf))
+    return _iso(rep.report_window(_report_input(spark, sf)), "window_start", "window_end")
 
 
 def q_cpu_by_day_queue(spark, sf):
@@ -335,9 +335,16 @@ def _r(c):
     return F.round(F.col(c), ROUND).alias(c)
 
 
+def _iso(df, *cols):
+    """DATE columns as ISO text in query output (engines hand dates to pandas
+    differently; text compares the same everywhere)."""
+    return df.select(*[F.col(c).cast("string").alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
 def _train(spark, sf, metric=None):
     daily = _daily(spark, sf)
-    return fc.series_all(daily) if metric is None else fc.series(daily, metric)
+    return fc.materialise(fc.series_all(daily) if metric is None else fc.series(daily, metric))
 
 
 def q_forecast_fit(spark, sf):
@@ -349,10 +356,11 @@ def q_forecast_fit(spark, sf):
 def q_forecast_frame(spark, sf):
     train = _train(spark, sf, "cpus")
     frame = fc.future(train, 48, tz=TZ)
-    return frame.join(fc.horizon(train), on=["queue", "metric"])
+    return _iso(frame.join(fc.horizon(train), on=["queue", "metric"]), "last_date")
 
 
 def _rounded_forecast(df):
+    df = _iso(df, "date")
     return df.select(*[c for c in df.columns if c not in ("yhat", "yhat_lower", "yhat_upper", "y")],
                      _r("yhat"), _r("yhat_lower"), _r("yhat_upper"),
                      *([_r("y")] if "y" in df.columns else []))

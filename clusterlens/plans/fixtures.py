@@ -112,42 +112,42 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
     }
     spec = dict(tpl.group_spec())
     arrays = tpl.array_columns()
-    parts: list[Column] = []
-    scalars: list[Column] = []
-
-    def flush():
-        if scalars:
-            parts.append(F.array(*scalars))
-            scalars.clear()
-
+    # Runs of fixed tokens are plain strings; only groups with a count that
+    # varies by job need an array expression.
+    pieces: list[Column] = []
+    run: list[Column] = []
     for t, name in enumerate(names):
         if t in arrays:
             continue
-        if t in spec:
-            w = spec[t]
-            cnt = counts.get(name, F.lit(0))
+        if t in spec and name in counts:
+            cnt = counts[name]
             tok = cnt.cast("string")
             if name == "num_ex_hosts":
                 tok = F.when(dmg == 12, _q(F.lit("many"))).otherwise(tok)
-            scalars.append(tok)
-            flush()
-            parts.append(_group_values(
-                cnt, w, lambda m, j, _n=name: _q(F.format_string(f"{_n}.{j} %d", m))))
+            run.append(tok)
+            pieces.append(F.concat_ws(" ", *run))
+            run = []
+            vals = _group_values(cnt, spec[t],
+                                 lambda m, j, _n=name: _q(F.format_string(f"{_n}.{j} %d", m)))
+            pieces.append(F.array_join(vals, " "))
             continue
-        if name in known:
-            scalars.append(known[name])
+        if t in spec:
+            run.append(F.lit("0"))
+        elif name in known:
+            run.append(known[name])
         else:
-            kind = tpl.kind(t)
-            scalars.append(F.lit("0") if kind in ("bigint", "double") else F.lit('""'))
-    flush()
-    toks = F.concat(*parts)
-    line = F.concat_ws(" ", F.get(toks, 0),
-                       F.array_join(F.slice(toks, 2, 1 << 30), " "))
-    line = F.when(dmg == 8, F.concat_ws("  ", F.get(toks, 0),
-                                        F.array_join(F.slice(toks, 2, 1 << 30), " "))).otherwise(line)
-    line = F.when(dmg == 7, F.concat(line, F.lit(' "extra"'))).otherwise(line)
-    line = F.when(dmg == 11, F.substring(line, 2, 1 << 30)).otherwise(line)
-    return jobs_df.select(line.alias("value"))
+            run.append(F.lit("0") if tpl.kind(t) in ("bigint", "double") else F.lit('""'))
+    if run:
+        pieces.append(F.concat_ws(" ", *run))
+    head, rest = pieces[0], pieces[1:]
+    # concat_ws skips empty groups' empty strings only when NULL: map '' -> NULL.
+    body = F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in rest])
+    staged = jobs_df.select(dmg.alias("_d"), head.alias("_h"), body.alias("_b"))
+    line = (F.when(F.col("_d") == 8, F.concat_ws("  ", "_h", "_b"))
+            .otherwise(F.concat_ws(" ", "_h", "_b")))
+    line = F.when(F.col("_d") == 7, F.concat(line, F.lit(' "extra"'))).otherwise(line)
+    line = F.when(F.col("_d") == 11, F.substring(line, 2, 1 << 30)).otherwise(line)
+    return staged.select(line.alias("value"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,11 +304,13 @@ SELECT job_id, strftime({_ts('event_time', CHICAGO)}, '%a') AS day_block,
        CAST(dayofweek({_ts('event_time', CHICAGO)}) + 1 AS INTEGER) AS day_index
 FROM jobs""")
 
-SQL["hour_blocks"] = _w(SERIES + _hb(CHICAGO), "SELECT queue, second, hour_block, ds, date FROM hb")
+SQL["hour_blocks"] = _w(SERIES + _hb(CHICAGO),
+                        "SELECT queue, second, hour_block, ds, CAST(date AS VARCHAR) AS date FROM hb")
 
 SQL["front_columns"] = _w(JT, "SELECT * FROM jt")
 
-SQL["series_select"] = _w(_train(("mem",)), "SELECT * FROM train")
+SQL["series_select"] = _w(_train(("mem",)), """
+SELECT metric, hour_block, queue, second, ds, y, CAST(date AS VARCHAR) AS date FROM train""")
 
 # ---- series --------------------------------------------------------------
 SQL["first_event"] = _w(ENTRIES, "SELECT first_event FROM first")
@@ -323,7 +325,7 @@ SELECT queue, second, hour_block, cpus, gpu, mem, {_stat_cols('per_block')}
 FROM hb JOIN by_block USING (queue, hour_block)""")
 
 SQL["block_stats_daily"] = _w(DAILY, f"""
-SELECT queue, second, hour_block, cpus, gpu, mem, date, weekday,
+SELECT queue, second, hour_block, cpus, gpu, mem, CAST(date AS VARCHAR) AS date, weekday,
        {_stat_cols('per_block')}, {_stat_cols('per_block_per_date')}
 FROM daily""")
 
@@ -336,7 +338,8 @@ FROM hb GROUP BY queue, hour_block""")
 
 # ---- reports -------------------------------------------------------------
 SQL["data_window"] = _w(JT, """
-SELECT CAST(min(event_ts) AS DATE) AS window_start, CAST(max(event_ts) AS DATE) AS window_end
+SELECT CAST(CAST(min(event_ts) AS DATE) AS VARCHAR) AS window_start,
+       CAST(CAST(max(event_ts) AS DATE) AS VARCHAR) AS window_end
 FROM jt""")
 
 SQL["cpu_by_day_queue"] = _w(JT, """
@@ -375,7 +378,7 @@ SELECT queue, metric, hour, origin, round(slope, 4) AS slope, round(intercept, 4
 FROM model""")
 
 SQL["forecast_frame"] = _w(_train(("cpus",)) + FIT, """
-SELECT f.queue, f.metric, f.second, f.ds, h.last_date
+SELECT f.queue, f.metric, f.second, f.ds, CAST(h.last_date AS VARCHAR) AS last_date
 FROM frame f JOIN (SELECT queue, metric, max(date) AS last_date FROM train GROUP BY queue, metric) h
   USING (queue, metric)""")
 
@@ -383,7 +386,8 @@ SQL["forecast"] = _w(_train(("cpus",)) + FIT, f"""
 SELECT queue, metric, second, ds, {_FC_COLS} FROM fcst""")
 
 _BACKTEST = f"""
-SELECT f.queue, f.metric, f.second, f.ds, t.date, {_FC_COLS}, round(t.y, 4) AS y
+SELECT f.queue, f.metric, f.second, f.ds, CAST(t.date AS VARCHAR) AS date, {_FC_COLS},
+       round(t.y, 4) AS y
 FROM fcst f LEFT JOIN train t USING (queue, metric, second)"""
 SQL["forecast_backtest"] = _w(_train(("cpus",)) + FIT, _BACKTEST)
 SQL["forecast_all"] = _w(_train(_ALL) + FIT, _BACKTEST)
