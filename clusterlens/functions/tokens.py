@@ -9,7 +9,7 @@ from ._util import as_col
 
 # A field is a maximal run of non-space characters and "quoted" sections
 # (which may hold spaces). Possessive quantifiers keep the match linear.
-TOKEN_PATTERN = r'((?:[^ "]|"[^"]*+")++)'
+TOKEN_PATTERN = r'((?:[^ "]++|"[^"]*+")++)'
 
 # Characters Python's str.strip() removes at the ends of a line.
 _WS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -50,8 +50,13 @@ def has_empty_segment(line, tokens) -> Column:
         F.length(as_col(line)) != F.length(F.array_join(as_col(tokens), " ")))
 
 
+def unquote(t) -> Column:
+    """A field that starts with a quote loses all its leading and trailing
+    quotes; inner (doubled) quotes stay. Other fields are unchanged."""
+    t = as_col(t)
+    return F.when(t.startswith('"'), F.btrim(t, F.lit('"'))).otherwise(t)
+
+
 def strip_quotes(tokens) -> Column:
-    """Drop leading and trailing quotes of fields that start with one."""
-    return F.transform(
-        as_col(tokens),
-        lambda t: F.when(t.startswith('"'), F.regexp_replace(t, r'^"+|"+$', "")).otherwise(t))
+    """:func:`unquote` applied to every field of an array."""
+    return F.transform(as_col(tokens), unquote)

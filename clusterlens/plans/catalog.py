@@ -55,8 +55,8 @@ def _series(spark, sf, method="explode"):
     return ser.usage_series(_entries(spark, sf), method=method)
 
 
-def _parsed(spark, sf):
-    return P.parse_log(fx.lines(spark, sf))
+def _parsed(spark, sf, fields=None):
+    return P.parse_log(fx.lines(spark, sf), fields=fields)
 
 
 def _daily(spark, sf):
@@ -97,12 +97,12 @@ PARSE_COLUMNS = [
 
 
 def q_log_parse(spark, sf):
-    rows = P.parsed_rows(_parsed(spark, sf))
+    rows = P.parsed_rows(_parsed(spark, sf, PARSE_COLUMNS))
     return rows.select(*PARSE_COLUMNS)
 
 
 def q_log_status_counts(spark, sf):
-    return P.parse_audit(_parsed(spark, sf))
+    return P.parse_audit(_parsed(spark, sf, []))
 
 
 def q_log_groups(spark, sf):

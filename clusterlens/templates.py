@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: field order of each record type, as the log writes them.
@@ -132,30 +133,45 @@ class Template:
     ints: list[str] = field(default_factory=list)
     floats: list[str] = field(default_factory=list)
 
-    @property
+    @cached_property
     def columns(self) -> list[str]:
         return unique_snake_names(self.fields)
 
     def group_spec(self) -> list[tuple[int, int]]:
         """(template index of the count field, width) in log order."""
-        return [(self.fields.index(f), w) for f, w in self.groups]
+        return list(self._spec)
+
+    @cached_property
+    def _spec(self) -> tuple[tuple[int, int], ...]:
+        return tuple((self.fields.index(f), w) for f, w in self.groups)
 
     def array_columns(self) -> set[int]:
+        return set(self._arrays)
+
+    @cached_property
+    def _arrays(self) -> frozenset[int]:
         out = set()
-        for i, w in self.group_spec():
+        for i, w in self._spec:
             out.update(range(i + 1, i + 1 + w))
-        return out
+        return frozenset(out)
+
+    @cached_property
+    def _kinds(self) -> tuple[str, ...]:
+        out = []
+        for i, name in enumerate(self.fields):
+            if i in self._arrays:
+                out.append("array")
+            # A repeated name (rsvId) is typed like its first occurrence.
+            elif name in self.ints:
+                out.append("bigint")
+            elif name in self.floats:
+                out.append("double")
+            else:
+                out.append("string")
+        return tuple(out)
 
     def kind(self, i: int) -> str:
-        if i in self.array_columns():
-            return "array"
-        name = self.fields[i]
-        # A repeated name (rsvId) is typed like its first occurrence.
-        if name in self.ints:
-            return "bigint"
-        if name in self.floats:
-            return "double"
-        return "string"
+        return self._kinds[i]
 
 
 TEMPLATES = {

@@ -187,3 +187,22 @@ def test_audit_and_quarantine(spark):
     assert audit == {"ok": 1, "bad_width": 1}
     q = P.quarantine(parsed).collect()
     assert len(q) == 1 and q[0].line.endswith('"x"')
+
+
+def test_engines_agree(spark):
+    from clusterlens.plans import fixtures as fx
+    extra = [_finish_line(), _finish_line(host_count="9"), _finish_line(host_count="-2"),
+             _finish_line(extra=' "x"'), "", '"A" "B', 'x"y z"w "q', "   ", '"JOB_FINISH"  1',
+             _finish_line(ex_hosts=("a b", 'c""d')), _finish_line(gpu=3)]
+    lines = fx.lines(spark, "/root/testdata/sf0.001").unionByName(
+        spark.createDataFrame([(s,) for s in extra], "value string"))
+    a = P.parse_log(lines, engine="arrow")
+    b = P.parse_log(lines, engine="sql")
+    assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema]
+    assert a.count() == b.count()
+    # Same status for every line; same values for every accepted line.
+    sa, sb = a.select("line", "status"), b.select("line", "status")
+    assert sa.exceptAll(sb).count() == 0 and sb.exceptAll(sa).count() == 0
+    oa, ob = a.filter("status = 'ok'"), b.filter("status = 'ok'")
+    assert oa.count() > 1000
+    assert oa.exceptAll(ob).count() == 0 and ob.exceptAll(oa).count() == 0
