@@ -182,25 +182,33 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     rtype = unquote(F.get(raw, 0))
 
     fields_ = _field_exprs(tpl, raw, fold)
-    # Stage 3: typed fields and status in one projection; the casts shared
-    # by both are evaluated once (subexpression elimination).
+    keep_cols = [(n, v, k) for (n, v, k) in fields_
+                 if fields is None or n in set(fields) or k in ("bigint", "double")]
+    # Stage 3: typed fields, materialised so that status and any later
+    # filter read plain columns (a filter pushed into 135 aliased
+    # expressions makes constraint inference blow up at planning time).
+    s3 = stage(s2.select(
+        *(["_line"] if keep_line else []),
+        F.col("_empty"), rtype.alias("_type"), fold["ok"].alias("_fold_ok"),
+        (F.size(raw) - fold["shift"]).alias("_width"),
+        *[v.alias(n) for (n, v, _) in keep_cols]))
     any_missing = F.lit(False)
-    for _, v, k in fields_:
+    for n, _, k in keep_cols:
         if k in ("bigint", "double"):
-            any_missing = any_missing | v.isNull()
+            any_missing = any_missing | F.col(n).isNull()
     status = (F.when(F.col("_empty"), F.lit(EMPTY_SEGMENT))
-              .when(rtype.isin(*UNSUPPORTED_TYPES), F.lit(UNSUPPORTED_TYPE))
-              .when(~rtype.isin(*known), F.lit(UNKNOWN_TYPE))
-              .when(rtype != F.lit(record_type), F.lit(OTHER_TYPE))
-              .when(~fold["ok"], F.lit(BAD_GROUP))
-              .when(F.size(raw) - fold["shift"] != F.lit(len(tpl.fields)), F.lit(BAD_WIDTH))
+              .when(F.col("_type").isin(*UNSUPPORTED_TYPES), F.lit(UNSUPPORTED_TYPE))
+              .when(~F.col("_type").isin(*known), F.lit(UNKNOWN_TYPE))
+              .when(F.col("_type") != F.lit(record_type), F.lit(OTHER_TYPE))
+              .when(~F.col("_fold_ok"), F.lit(BAD_GROUP))
+              .when(F.col("_width") != F.lit(len(tpl.fields)), F.lit(BAD_WIDTH))
               .when(any_missing, F.lit(BAD_TYPE))
               .otherwise(F.lit(OK)))
     cols = [status.alias("status")]
     if keep_line:
         cols.append(F.col("_line").alias("line"))
-    cols += [v.alias(n) for (n, v, _) in fields_ if fields is None or n in set(fields)]
-    return s2.select(*cols)
+    cols += [F.col(n) for (n, _, _) in fields_ if fields is None or n in set(fields)]
+    return s3.select(*cols)
 
 
 def parsed_rows(parsed: DataFrame) -> DataFrame:
