@@ -33,6 +33,10 @@ DEFAULT_MEASURES = {
 }
 
 
+# Grid step (seconds) below which ``method='auto'`` sweeps instead of exploding.
+SWEEP_BELOW_STEP = 300
+
+
 def first_event(entries: DataFrame, end_col: str = "approx_end") -> DataFrame:
     """One-row table: the first observed (rounded) end time."""
     return entries.agg(F.min(end_col).alias("first_event"))
@@ -90,8 +94,13 @@ def usage_series(entries: DataFrame, group: Sequence[str] = ("queue",),
 
     A ``sentinel`` value (-1) counts as missing; missing values are skipped,
     an all-missing sum is 0. Only ticks with at least one active job appear.
+    ``method``: ``explode``, ``sweep`` or ``auto`` (sweep when the grid is
+    finer than ``SWEEP_BELOW_STEP`` seconds, where exploding every job into
+    ticks multiplies the rows by the job length in steps).
     """
     measures = dict(measures or DEFAULT_MEASURES)
+    if method == "auto":
+        method = "sweep" if step < SWEEP_BELOW_STEP else "explode"
     if method == "sweep":
         return usage_sweep(entries, group, step, measures, start_col, end_col,
                            tick_col, sentinel, clamp, closed, first=first)
@@ -124,13 +133,13 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
     # active job has the value, like the exploded sum.
     plus = [F.coalesce(vals[n], F.lit(0)).cast("bigint").alias(f"d_{n}") for n in names]
     minus = [(-F.coalesce(vals[n], F.lit(0))).cast("bigint").alias(f"d_{n}") for n in names]
-    up = df.select(*group, phase.alias("_ph"), F.col("_s").alias("_t"),
-                   F.lit(1).cast("bigint").alias("d_n"), *plus)
-    down = df.select(*group, phase.alias("_ph"), (last + step).alias("_t"),
-                     F.lit(-1).cast("bigint").alias("d_n"), *minus)
+    # Both change points of a job come out of one pass over the jobs.
+    points = df.select(*group, phase.alias("_ph"), F.inline(F.array(
+        F.struct(F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("d_n"), *plus),
+        F.struct((last + step).alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus))))
     dcols = ["d_n"] + [f"d_{n}" for n in names]
     # Map-side partial sums collapse the change points before the shuffle.
-    cp = (up.unionByName(down)
+    cp = (points
           .groupBy(*group, "_ph", "_t")
           .agg(*[F.sum(c).alias(c) for c in dcols]))
     width = step * block_ticks

@@ -60,7 +60,7 @@ def _parsed(spark, sf, fields=None):
 
 
 def _daily(spark, sf):
-    return prof.block_stats_daily(_series(spark, sf, "sweep"), tz=TZ)
+    return prof.block_stats_daily(_series(spark, sf, "auto"), tz=TZ)
 
 
 def _hosts(spark, sf):
@@ -269,7 +269,7 @@ _BLOCK_COLS = ["queue", "second", "hour_block", "cpus", "gpu", "mem"]
 
 
 def q_block_stats(spark, sf):
-    df = prof.block_stats(_series(spark, sf, "sweep"), tz=TZ)
+    df = prof.block_stats(_series(spark, sf, "auto"), tz=TZ)
     return df.select(*_BLOCK_COLS, *prof.stat_columns("per_block"))
 
 
@@ -280,11 +280,11 @@ def q_block_stats_daily(spark, sf):
 
 
 def q_profile_mean(spark, sf):
-    return prof.hour_profile(_series(spark, sf, "sweep"), "mean", "cpus", tz=TZ)
+    return prof.hour_profile(_series(spark, sf, "auto"), "mean", "cpus", tz=TZ)
 
 
 def q_profile_total(spark, sf):
-    return prof.hour_profile(_series(spark, sf, "sweep"), "sum", "cpus", tz=TZ)
+    return prof.hour_profile(_series(spark, sf, "auto"), "sum", "cpus", tz=TZ)
 
 
 # --------------------------------------------------------------------------
@@ -379,7 +379,7 @@ def q_forecast_backtest(spark, sf):
 
 
 def q_forecast_all(spark, sf):
-    return _rounded_forecast(fc.forecast_all(_series(spark, sf, "sweep"), tz=TZ))
+    return _rounded_forecast(fc.forecast_all(_series(spark, sf, "auto"), tz=TZ))
 
 
 # --------------------------------------------------------------------------
@@ -392,7 +392,7 @@ def q_queue_nodes(spark, sf):
 
 
 def q_utilisation(spark, sf):
-    util = cap.utilisation(_series(spark, sf, "sweep"), _capacity(spark, sf))
+    util = cap.utilisation(_series(spark, sf, "auto"), _capacity(spark, sf))
     return util.select("queue", "second", "cpus", "total_cores", _r("utilisation"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import ntz_to_epoch
+from ..session import spread
 from ..templates import TEMPLATES
 
 
@@ -29,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished-job rows: the report input and the source of every series."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "ts", "value", "props"))
     ep = ntz_to_epoch(F.col("ts"))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     run = F.floor(F.col("value") * 100).cast("bigint")

@@ -70,3 +70,18 @@ def is_local_path(p: str) -> bool:
 def ensure_parent(p: str) -> None:
     if is_local_path(p):
         os.makedirs(os.path.dirname(p.replace("file:", "")) or ".", exist_ok=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Fan a narrow input out over the cluster when it arrives in too few
+    splits (one Parquet row group, a gzip log file): round-robin to the
+    default parallelism so the per-row work after the scan (parsing, tick
+    explosion) runs on every core. Inputs that already have at least that
+    many splits - the normal case for large tables - are left untouched, so
+    no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

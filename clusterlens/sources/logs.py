@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import where_type  # noqa: F401  (re-exported)
+from ..session import spread
 
 
 def read_log(spark: SparkSession, path: str, drop_bad_bytes: bool = True) -> DataFrame:
     """Log lines (column ``value``), one per line, split across tasks by file
     block. Undecodable bytes arrive as U+FFFD and are removed, like a reader
     that ignores decode errors."""
-    df = spark.read.option("wholetext", False).text(path)
+    # Compressed logs are not splittable: fan a few big files out.
+    df = spread(spark.read.option("wholetext", False).text(path))
     if drop_bad_bytes:
         df = df.select(F.regexp_replace("value", "\ufffd", "").alias("value"))
     return df
