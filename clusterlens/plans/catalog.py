@@ -30,7 +30,10 @@ from . import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 TZ = "UTC"
 LOCAL_TZ = "America/Chicago"
-ROUND = 4  # forecast numbers are compared to 4 decimals
+# Model numbers are reported to 7 significant digits: sums of doubles run in
+# a different order on every partitioning (and in every engine), which moves
+# the last bits; fixed decimals would flip on values near a rounding edge.
+SIG_DIGITS = 7
 
 
 # --------------------------------------------------------------------------
@@ -332,7 +335,7 @@ def q_cpu_by_hour_queue(spark, sf):
 # --------------------------------------------------------------------------
 
 def _r(c):
-    return F.round(F.col(c), ROUND).alias(c)
+    return signif(F.col(c), SIG_DIGITS).alias(c)
 
 
 def _iso(df, *cols):
@@ -393,7 +396,8 @@ def q_queue_nodes(spark, sf):
 
 def q_utilisation(spark, sf):
     util = cap.utilisation(_series(spark, sf, "auto"), _capacity(spark, sf))
-    return util.select("queue", "second", "cpus", "total_cores", _r("utilisation"))
+    return util.select("queue", "second", "cpus", "total_cores",
+                       F.round("utilisation", 4).alias("utilisation"))
 
 
 def q_orphan_groups(spark, sf):

@@ -170,8 +170,11 @@ fcst AS (
   FROM pred
 )"""
 
-_R = "round({0}, 4) AS {0}"
-_FC_COLS = ", ".join(_R.format(c) for c in ("yhat", "yhat_lower", "yhat_upper"))
+def _sig(c: str) -> str:
+    return f"{_signif(c, 7)} AS {c.split('.')[-1]}"
+
+
+_FC_COLS = ", ".join(_sig(c) for c in ("yhat", "yhat_lower", "yhat_upper"))
 
 
 def _w(ctes: str, body: str) -> str:
@@ -372,9 +375,9 @@ FROM jt GROUP BY hour_block, queue""")
 
 # ---- forecast ------------------------------------------------------------
 _ALL = ("cpus", "gpus", "mem")
-SQL["forecast_fit"] = _w(_train(_ALL) + FIT, """
-SELECT queue, metric, hour, origin, round(slope, 4) AS slope, round(intercept, 4) AS intercept,
-       round(effect, 4) AS effect, round(sd, 4) AS sd, n
+SQL["forecast_fit"] = _w(_train(_ALL) + FIT, f"""
+SELECT queue, metric, hour, origin, {_sig('slope')}, {_sig('intercept')},
+       {_sig('effect')}, {_sig('sd')}, n
 FROM model""")
 
 SQL["forecast_frame"] = _w(_train(("cpus",)) + FIT, """
@@ -387,7 +390,7 @@ SELECT queue, metric, second, ds, {_FC_COLS} FROM fcst""")
 
 _BACKTEST = f"""
 SELECT f.queue, f.metric, f.second, f.ds, CAST(t.date AS VARCHAR) AS date, {_FC_COLS},
-       round(t.y, 4) AS y
+       {_sig('t.y')}
 FROM fcst f LEFT JOIN train t USING (queue, metric, second)"""
 SQL["forecast_backtest"] = _w(_train(("cpus",)) + FIT, _BACKTEST)
 SQL["forecast_all"] = _w(_train(_ALL) + FIT, _BACKTEST)

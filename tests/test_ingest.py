@@ -57,3 +57,22 @@ def test_parquet_round_trip_and_compute(spark, tmp_path):
     assert back.schema == rows.schema and back.exceptAll(rows).count() == 0
     again = compute(back.filter("queue = 'view'"), "views")
     assert again.count() == rows.filter("queue = 'view'").count()
+
+
+def test_read_log_drops_bad_bytes_and_filters_type(spark, tmp_path):
+    from clusterlens.sources.logs import read_log
+    p = tmp_path / "acct.log"
+    p.write_bytes(b'"JOB_FINISH" "10.1" 1 \xff\xfe2\n"JOB_RESIZE" 1\n JOB_FINISH" 3\n')
+    df = read_log(spark, str(p))
+    vals = sorted(r.value for r in df.collect())
+    assert '"JOB_FINISH" "10.1" 1 2' in vals
+    assert where_type(df, "JOB_FINISH").count() == 2
+
+
+def test_metric_and_front(spark):
+    import pytest
+    from clusterlens.operators.clean import metric
+    df = spark.createDataFrame([(1, 2)], "cpus bigint, mem bigint")
+    assert metric(df, "mem").first().y == 2
+    with pytest.raises(ValueError):
+        metric(df, "disk")
