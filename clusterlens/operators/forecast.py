@@ -63,12 +63,15 @@ def series_all(daily: DataFrame, metrics: Sequence[str] | None = None,
 
 
 def fit(train: DataFrame, group: Sequence[str] = ("queue", "metric"),
-        step: int = HOUR) -> DataFrame:
-    """Fit trend + hour-of-day effect per group.
-
-    Returns 24 rows per group: group keys, ``hour``, ``origin`` (first tick),
-    ``slope`` and ``intercept`` (per ``step`` seconds), ``effect`` (0 for an
-    hour without history), ``sd`` and ``n`` (training rows).
+        step: int = HOUR, weekly: bool = False) -> DataFrame:
+    """Fit trend + hour-of-day effect (+ weekday effect) per group.
+
+    Returns 24 rows per group (24 x 7 with ``weekly``): group keys,
+    ``hour`` (and ``dow``, 1 = Sunday), ``origin`` (first tick), ``slope``
+    and ``intercept`` (per ``step`` seconds), ``effect`` (0 for a slot
+    without history), ``sd`` and ``n`` (training rows). The weekday effect
+    is the mean of what the hour effect leaves, per weekday; use it when the
+    history covers at least two weeks.
     """
     group = list(group)
     origin = train.groupBy(*group).agg(F.min("second").alias("origin"))
@@ -83,18 +86,27 @@ def fit(train: DataFrame, group: Sequence[str] = ("queue", "metric"),
                          F.when(F.col("_b").isNull(), F.col("_m")).otherwise(F.col("_a"))
                           .alias("intercept"))
     resid = (df.join(trend.drop("origin"), on=group)
-               .select(*group, F.hour("ds").alias("hour"),
+               .select(*group, F.hour("ds").alias("hour"), F.dayofweek("ds").alias("dow"),
                        (F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))).alias("r")))
     effect = resid.groupBy(*group, "hour").agg(F.avg("r").alias("effect"))
-    left = (resid.join(effect, on=[*group, "hour"])
-                 .groupBy(*group)
-                 .agg(F.sqrt(F.avg(F.pow(F.col("r") - F.col("effect"), 2))).alias("sd")))
-    hours = trend.select(*group, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    return (hours.join(effect, on=[*group, "hour"], how="left")
-                 .join(trend, on=group)
-                 .join(left, on=group)
-                 .select(*group, "hour", "origin", "slope", "intercept",
-                         F.coalesce("effect", F.lit(0.0)).alias("effect"), "sd", "n"))
+    rest = (resid.join(effect, on=[*group, "hour"])
+                 .select(*group, "dow", (F.col("r") - F.col("effect")).alias("r2")))
+    slots = trend.select(*group, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    keys = [*group, "hour"]
+    if weekly:
+        weff = rest.groupBy(*group, "dow").agg(F.avg("r2").alias("weffect"))
+        rest = (rest.join(weff, on=[*group, "dow"])
+                    .select(*group, (F.col("r2") - F.col("weffect")).alias("r2")))
+        slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow"))
+        keys = [*group, "hour", "dow"]
+    left = rest.groupBy(*group).agg(F.sqrt(F.avg(F.pow(F.col("r2"), 2))).alias("sd"))
+    model = slots.join(effect, on=[*group, "hour"], how="left")
+    eff = F.coalesce("effect", F.lit(0.0))
+    if weekly:
+        model = model.join(weff, on=[*group, "dow"], how="left")
+        eff = eff + F.coalesce("weffect", F.lit(0.0))
+    return (model.join(trend, on=group).join(left, on=group)
+                 .select(*keys, "origin", "slope", "intercept", eff.alias("effect"), "sd", "n"))
 
 
 def future(train: DataFrame, periods: int = 48, step: int = HOUR,
@@ -116,7 +128,9 @@ def predict(model: DataFrame, frame: DataFrame, group: Sequence[str] = ("queue",
             step: int = HOUR, z: float = Z80) -> DataFrame:
     """yhat with lower/upper bound for every frame row."""
     group = list(group)
-    df = frame.withColumn("hour", F.hour("ds")).join(model, on=[*group, "hour"])
+    keys = [*group, "hour", "dow"] if "dow" in model.columns else [*group, "hour"]
+    df = (frame.withColumn("hour", F.hour("ds")).withColumn("dow", F.dayofweek("ds"))
+               .join(model, on=keys))
     t = (F.col("second") - F.col("origin")) / F.lit(float(step))
     yhat = F.col("intercept") + F.col("slope") * t + F.col("effect")
     return df.select(*group, "second", "ds", yhat.alias("yhat"),

@@ -120,3 +120,24 @@ def test_forecast_single_point(spark):
     train = fc.series(prof.block_stats_daily(series), "cpus")
     out = fc.predict(fc.fit(train), fc.future(train, periods=3)).collect()
     assert len(out) == 4 and all(abs(r.yhat - 7.0) < 1e-9 for r in out)
+
+
+def test_forecast_weekly_effect(spark):
+    rows = []
+    for i in range(24 * 28):                       # four weeks, hourly
+        s = 1704067200 + i * 3600                  # 2024-01-01 (a Monday)
+        bump = 30 if (i // 24) % 7 == 5 else 0     # Saturdays are busy
+        rows.append(("a", s, 50 + bump, 0, 0))
+    series = spark.createDataFrame(rows, "queue string, second bigint, cpus bigint, gpu bigint, mem bigint")
+    train = fc.series(prof.block_stats_daily(series), "cpus")
+    plain = fc.fit(train)
+    weekly = fc.fit(train, weekly=True)
+    assert plain.count() == 24 and weekly.count() == 24 * 7
+    frame = fc.future(train, periods=24 * 7)
+    out = fc.predict(weekly, frame).filter(F.col("second") > 1704067200 + 24 * 28 * 3600)
+    sat = out.filter(F.dayofweek("ds") == 7).agg(F.avg("yhat")).first()[0]
+    tue = out.filter(F.dayofweek("ds") == 3).agg(F.avg("yhat")).first()[0]
+    assert sat - tue > 25
+    sd_w = weekly.first().sd
+    sd_p = plain.first().sd
+    assert sd_w < sd_p
