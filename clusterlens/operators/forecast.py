@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import to_day, to_ts
+from ..functions.time import to_ts
 from ..session import cut_lineage
 from .profiles import block_stats_daily
 
@@ -170,4 +170,4 @@ def forecast_all(series_df: DataFrame, periods: int = 48, step: int = HOUR,
 
 
 __all__ = ["series", "series_all", "fit", "future", "predict", "backtest", "horizon",
-           "forecast_all", "to_day"]
+           "materialise", "forecast_all"]

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import to_ts, weekday, weekday_index
+from ..functions.time import weekday, weekday_index
 from .clean import with_hour_block
 
 # Measure of the series -> the name used in profile columns.
@@ -105,4 +105,4 @@ def hour_profile(series: DataFrame, stat: str = "mean", measure: str = "cpus",
 
 
 __all__ = ["block_stats", "block_stats_daily", "hour_profile", "group_stats",
-           "stat_columns", "to_ts"]
+           "stat_columns"]
