@@ -89,3 +89,37 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if splits >= target:
         return df
     return df.repartition(target)
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                 partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster run (e.g. 100 TB of logs on 1000 executors).
+
+    * input splits of ``partition_bytes`` (text and Parquet alike), so a task
+      reads a bounded slice whatever the total size;
+    * the first shuffle starts with enough partitions for the whole input
+      (never fewer than the cores), and AQE coalesces them to
+      ``partition_bytes`` after each stage and splits skewed ones - a queue
+      holding a third of all rows is cut into many tasks at joins;
+    * broadcasts only below AQE's measured 64 MB; every join falls back to
+      a shuffle join above it;
+    * Arrow batches of 10,000 lines for the vectorised parser (a few MB per
+      batch per Python worker).
+
+    ``spark.checkpoint.dir`` is not set here: it must name the shared folder
+    of the cluster, and :func:`scratch_dir` reads it from the session.
+    """
+    cores = executors * cores_per_executor
+    initial = max(cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -87,3 +87,17 @@ def test_grid_rounding(spark):
     df = spark.createDataFrame([(1682116500, 1682117500)], "start_time bigint, event_time bigint")
     r = with_grid_times(df).first()
     assert (r.approx_start, r.approx_end) == (1682116000, 1682118000)
+
+
+def test_hot_queue_is_split_into_blocks(spark):
+    # One queue holds most jobs; the sweep's running sum still runs per time
+    # block, so the largest window partition is bounded by block_ticks.
+    rows = [(i, "hot", 1000 * (i % 500), 1000 * (i % 500) + 5000, 1, 1, 1, 1, 1) for i in range(3000)]
+    rows += [(10000 + i, "cold", 1000 * i, 1000 * i + 2000, 1, 1, 1, 1, 1) for i in range(100)]
+    df = _df(spark, rows)
+    a = S.usage_series(df, clamp=False)
+    b = S.usage_sweep(df, clamp=False, block_ticks=16)
+    assert sorted(a.collect()) == sorted(b.collect())
+    blocks = (df.filter("queue = 'hot'")
+                .select(F.floor(F.col("approx_start") / (1000 * 16)).alias("b")).distinct().count())
+    assert blocks > 20
