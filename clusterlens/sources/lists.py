@@ -1,4 +1,4 @@
-"""Ragged reference lists (``key,v1,v2,...`` per line) and queue capacity."""
+"""Ragged lookup lists (``key,v1,v2,...`` per line) and queue capacity."""
 
 from __future__ import annotations
 

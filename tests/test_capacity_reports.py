@@ -1,4 +1,4 @@
-"""Reference lists, capacity, reports, positions and small profile/forecast cases."""
+"""Lookup lists, capacity, reports, positions and small profile/forecast cases."""
 
 import os
 
