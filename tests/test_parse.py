@@ -206,3 +206,78 @@ def test_engines_agree(spark):
     oa, ob = a.filter("status = 'ok'"), b.filter("status = 'ok'")
     assert oa.count() > 800
     assert oa.exceptAll(ob).count() == 0 and ob.exceptAll(oa).count() == 0
+
+
+def _model_status(line):
+    """Brute-force model of the status rules, one line at a time."""
+    tpl = TEMPLATES["JOB_FINISH"]
+    s = line.strip()
+    if not s:
+        return "empty_segment"
+    if s[0] != '"':
+        s = '"' + s
+    segs = py_segments(s)
+    if any(len(x) == 0 for x in segs):
+        return "empty_segment"
+    segs = [x.strip('"') if x.startswith('"') else x for x in segs]
+    if segs[0] == "EVENT_ADRSV_FINISH":
+        return "unsupported_type"
+    if segs[0] not in TEMPLATES:
+        return "unknown_type"
+    if segs[0] != "JOB_FINISH":
+        return "other_type"
+    spec = tpl.group_spec()
+    shift, shifts = 0, []
+    for i, w in spec:
+        p = i + shift
+        try:
+            c = int(segs[p])
+        except (IndexError, ValueError):
+            return "bad_group"
+        n = max(c, 0)
+        if p + n * w >= len(segs):
+            return "bad_group"
+        shifts.append(shift)
+        shift += (n - 1) * w
+    shifts.append(shift)
+    if len(segs) - shift != len(tpl.fields):
+        return "bad_width"
+    for t in range(len(tpl.fields)):
+        kind = tpl.kind(t)
+        if kind not in ("bigint", "double"):
+            continue
+        v = segs[t + shifts[sum(1 for i, _ in spec if i < t)]]
+        try:
+            int(v) if kind == "bigint" else float(v)
+        except ValueError:
+            return "bad_type"
+        if v == "":
+            return "bad_type"
+    return "ok"
+
+
+def test_random_damage_against_model(spark):
+    rnd = random.Random(11)
+    lines = []
+    for k in range(400):
+        toks = _finish_line(ex_hosts=tuple(f"h {m}" for m in range(rnd.randint(0, 3))),
+                            gpu=rnd.randint(0, 2)).split(" ")
+        for _ in range(rnd.randint(0, 3)):
+            op = rnd.random()
+            pos = rnd.randrange(len(toks))
+            if op < 0.25:
+                toks.pop(pos)
+            elif op < 0.5:
+                toks.insert(pos, rnd.choice(['"x"', "0", '""', "7"]))
+            elif op < 0.75:
+                toks[pos] = rnd.choice(["-1", "2", "abc", '"3"', "1.5", "99"])
+            else:
+                toks[pos] = toks[pos] + rnd.choice(['"', " ", ""])
+        lines.append(" ".join(toks))
+    want = [_model_status(s) for s in lines]
+    assert len(set(want)) >= 4
+    df = spark.createDataFrame([(s,) for s in lines], "value string")
+    for engine in ("arrow", "sql"):
+        got = [r.status for r in P.parse_log(df, engine=engine).select("status").collect()]
+        diffs = [(s, g, w) for s, g, w in zip(lines, got, want) if g != w]
+        assert not diffs, (engine, diffs[:3])
