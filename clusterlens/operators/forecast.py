@@ -160,11 +160,13 @@ def materialise(train: DataFrame) -> DataFrame:
 
 def forecast_all(series_df: DataFrame, periods: int = 48, step: int = HOUR,
                  tz: str = "UTC", metrics: Sequence[str] | None = None,
-                 queues: Sequence[str] | None = None, z: float = Z80) -> DataFrame:
-    """Usage series -> daily profiles -> every (queue, measure) forecast."""
+                 queues: Sequence[str] | None = None, z: float = Z80,
+                 weekly: bool = False) -> DataFrame:
+    """Usage series -> daily profiles -> every (queue, measure) forecast
+    (``weekly`` adds the weekday effect, for histories of two weeks or more)."""
     daily = block_stats_daily(series_df, tz=tz)
     train = materialise(series_all(daily, metrics, queues))
-    model = fit(train, step=step)
+    model = fit(train, step=step, weekly=weekly)
     frame = future(train, periods, step, tz=tz)
     return backtest(predict(model, frame, step=step, z=z), train)
 

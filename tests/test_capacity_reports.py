@@ -141,3 +141,14 @@ def test_forecast_weekly_effect(spark):
     sd_w = weekly.first().sd
     sd_p = plain.first().sd
     assert sd_w < sd_p
+
+
+def test_forecast_all_weekly_runs(spark):
+    from clusterlens.operators.clean import log_entries
+    from clusterlens.operators.series import usage_series
+    from clusterlens.plans import fixtures as fx
+    series = usage_series(log_entries(fx.jobs(spark, "/root/testdata/sf0.001")))
+    a = fc.forecast_all(series, periods=6)
+    b = fc.forecast_all(series, periods=6, weekly=True)
+    assert a.count() == b.count() > 0
+    assert b.filter("yhat is null").count() == 0
