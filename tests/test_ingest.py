@@ -76,3 +76,21 @@ def test_metric_and_front(spark):
     assert metric(df, "mem").first().y == 2
     with pytest.raises(ValueError):
         metric(df, "disk")
+
+
+def test_batch_run_end_to_end(spark, tmp_path):
+    from clusterlens.operators.parse import parse_audit
+    from clusterlens.plans import batch
+    lines = fx.lines(spark, SF)
+    src = str(tmp_path / "logs")
+    lines.write.text(src)
+    paths = batch.run(spark, src, str(tmp_path / "out"), periods=6)
+    rd = lambda n: spark.read.parquet(paths[n])
+    direct = usage_series(log_entries(parsed_rows(parse_log(where_type(lines)))))
+    assert rd("series").count() == direct.count() > 0
+    assert rd("series").exceptAll(direct).count() == 0
+    audit = {r.status: r.n_lines for r in rd("audit").collect()}
+    assert audit == {r.status: r.n_lines for r in parse_audit(parse_log(where_type(lines))).collect()}
+    assert rd("quarantine").count() == sum(v for k, v in audit.items() if k != "ok")
+    assert rd("forecast").count() > rd("series").select("queue").distinct().count() * 3 * 6
+    assert rd("profiles_daily").count() == direct.count()
