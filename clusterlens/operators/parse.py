@@ -137,7 +137,7 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
 
     ``engine="arrow"`` (default) runs the vectorised batch parser of
     :mod:`.parse_arrow` through ``mapInArrow``; ``engine="sql"`` builds the
-    same result from Spark expressions only (about 10x slower: the
+    same result from Spark expressions only (4-10x slower as measured: the
     per-field array functions are evaluated without code generation).
     ``fields`` keeps only those template columns (all by default): columns
     are pruned at the parse, as a columnar scan would prune them.
