@@ -58,3 +58,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["queue", "hour_block", "mean_cpus_per_block"]
+
+
+@pytest.mark.parametrize("name", ["log_parse", "signif_grid", "usage_sweep", "forecast_fit"])
+def test_query_matches_oracle_without_ansi(spark, con, name):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = _rows(E.queries()[name](spark, SF).toPandas())
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
+    assert got == _rows(con.execute(E.oracle_sql()[name]).df())
