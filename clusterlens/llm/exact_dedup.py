@@ -46,6 +46,8 @@ class DigestIndex:
         self.spark, self.path = spark, path
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()[:12]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} "
             "(digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
