@@ -59,7 +59,8 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, fresh: DataFrame, batch: str) -> None:
-        """Write the rows of one batch; the same batch again replaces its rows."""
+        """Write the rows of one batch; the same batch again replaces its rows.
+        ``fresh`` must not read the index itself."""
         fresh.createOrReplaceTempView(f"{self.name}_fresh")
         self.spark.sql(f"INSERT OVERWRITE {self.name} PARTITION (batch = '{batch}') "
                        f"SELECT digest, keep_id, keep_row FROM {self.name}_fresh")
@@ -85,7 +86,7 @@ class DigestIndex:
                            F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("best"))
         known = self.entries().where(F.col("batch") != batch).select("digest").hint("merge")
         fresh = groups.join(known, "digest", "left_anti").select("digest", "best.keep_id", "best.keep_row")
-        self.append(fresh, batch)
+        self.append(stage(fresh, "fresh"), batch)
         decided = groups.select("digest", "n").join(self.entries().hint("merge"), "digest")
         here = F.col("batch") == batch
         return rows.join(decided, "digest").select(
