@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from clusterlens.llm import exact_dedup as op10
+from clusterlens.llm import near_dedup as op9
 
 QUERIES = {
+    "op9_near_dedup": op9.op9_near_dedup,
     "op10_exact_dedup": op10.op10_exact_dedup,
 }
 
 SQL = {
+    "op9_near_dedup": op9.OP9_SQL,
     "op10_exact_dedup": op10.OP10_SQL,
 }
