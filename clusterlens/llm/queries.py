@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from clusterlens.llm import exact_dedup as op10
+from clusterlens.llm import language_id as op5
 from clusterlens.llm import near_dedup as op9
 
 QUERIES = {
+    "op5_language_id": op5.op5_language_id,
     "op9_near_dedup": op9.op9_near_dedup,
     "op10_exact_dedup": op10.op10_exact_dedup,
 }
