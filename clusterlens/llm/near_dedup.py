@@ -185,7 +185,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero((component != own) & ((nodes > node) if i == j else True))
             at = at[_survive(np.broadcast_to(s, (len(at), len(s))), sig[at], bounds)]
             early = slice(0, int(band) * ROWS)
-            shared = (sig[at, early] == s[early]).reshape(len(at), -1, ROWS).all(axis=2).any(axis=1)
+            shared = (sig[at, early] == s[early]).reshape(len(at), int(band), ROWS).all(axis=2).any(axis=1)
             found += [(node, nodes[k]) for k in at[~shared]]
         return pd.DataFrame(found, columns=["a", "b"])
 
