@@ -5,11 +5,13 @@ from __future__ import annotations
 from clusterlens.llm import exact_dedup as op10
 from clusterlens.llm import language_id as op5
 from clusterlens.llm import near_dedup as op9
+from clusterlens.llm import packing as op7
 from clusterlens.llm import secret_scan as op6
 
 QUERIES = {
     "op5_language_id": op5.op5_language_id,
     "op6_secret_scan": op6.op6_secret_scan,
+    "op7_packing": op7.op7_packing,
     "op9_near_dedup": op9.op9_near_dedup,
     "op10_exact_dedup": op10.op10_exact_dedup,
 }
