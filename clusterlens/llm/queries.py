@@ -7,8 +7,10 @@ from clusterlens.llm import language_id as op5
 from clusterlens.llm import near_dedup as op9
 from clusterlens.llm import packing as op7
 from clusterlens.llm import secret_scan as op6
+from clusterlens.llm import topk_search as op1
 
 QUERIES = {
+    "op1_topk_search": op1.op1_topk_search,
     "op5_language_id": op5.op5_language_id,
     "op6_secret_scan": op6.op6_secret_scan,
     "op7_packing": op7.op7_packing,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_topk_search": op1.OP1_SQL,
     "op6_secret_scan": op6.OP6_SQL,
     "op9_near_dedup": op9.OP9_SQL,
     "op10_exact_dedup": op10.OP10_SQL,
