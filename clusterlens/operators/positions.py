@@ -1,30 +1,43 @@
 """Global row numbers without a single-task window.
 
-``row_number() over (order by k)`` with no partition moves every row into
-one task. Here the key range is cut into buckets: per-bucket counts (a small
-table) give each bucket's offset, and rows are numbered inside their bucket.
-Each window then holds one bucket, whatever the table size.
+``row_number() over (order by k)`` with no partition moves every row into one
+task. Here the rows are dealt into ranges of the whole order (key, then
+tiebreak, so that a key which many rows share is cut too) and written once;
+every range is numbered by itself and starts behind the counts of the ranges
+before it. Only one count per range reaches the driver.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_path
+
+
+def row_numbered(df: DataFrame, key: str, out: str = "row_number", tiebreak: list[str] | None = None,
+                 descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """1-based position of each row in the order of ``key``, then ``tiebreak``.
 
-def row_numbered(df: DataFrame, key: str, out: str = "row_number",
-                 bucket_width: int = 1 << 16, tiebreak: list[str] | None = None) -> DataFrame:
-    """1-based position of each row in the order of integer column ``key``
-    (then ``tiebreak``). Best with a (nearly) unique key such as a job id or
-    a file offset: a bucket holds at most ``bucket_width`` distinct keys."""
-    tiebreak = tiebreak or []
-    b = F.floor(F.col(key) / F.lit(bucket_width)).cast("bigint")
-    keyed = df.withColumn("_bucket", b)
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket: small even for very large tables.
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(key, *tiebreak)
-    return (keyed.join(offsets, on="_bucket")
-            .withColumn(out, (F.row_number().over(w) + F.col("_off")).cast("bigint"))
-            .drop("_bucket", "_off"))
+    NULLs come last and are numbered like other rows. Rows equal in key and
+    tiebreak are numbered in any order. ``ranges`` defaults to the session's
+    shuffle partitions. The rows are written to the shared scratch folder,
+    because the limits of the ranges are sampled and must not be drawn twice.
+    """
+    spark = df.sparkSession
+    own = "_range_" + out
+    first = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
+    order = [first, *(F.col(c).asc_nulls_last() for c in tiebreak or [])]
+    path = new_path(spark, "ranges")
+    dealt = (df.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+             .withColumn(own, F.spark_partition_id()))
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    sizes = {r[own]: r["count"] for r in dealt.groupBy(own).count().collect()}
+    before = dict(zip(sorted(sizes), accumulate([0, *(sizes[k] for k in sorted(sizes))]), strict=False))
+    start = F.create_map(*[F.lit(x) for k in before for x in (k, before[k])]) if before else None
+    inside = F.row_number().over(Window.partitionBy(own).orderBy(*order))
+    number = inside if start is None else inside + start[F.col(own)]
+    return dealt.withColumn(out, number.cast("bigint")).drop(own)

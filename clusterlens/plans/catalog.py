@@ -47,7 +47,7 @@ def _jobs(spark, sf):
 
 def _numbered_entries(spark, sf):
     """Narrow job table with row numbers taken before the start filter."""
-    numbered = row_numbered(_jobs(spark, sf), "job_id")
+    numbered = row_numbered(_jobs(spark, sf), "job_id", tiebreak=["idx", "requeue_time"])
     return narrow(started(with_grid_times(numbered)))
 
 
@@ -179,7 +179,9 @@ def q_signif_grid(spark, sf):
 
 
 def q_row_numbered(spark, sf):
-    return row_numbered(_jobs(spark, sf).select("job_id", "queue"), "job_id")
+    numbered = row_numbered(_jobs(spark, sf).select("job_id", "idx", "requeue_time", "queue"), "job_id",
+                            tiebreak=["idx", "requeue_time"])
+    return numbered.drop("idx", "requeue_time")
 
 
 def q_log_entries(spark, sf):

@@ -272,11 +272,11 @@ SELECT job_id, start_time, CAST({_signif('start_time', 7)} AS BIGINT) AS approx_
 FROM jobs""")
 
 SQL["row_numbered"] = _w(JOBS, """
-SELECT job_id, queue, row_number() OVER (ORDER BY job_id) AS row_number FROM jobs""")
+SELECT job_id, queue, row_number() OVER (ORDER BY job_id, idx, requeue_time) AS row_number FROM jobs""")
 
 SQL["log_entries"] = _w(JOBS + "," + GRID, f"""
 SELECT row_number, {ENTRY_COLS} FROM (
-  SELECT *, row_number() OVER (ORDER BY job_id) AS row_number FROM grid) g
+  SELECT *, row_number() OVER (ORDER BY job_id, idx, requeue_time) AS row_number FROM grid) g
 WHERE start_time > 0""")
 
 SQL["duplicate_keys"] = """

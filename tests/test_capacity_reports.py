@@ -48,10 +48,20 @@ def test_ragged_pairs_spread_over_lines(spark):
     assert got == [("g", "a"), ("g", "b"), ("g", "c"), ("h", "d")]
 
 
-def test_row_numbered_small_buckets(spark):
+def test_row_numbered_in_ranges(spark):
     df = spark.range(0, 1000, 3).withColumnRenamed("id", "k")
-    got = row_numbered(df, "k", bucket_width=7).orderBy("k").collect()
+    got = row_numbered(df, "k", ranges=7).orderBy("k").collect()
     assert [r.row_number for r in got] == list(range(1, len(got) + 1))
+    down = row_numbered(df, "k", descending=True).orderBy("k").collect()
+    assert [r.row_number for r in down] == list(range(len(got), 0, -1))
+
+
+def test_row_numbered_keeps_nulls_and_cuts_hot_keys(spark):
+    rows = [(7, i) for i in range(300)] + [(None, i) for i in range(3)] + [(1, 5)]
+    got = row_numbered(spark.createDataFrame(rows, "k bigint, t bigint"), "k", tiebreak=["t"], ranges=5).collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert {(r.k, r.t): r.row_number for r in got} == {r: i + 1 for i, r in enumerate(want)}
+    assert row_numbered(spark.createDataFrame([], "k bigint"), "k").collect() == []
 
 
 def test_duplicates_and_sentinel_and_front(spark):
