@@ -12,8 +12,8 @@ A band's bucket may hold any number of nodes, so its pairs are never listed:
 1. each node is compared with one centre of the bucket; the links found
    already join most of a group of near copies into one component;
 2. only buckets whose other members still lie in different components are
-   looked at again, in blocks of at most about ``BLOCK`` members, and only
-   pairs across components that no earlier band holds are candidates.
+   looked at again, in blocks of about ``BLOCK`` members, and only pairs
+   across components that no earlier band holds are candidates.
 
 A pair at the threshold of 0.8 shares no band with probability
 (1 - 0.8^5)^32 = 3e-6, a more similar pair with less; each of the five
@@ -39,7 +39,7 @@ from clusterlens.llm.shingles import shingle_set, signature, signature_seeds, si
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-BLOCK = 1024
+BLOCK = 512
 
 
 def _name(shingles: np.ndarray) -> bytes:
@@ -95,6 +95,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, BANDS * ROWS), np.int32)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 def _pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) whose signatures don't rule them out."""
     bounds = posterior_bounds(percent / 100, BANDS * ROWS)
@@ -136,20 +140,16 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             .select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary"))
 
 
-def _verified(left: DataFrame, found: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links among the pairs (a, b) that pruning left."""
-    left = stage(left, "pruned")
-    needed = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    owner = (found.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner")))
-    texts = (docs.join(owner, docs["doc_id"].eqNullSafe(owner["owner"]))
-             .select("node", "text"))
+def _texts(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, text: a text for each of the given nodes."""
+    owner = found.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner"))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # of rows that share a doc_id, the one whose set the node is
+        for pdf in batches:  # of rows that share a doc_id, those whose set the node is
             yield pdf[[_name(shingle_set(t, words)) == bytes(n) for n, t in zip(pdf["node"], pdf["text"], strict=True)]]
 
-    texts = texts.mapInPandas(own, "node binary, text string").groupBy("node").agg(F.first("text").alias("text"))
-    return stage(_linked(left, texts, words, percent), "verified")
+    return (docs.join(owner, docs["doc_id"].eqNullSafe(owner["owner"])).select("node", "text")
+            .mapInPandas(own, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")))
 
 
 def _buckets(found: DataFrame) -> DataFrame:
@@ -163,30 +163,48 @@ def _signatures(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of members(band, key, node, component, blocks, sig) across components.
+def _across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members(band, key, node, component, blocks) of different components.
 
     A bucket's members are dealt into blocks by hash, and each pair of blocks
-    is one group. A pair that shares an earlier band is left to that band.
+    is one group with full shingle sets. A pair that shares an earlier band is
+    left to that band, and once a link joins two components, their other pairs
+    in the group are passed over, so a group gives fewer links than members.
     """
     bounds = posterior_bounds(percent / 100, BANDS * ROWS)
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = signature_seeds(BANDS * ROWS)
+        for pdf in batches:
+            made = [shingle_set(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "sig": [signature(x, seeds).view(np.int32) for x in made],
+                                "shingles": [x.tobytes() for x in made]})
+
     blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     paired = (members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
               .withColumn("other", F.explode(blocks))
+              .join(texts.mapInPandas(sets, "node binary, sig array<int>, shingles binary"), "node")
               .select("band", "key", F.least("block", "other").alias("i"),
-                      F.greatest("block", "other").alias("j"), "block", "node", "component", "sig"))
+                      F.greatest("block", "other").alias("j"), "block", "node", "component", "sig", "shingles"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         band, i, j = (pdf[c].iloc[0] for c in ("band", "i", "j"))
-        one, two = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        sig, component, nodes = _matrix(two["sig"]), two["component"].to_numpy(), two["node"].to_numpy()
+        _, component = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        sig, nodes, early = _matrix(pdf["sig"]), pdf["node"].to_numpy(), slice(0, int(band) * ROWS)
+        full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        block = pdf["block"].to_numpy()
         found = []
-        for node, own, s in zip(one["node"], one["component"], one["sig"], strict=True):
-            at = np.flatnonzero((component != own) & ((nodes > node) if i == j else True))
-            at = at[_survive(np.broadcast_to(s, (len(at), len(s))), sig[at], bounds)]
-            early = slice(0, int(band) * ROWS)
-            shared = (sig[at, early] == s[early]).reshape(len(at), int(band), ROWS).all(axis=2).any(axis=1)
-            found += [(node, nodes[k]) for k in at[~shared]]
+        for k in np.flatnonzero(block == i):
+            at = np.flatnonzero((block == j) & (component != component[k]) & ((nodes > nodes[k]) if i == j else True))
+            at = at[_survive(np.broadcast_to(sig[k], (len(at), BANDS * ROWS)), sig[at], bounds)]
+            shared = (sig[at, early] == sig[k, early]).reshape(len(at), int(band), ROWS).all(axis=2).any(axis=1)
+            for other in at[~shared]:
+                if component[other] == component[k]:
+                    continue
+                both, union = similarity(full[k], full[other])
+                if 100 * both >= percent * union:
+                    found.append((nodes[k], nodes[other]))
+                    component[component == component[other]] = component[k]
         return pd.DataFrame(found, columns=["a", "b"])
 
     return paired.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
@@ -213,8 +231,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     rows = stage(_buckets(found).join(several, "key").where("node != centre").distinct(), "buckets")
 
     star = rows.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    ends = star.select(F.col("a").alias("node")).union(star.select("b"))
-    links = _verified(_pruned(star, _signatures(found, ends), percent), found, docs, words, percent)
+    left = stage(_pruned(star, _signatures(found, _ends(star)), percent), "pruned")
+    links = stage(_linked(left, _texts(_ends(left), found, docs, words), words, percent), "links")
     labels = components(links)
 
     rest = (rows.join(labels, "node", "left")
@@ -223,8 +241,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                                      F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
              .where("lo < hi").select("key", "blocks"))
     members = stage(rest.join(split, "key"), "members")
-    members = members.join(_signatures(found, members.select("node")), "node")
-    more = _verified(_across(members, percent), found, docs, words, percent)
+    more = stage(_across(members, _texts(members.select("node"), found, docs, words), words, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

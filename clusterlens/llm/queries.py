@@ -7,12 +7,14 @@ from clusterlens.llm import language_id as op5
 from clusterlens.llm import near_dedup as op9
 from clusterlens.llm import packing as op7
 from clusterlens.llm import pii as op2
+from clusterlens.llm import resampling as op4
 from clusterlens.llm import secret_scan as op6
 from clusterlens.llm import topk_search as op1
 
 QUERIES = {
     "op1_topk_search": op1.op1_topk_search,
     "op2_pii": op2.op2_pii,
+    "op4_resampling": op4.op4_resampling,
     "op5_language_id": op5.op5_language_id,
     "op6_secret_scan": op6.op6_secret_scan,
     "op7_packing": op7.op7_packing,
