@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from clusterlens.llm import exact_dedup as op10
 from clusterlens.llm import language_id as op5
+from clusterlens.llm import line_dedup as op3
 from clusterlens.llm import near_dedup as op9
 from clusterlens.llm import packing as op7
 from clusterlens.llm import pii as op2
@@ -14,6 +15,7 @@ from clusterlens.llm import topk_search as op1
 QUERIES = {
     "op1_topk_search": op1.op1_topk_search,
     "op2_pii": op2.op2_pii,
+    "op3_line_dedup": op3.op3_line_dedup,
     "op4_resampling": op4.op4_resampling,
     "op5_language_id": op5.op5_language_id,
     "op6_secret_scan": op6.op6_secret_scan,
