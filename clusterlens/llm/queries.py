@@ -7,6 +7,7 @@ from clusterlens.llm import language_id as op5
 from clusterlens.llm import line_dedup as op3
 from clusterlens.llm import near_dedup as op9
 from clusterlens.llm import packing as op7
+from clusterlens.llm import pieces as op8
 from clusterlens.llm import pii as op2
 from clusterlens.llm import resampling as op4
 from clusterlens.llm import secret_scan as op6
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5.op5_language_id,
     "op6_secret_scan": op6.op6_secret_scan,
     "op7_packing": op7.op7_packing,
+    "op8_pieces": op8.op8_pieces,
     "op9_near_dedup": op9.op9_near_dedup,
     "op10_exact_dedup": op10.op10_exact_dedup,
 }
