@@ -1,0 +1,85 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from clusterlens.llm import secret_scan as ss
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+SCHEMA = "doc_id long, text string, row int, piece string, kind string"
+
+
+def base(text):
+    t = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def all_spans(text):
+    t, parts = text or "", base(text)
+    for kind in (3, 4, 5):
+        for m in re.finditer(ss.PATTERNS[ss.KINDS[kind]], t, re.A):
+            if kind != 3 or all(re.search(x, m[0]) for x in ("[0-9]", "[a-z]", "[A-Z]")):
+                parts.append((m.start(), kind, m.end()))
+    roles = [{1, 4}, {0, 3}, {5}]
+    return sorted(p for p in parts if p[1] < 3 or all(
+        any(q[1] in r and abs(q[0] - p[0]) <= ss.SCOPE for q in parts) for r in roles))
+
+
+def corpus():
+    rnd = random.Random(11)
+    bits = ["password=", "Token: ", "api_key = '", "secret:", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "é𝒳 ",
+            "user=alice ", "host=db.example.com ", "https://x.example.org/a ", "Zx9fQ2LmT7vRk4Wb8NcPd1 ", " filler words " * 12,
+            "\n", " ", "abcdefgh", "short", '"', "client_id: abc99 "]
+    return ["".join(rnd.choice(bits) for _ in range(rnd.randrange(25))) for _ in range(300)]
+
+
+def test_spans_equal_brute_force(spark):
+    texts = corpus() + [None, "", "x token: key secret: abcdefghij", "token: secret: abcdefghij", "paſſword=abcdefgh1"]
+    docs = spark.createDataFrame([(i, t, 1, "p", "k") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in ss.scan(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert [(x.start, x.kind, x.end) for x in got[i].found] == all_spans(t), t
+        assert (got[i].text, got[i].row, got[i].piece, got[i].kind) == (t, 1, "p", "k")
+    assert any(x.kind >= 3 for r in got.values() for x in r.found)
+
+
+def test_weak_parts_need_all_roles_in_scope(spark):
+    whole = "user=alice host=db.example.com key Zx9fQ2LmT7vRk4Wb8NcPd1"
+    far = "user=alice host=db.example.com" + " pad" * 100 + " Zx9fQ2LmT7vRk4Wb8NcPd1"
+    docs = spark.createDataFrame([(1, whole), (2, far), (3, "Zx9fQ2LmT7vRk4Wb8NcPd1"), (1, whole)], "doc_id long, text string")
+    got = sorted((r.doc_id, [x.name for x in r.found]) for r in ss.scan(docs).collect())
+    assert got == [(1, ["login", "host", "key"]), (1, ["login", "host", "key"]), (2, []), (3, [])]
+
+
+def test_redact(spark):
+    texts = corpus()[:80] + [None, ""]
+    docs = spark.createDataFrame([(i, t, 1, "p", "k") for i, t in enumerate(texts)], SCHEMA)
+    out = ss.redact(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        t, at, want = texts[r.doc_id], 0, ""
+        for start, _, end in all_spans(t):
+            if start > at or not want and start == 0 == at:
+                want += (t or "")[at:start] + ss.PLACEHOLDER
+            at = max(at, end)
+        assert r.text == (want + t[at:] if want else t)
+
+
+def test_query_form(spark, tmp_path):
+    text = "a password=abcdefgh1 b"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in ss.op6_secret_scan(spark, str(tmp_path)).collect()}
+    assert got[1].spans == "assign:2:20"
+    assert got[1].base_sha256 == hashlib.sha256(b"assign:2:20").hexdigest()
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[2].n_assign, got[2].spans) == (1, 0, 0, 0, "")
+
+
+def test_empty_table_and_taken_name(spark):
+    assert ss.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        ss.scan(spark.createDataFrame([(1, "x")], "found long, text string"))
