@@ -9,9 +9,9 @@ What "best" means is the model's own rule:
 - ``unigram``: the greatest sum of piece scores (Viterbi), ties to the longer
   last piece;
 - ``bpe``: the way that merging by score would take. Sums of scores don't give
-  that, so here a piece relaxes a position only if merging would really leave
-  it behind the last piece of the way it continues. At most one piece can, and
-  the scores are consulted through the merges they order.
+  that, so here a piece relaxes a position only if merging it with the last
+  piece of the way it continues would leave these two as they are. At most one
+  piece can, and the scores count through the order of merges.
 
 Characters outside the vocabulary become byte pieces. White space is marked as
 the model marks it, and no piece goes on from a character over a mark, so
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 HELD = 600_000
+NEVER = 1 << 62
 
 
 def default_model() -> str:
@@ -50,10 +51,9 @@ class Pieces:
         self.byte = {i: b for b, i in byte_ids.items()}
         self.score = {p: s for p, (_, s) in pieces.items()}
         self.id = {p: i for p, (i, _) in pieces.items()}
-        # single characters never merge; other pieces merge in the order of falling scores
+        # single characters NEVER merge; other pieces merge in the order of falling scores
         order = sorted((p for p in pieces if len(p) > 1), key=lambda p: -self.score[p])
         self.when = {p: k + 1 for k, p in enumerate(order)}
-        self.halves: dict[str, tuple[str, str]] = {}
         usable = list(pieces)
         if kind == "bpe":
             usable = [p for p in pieces if len(p) == 1 or self._merged(p) == [p]]
@@ -81,38 +81,22 @@ class Pieces:
         return cls(plain, byte_ids, kind)
 
     def _merged(self, word: str) -> list[str]:
-        """Merging by score, one pair at a time; remembers a whole piece's last merge."""
-        parts = list(word)
-        while len(parts) > 1:
-            times = [self.when.get(a + b, 0) for a, b in zip(parts, parts[1:], strict=False)]
-            first = min((t for t in times if t), default=0)
-            if not first:
-                break
+        """Merging by score, one pair at a time, of equal pairs the left one first."""
+        parts, when = list(word), self.when
+        times = [when.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while times and (first := min(times)) < NEVER:
             k = times.index(first)
-            if len(parts) == 2:
-                self.halves[word] = (parts[0], parts[1])
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del times[k]
+            if k < len(times):
+                times[k] = when.get(parts[k] + parts[k + 1], NEVER)
+            if k:
+                times[k - 1] = when.get(parts[k - 1] + parts[k], NEVER)
         return parts
 
     def follows(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` leaves these two pieces.
-
-        Their merges are undone, latest first. At each step the two parts at
-        the seam stood side by side until the part undone last was made, so a
-        merge of them before that would have joined the two sides.
-        """
-        until = float("inf")
-        while True:
-            joined = self.when.get(left + right)
-            if joined is not None and joined < until:
-                return False
-            tl, tr = self.when.get(left, 0) if len(left) > 1 else 0, self.when.get(right, 0) if len(right) > 1 else 0
-            if not tl and not tr:
-                return True
-            if tl > tr:
-                until, left = tl, self.halves[left][1]
-            else:  # of equal pairs the left one merges first
-                until, right = tr + 0.5, self.halves[right][0]
+        """Whether merging ``left + right`` leaves these two pieces."""
+        return self._merged(left + right) == [left, right]
 
     def _run(self, word: str) -> list[int]:
         """Ids of a word whose characters are all covered."""
