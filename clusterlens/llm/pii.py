@@ -39,7 +39,8 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
             r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])",
+    "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+             r"|[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,4})(?![0-9])",
     "card": r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}"
             r"(?:-[0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }
@@ -158,7 +159,7 @@ def _kind_of(x: Column) -> Column:
             .when(whole("ip"), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
             .when(whole("date"), F.when(_day(x).isNotNull(), "date"))
             .when(whole("ssn"), F.when(x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
-            .when(whole("phone"), "phone")
+            .when(whole("phone"), F.when(n.between(8, 15), "phone"))
             .when(whole("card") & (_luhn_digit(F.substring(card, F.lit(1), n - 1)) == F.substring(card, n, F.lit(1))),
                   "card"))
 
