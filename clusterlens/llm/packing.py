@@ -94,7 +94,8 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text where its own end; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # a copy, since kernels misread a cast slice whose first offset isn't 0
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
         # lower-casing early makes fewer words, but must not make special tokens
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
