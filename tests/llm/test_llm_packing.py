@@ -50,6 +50,17 @@ def test_digest_form_has_the_same_rows(spark):
     assert sorted(map(str, whole.select(narrow.columns).collect())) == sorted(map(str, narrow.collect()))
 
 
+def test_many_segments_of_one_batch(spark, tokenizer, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(pk, "SEGMENT", 300)
+    batch, tokens, seen = pa.array([*texts(), None]), pk.WordTokens(pk.default_tokenizer()), []
+    for at, part in pk._segments(batch):
+        assert at == len(seen)
+        ids, ends = tokens.encode(part)
+        seen += [x.tolist() for x in np.split(ids, ends[:-1])]
+    assert seen == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in batch.to_pylist()]
+
+
 def test_cuts():
     assert pk.cuts(5000) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 256), (4864, 128), (4992, 8)]
     for n in range(0, 70):
