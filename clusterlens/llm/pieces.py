@@ -26,13 +26,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-HELD = 600_000
+HELD = 800_000
 NEVER = 1 << 62
+#: Documents encoded at once.
+SLICE = 256
 
 
 def default_model() -> str:
@@ -47,8 +51,7 @@ class Pieces:
         if kind not in ("bpe", "unigram"):
             raise ValueError("kind must be bpe or unigram")
         self.kind, self.byte_ids = kind, byte_ids
-        self.text = {i: p for p, (i, _) in pieces.items()}
-        self.byte = {i: b for b, i in byte_ids.items()}
+        self.raw = {i: bytes([b]) for b, i in byte_ids.items()} | {i: p.encode() for p, (i, _) in pieces.items()}
         self.score = {p: s for p, (_, s) in pieces.items()}
         self.id = {p: i for p, (i, _) in pieces.items()}
         # single characters NEVER merge; other pieces merge in the order of falling scores
@@ -61,11 +64,14 @@ class Pieces:
         for p in usable:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        breaks = "" if any("\n" in p for p in pieces) else "\n"
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("pieces that go on over a white space mark are not supported")
-        self.words = re.compile(f"{breaks}|{MARK}*[^{MARK}{breaks}]+|{MARK}+" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
+            raise ValueError("pieces that go on over white space are not supported")
+        inside = {p[k:k + 2] for p in pieces for k in range(len(p) - 1)}
+        apart = "".join(c for c in ".,!?;:" if all(x[1] != c or not x[0].isalpha() for x in inside))
+        # where no piece goes on from a letter to a mark of punctuation, a word of letters ends there too
+        self.words = re.compile((f" *[^\\W\\d_]+(?=[{apart}])|" if apart else "") + " *[^ \n]+| +|\n")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.seams: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -131,6 +137,7 @@ class Pieces:
         return out[::-1]
 
     def _ids(self, word: str) -> list[int]:
+        word = word.replace(" ", MARK)
         if self.id.keys() >= set(word):
             return self._run(word)
         ids, run = [], ""
@@ -144,24 +151,23 @@ class Pieces:
         return ids + self._run(run)
 
     def _learned(self, word: str) -> bytes:
-        if len(self.known) > HELD:
-            self.known.clear()
+        if 2 * len(self.known) > HELD:  # the half that wasn't used lately goes
+            self.known, self.older = {}, self.known
         if len(self.seams) > HELD:
             self.seams.clear()
-        out = self.known[word] = array("i", self._ids(word)).tobytes()
+        out = self.known[word] = self.older.get(word) or array("i", self._ids(word)).tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as 32-bit integers; nothing for an empty text."""
         if not text:
             return b""
-        words = self.words.findall(MARK + text.replace(" ", MARK))
-        known, learned = self.known, self._learned
-        return b"".join([known.get(w) or learned(w) for w in words])
+        words = self.words.findall(" " + text.replace(MARK, " "))
+        return b"".join([self.known.get(w) or self._learned(w) for w in words])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no character become replacement characters."""
-        out = b"".join(bytes([self.byte[i]]) if i in self.byte else self.text[i].encode() for i in ids)
+        out = b"".join(map(self.raw.__getitem__, ids))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -179,7 +185,8 @@ def encoded(text: str | Column = "text", model: str | None = None, kind: str = "
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _worker_pieces(path, kind)
         for texts in batches:
-            yield pd.Series([None if t is None else array("i", pieces.encode(t)) for t in texts], dtype=object)
+            yield pd.Series([None if t is None else np.frombuffer(pieces.encode(t), np.int32) for t in texts],
+                            dtype=object)
 
     return run(text)
 
@@ -193,14 +200,39 @@ def decoded(ids: str | Column, model: str | None = None, kind: str = "bpe") -> C
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _worker_pieces(path, kind)
         for lists in batches:
-            yield pd.Series([None if x is None else pieces.decode(list(x)) for x in lists], dtype=object)
+            yield pd.Series([None if x is None else pieces.decode(x.tolist()) for x in lists], dtype=object)
 
     return run(ids)
 
 
+def encode_table(docs: DataFrame, model: str | None = None, kind: str = "bpe", text: str = "text",
+                 doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, ids, n_ids, restored (whether decoding gives the text back): one row
+    for each row of ``docs``, made a slice of documents at a time.
+
+    A null text has null in all three, an empty text no ids. Other columns are
+    not read, rows that repeat are rows of their own, and an empty table gives
+    no rows.
+    """
+    path = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _worker_pieces(path, kind)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column("text").to_pylist()
+                found = [None if t is None else pieces.encode(t) for t in texts]
+                ids = [None if x is None else np.frombuffer(x, np.int32) for x in found]
+                back = [None if x is None else pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
+                     pa.array([None if x is None else len(x) for x in ids], pa.int64()), pa.array(back, pa.bool_())],
+                    ["doc_id", "ids", "n_ids", "restored"])
+
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+            .mapInArrow(run, "doc_id long, ids array<int>, n_ids long, restored boolean"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_ids, and whether decoding gives the text back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = docs.withColumn("ids", encoded("text"))
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
-                      decoded("ids").eqNullSafe(F.col("text")).alias("restored"))
+    return encode_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))

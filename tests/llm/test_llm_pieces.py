@@ -72,6 +72,10 @@ def test_nulls_repeats_empty_table_and_bad_bytes(spark):
     out = docs.withColumn("ids", sp.encoded("text")).withColumn("back", sp.decoded("ids")).collect()
     assert sorted((str(r.doc_id), r.text, r.back) for r in out if r.text is not None) == [("1", "a b", "a b")] * 2 + [("None", "", "")]
     assert [(r.ids, r.back) for r in out if r.text is None] == [(None, None)]
+    table = sp.encode_table(docs.withColumn("ids", sp.F.lit("x")).withColumn("n_ids", sp.F.lit(1))).collect()
+    assert sorted(str(tuple(r)) for r in table) == sorted(str(x) for x in [
+        (1, [264, 287], 2, True), (1, [264, 287], 2, True), (2, None, None, None), (None, [], 0, True)])
+    assert sp.encode_table(docs.limit(0)).count() == 0
     assert docs.limit(0).withColumn("ids", sp.encoded("text")).count() == 0
     assert sp.Pieces.load(sp.default_model()).decode([3 + 0xFF]) == "�"
     with pytest.raises(ValueError):
