@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import to_ts
-from ..session import cut_lineage
+from .joins import join_same
 from .profiles import block_stats_daily
 
 # Measure name -> column of the daily profile used as y.
@@ -67,46 +67,62 @@ def fit(train: DataFrame, group: Sequence[str] = ("queue", "metric"),
     """Fit trend + hour-of-day effect (+ weekday effect) per group.
 
     Returns 24 rows per group (24 x 7 with ``weekly``): group keys,
-    ``hour`` (and ``dow``, 1 = Sunday), ``origin`` (first tick), ``slope``
-    and ``intercept`` (per ``step`` seconds), ``effect`` (0 for a slot
-    without history), ``sd`` and ``n`` (training rows). The weekday effect
-    is the mean of what the hour effect leaves, per weekday; use it when the
-    history covers at least two weeks.
+    ``hour`` (and ``dow``, 1 = Sunday), ``origin`` (first tick), ``last``
+    (last tick), ``slope`` and ``intercept`` (per ``step`` seconds),
+    ``effect`` (0 for a slot without history), ``sd`` and ``n`` (training
+    rows). The weekday effect is the mean of what the hour effect leaves, per
+    weekday; use it when the history covers at least two weeks.
+
+    The history is read once: counts, means, variances and the covariance of
+    each (group, hour, weekday), at most 168 rows per group, hold all that
+    trend, effects and deviation need.
     """
     group = list(group)
-    origin = train.groupBy(*group).agg(F.min("second").alias("origin"))
-    t = (F.col("second") - F.col("origin")) / F.lit(float(step))
-    df = train.join(origin, on=group).withColumn("t", t)
-    trend = df.groupBy(*group, "origin").agg(
-        F.regr_slope("y", "t").alias("_b"), F.regr_intercept("y", "t").alias("_a"),
-        F.avg("y").alias("_m"), F.count(F.lit(1)).alias("n"))
+    t = F.col("second") / F.lit(float(step))
+    cells = (train.groupBy(*group, F.hour("ds").alias("hour"), F.dayofweek("ds").alias("dow"))
+             .agg(F.count(F.lit(1)).alias("k"), F.avg(t).alias("mt"), F.avg("y").alias("my"),
+                  F.var_pop(t).alias("vt"), F.var_pop("y").alias("vy"), F.covar_pop("y", t).alias("c"),
+                  F.min("second").alias("first"), F.max("second").alias("end")))
+
+    def mean(x: F.Column, *more: str) -> F.Column:
+        w = Window.partitionBy(*group, *more)
+        return F.sum(F.col("k") * x).over(w) / F.sum("k").over(w)
+
+    whole = Window.partitionBy(*group)
+    c = cells.select("*", mean(F.col("mt")).alias("gt"), mean(F.col("my")).alias("gy"),
+                     F.sum("k").over(whole).alias("n"), F.min("first").over(whole).alias("origin"),
+                     F.max("end").over(whole).alias("last"))
+    dt, dy = F.col("mt") - F.col("gt"), F.col("my") - F.col("gy")
+    c = c.select("*", mean(F.col("vt") + dt * dt).alias("_v"), mean(F.col("c") + dt * dy).alias("_c"))
     # A flat or single-point history has no slope: predict its mean.
-    trend = trend.select(*group, "origin", "n",
-                         F.coalesce("_b", F.lit(0.0)).alias("slope"),
-                         F.when(F.col("_b").isNull(), F.col("_m")).otherwise(F.col("_a"))
-                          .alias("intercept"))
-    resid = (df.join(trend.drop("origin"), on=group)
-               .select(*group, F.hour("ds").alias("hour"), F.dayofweek("ds").alias("dow"),
-                       (F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))).alias("r")))
-    effect = resid.groupBy(*group, "hour").agg(F.avg("r").alias("effect"))
-    rest = (resid.join(effect, on=[*group, "hour"])
-                 .select(*group, "dow", (F.col("r") - F.col("effect")).alias("r2")))
-    slots = trend.select(*group, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    c = c.withColumn("slope", F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).otherwise(0.0))
+    b = F.col("slope")
+    c = c.select("*", (F.col("gy") - b * (F.col("gt") - F.col("origin") / F.lit(float(step)))).alias("intercept"),
+                 (dy - b * dt).alias("r"))
+    c = c.withColumn("heff", mean(F.col("r"), "hour"))
+    c = c.withColumn("weff", mean(F.col("r") - F.col("heff"), "dow") if weekly else F.lit(0.0))
+    rest = F.col("r") - F.col("heff") - F.col("weff")
+    inside = F.col("vy") - 2 * b * F.col("c") + b * b * F.col("vt")
+    c = c.withColumn("sd", F.sqrt(F.greatest(mean(inside + rest * rest), F.lit(0.0))))
+    facts = ["origin", "last", "slope", "intercept", "sd", "n"]
+    table = c.groupBy(*group).agg(
+        *[F.first(x).alias(x) for x in facts],
+        F.map_from_entries(F.collect_set(F.struct("hour", "heff"))).alias("by_hour"),
+        F.map_from_entries(F.collect_set(F.struct("dow", "weff"))).alias("by_dow"))
+    hours = table.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    effect = F.coalesce(F.col("by_hour")[F.col("hour")], F.lit(0.0))
     keys = [*group, "hour"]
     if weekly:
-        weff = rest.groupBy(*group, "dow").agg(F.avg("r2").alias("weffect"))
-        rest = (rest.join(weff, on=[*group, "dow"])
-                    .select(*group, (F.col("r2") - F.col("weffect")).alias("r2")))
-        slots = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow"))
-        keys = [*group, "hour", "dow"]
-    left = rest.groupBy(*group).agg(F.sqrt(F.avg(F.pow(F.col("r2"), 2))).alias("sd"))
-    model = slots.join(effect, on=[*group, "hour"], how="left")
-    eff = F.coalesce("effect", F.lit(0.0))
-    if weekly:
-        model = model.join(weff, on=[*group, "dow"], how="left")
-        eff = eff + F.coalesce("weffect", F.lit(0.0))
-    return (model.join(trend, on=group).join(left, on=group)
-                 .select(*keys, "origin", "slope", "intercept", eff.alias("effect"), "sd", "n"))
+        hours = hours.withColumn("dow", F.explode(F.sequence(F.lit(1), F.lit(7))))
+        effect = effect + F.coalesce(F.col("by_dow")[F.col("dow")], F.lit(0.0))
+        keys.append("dow")
+    return hours.select(*keys, "origin", "last", "slope", "intercept", effect.alias("effect"), "sd", "n")
+
+
+def _ahead(last: DataFrame, periods: int, step: int, group: Sequence[str]) -> DataFrame:
+    """``periods`` ticks behind ``last`` of each row."""
+    return last.select(*group, F.explode(F.sequence(
+        F.col("last") + step, F.col("last") + periods * step, F.lit(step).cast("bigint"))).alias("second"))
 
 
 def future(train: DataFrame, periods: int = 48, step: int = HOUR,
@@ -114,28 +130,26 @@ def future(train: DataFrame, periods: int = 48, step: int = HOUR,
            include_history: bool = True) -> DataFrame:
     """Every history tick plus ``periods`` steps after the last one."""
     group = list(group)
-    last = train.groupBy(*group).agg(F.max("second").alias("_last"))
-    ahead = last.select(*group, F.explode(F.sequence(
-        F.col("_last") + step, F.col("_last") + periods * step,
-        F.lit(step).cast("bigint"))).alias("second"))
-    frame = ahead
-    if include_history:
-        frame = train.select(*group, "second").distinct().unionByName(ahead)
+    frame = _ahead(train.groupBy(*group).agg(F.max("second").alias("last")), periods, step, group)
+    if include_history:  # a series has one row per (queue, tick)
+        frame = train.select(*group, "second").unionByName(frame)
     return frame.withColumn("ds", to_ts("second", tz))
 
 
 def predict(model: DataFrame, frame: DataFrame, group: Sequence[str] = ("queue", "metric"),
             step: int = HOUR, z: float = Z80) -> DataFrame:
-    """yhat with lower/upper bound for every frame row."""
+    """yhat with lower/upper bound for every frame row; further columns of the
+    frame (``y``, ``date``) pass through behind them."""
     group = list(group)
     keys = [*group, "hour", "dow"] if "dow" in model.columns else [*group, "hour"]
-    df = (frame.withColumn("hour", F.hour("ds")).withColumn("dow", F.dayofweek("ds"))
-               .join(model, on=keys))
+    more = [c for c in frame.columns if c not in (*group, "second", "ds")]
+    slots = frame.withColumn("hour", F.hour("ds")).withColumn("dow", F.dayofweek("ds"))
+    df = join_same(slots if "dow" in keys else slots.drop("dow"), model, keys)
     t = (F.col("second") - F.col("origin")) / F.lit(float(step))
     yhat = F.col("intercept") + F.col("slope") * t + F.col("effect")
     return df.select(*group, "second", "ds", yhat.alias("yhat"),
                      (yhat - z * F.col("sd")).alias("yhat_lower"),
-                     (yhat + z * F.col("sd")).alias("yhat_upper"))
+                     (yhat + z * F.col("sd")).alias("yhat_upper"), *more)
 
 
 def backtest(forecast: DataFrame, train: DataFrame,
@@ -143,7 +157,7 @@ def backtest(forecast: DataFrame, train: DataFrame,
     """Forecast rows with the observed ``y`` and ``date`` where there is history."""
     group = list(group)
     hist = train.select(*group, "second", "y", "date")
-    return forecast.join(hist, on=[*group, "second"], how="left")
+    return join_same(forecast, hist, [*group, "second"], "left")
 
 
 def horizon(train: DataFrame, group: Sequence[str] = ("queue", "metric")) -> DataFrame:
@@ -151,25 +165,21 @@ def horizon(train: DataFrame, group: Sequence[str] = ("queue", "metric")) -> Dat
     return train.groupBy(*group).agg(F.max("date").alias("last_date"))
 
 
-def materialise(train: DataFrame) -> DataFrame:
-    """Training rows are read by several passes (fit, frame, backtest): write
-    them once to the shared checkpoint folder instead of recomputing the
-    whole series lineage for every pass."""
-    return cut_lineage(train)
-
-
 def forecast_all(series_df: DataFrame, periods: int = 48, step: int = HOUR,
                  tz: str = "UTC", metrics: Sequence[str] | None = None,
                  queues: Sequence[str] | None = None, z: float = Z80,
                  weekly: bool = False) -> DataFrame:
     """Usage series -> daily profiles -> every (queue, measure) forecast
     (``weekly`` adds the weekday effect, for histories of two weeks or more)."""
-    daily = block_stats_daily(series_df, tz=tz)
-    train = materialise(series_all(daily, metrics, queues))
-    model = fit(train, step=step, weekly=weekly)
-    frame = future(train, periods, step, tz=tz)
-    return backtest(predict(model, frame, step=step, z=z), train)
+    group = ["queue", "metric"]
+    train = series_all(block_stats_daily(series_df, tz=tz), metrics, queues)
+    model = fit(train, group, step, weekly)
+    # The history rows carry their y and date along, so no join has to find them again.
+    ahead = _ahead(model.where("hour = 0" + " AND dow = 1" * weekly), periods, step, group)
+    ahead = ahead.withColumn("ds", to_ts("second", tz))
+    frame = train.select(*group, "second", "ds", "y", "date").unionByName(ahead, allowMissingColumns=True)
+    return predict(model, frame, group, step, z)
 
 
 __all__ = ["series", "series_all", "fit", "future", "predict", "backtest", "horizon",
-           "materialise", "forecast_all"]
+           "forecast_all"]

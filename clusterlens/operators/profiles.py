@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import weekday, weekday_index
 from .clean import with_hour_block
+from .joins import join_same
 
 # Measure of the series -> the name used in profile columns.
 PROFILE_MEASURES = {"cpus": "cpus", "gpu": "gpus", "mem": "mem"}
@@ -57,24 +58,26 @@ def block_stats(series: DataFrame, keys: Sequence[str] = ("queue", "hour_block")
     if suffix is None:
         suffix = "per_block_per_date" if "date" in keys else "per_block"
     stats = group_stats(series, keys, suffix, measures, totals)
-    return series.join(stats, on=keys, how="inner")
+    return join_same(series, stats, keys)
 
 
 def block_stats_daily(series: DataFrame, tz: str = "UTC",
                       measures: dict[str, str] | None = None) -> DataFrame:
     """Both profiles on every row, plus the weekday of the row's date.
 
-    One aggregation to (queue, hour_block, date) - sums and counts - feeds
-    both statistics tables; the coarser one is rolled up from that small
-    table, so the series is scanned once for statistics and joined once.
+    One aggregation to (queue, hour_block, date) - sums and counts, one row
+    per day - feeds both statistics; the coarser one adds up that small table
+    in a window. The statistics and the rows they are joined to both come
+    from ``series``: give a stored series where computing it is expensive.
     """
     measures = measures or PROFILE_MEASURES
     df = with_hour_block(series, tz=tz) if "hour_block" not in series.columns else series
     fine_keys = ["queue", "hour_block", "date"]
     sums = [F.sum(src).alias(f"_s_{src}") for src in measures]
     fine = df.groupBy(*fine_keys).agg(F.count(F.lit(1)).alias("_n"), *sums)
-    coarse = fine.groupBy("queue", "hour_block").agg(
-        F.sum("_n").alias("_cn"), *[F.sum(f"_s_{src}").alias(f"_c_{src}") for src in measures])
+    days = Window.partitionBy("queue", "hour_block")
+    fine = fine.select("*", F.sum("_n").over(days).alias("_cn"),
+                       *[F.sum(f"_s_{src}").over(days).alias(f"_c_{src}") for src in measures])
     stats_cols = []
     for src, label in measures.items():
         stats_cols += [
@@ -83,8 +86,7 @@ def block_stats_daily(series: DataFrame, tz: str = "UTC",
             (F.col(f"_s_{src}") / F.col("_n")).alias(f"mean_{label}_per_block_per_date"),
             F.col(f"_s_{src}").alias(f"totl_{label}_per_block_per_date"),
         ]
-    stats = fine.join(coarse, on=["queue", "hour_block"]).select(*fine_keys, *stats_cols)
-    out = df.join(stats, on=fine_keys, how="inner")
+    out = join_same(df, fine.select(*fine_keys, *stats_cols), fine_keys)
     return out.withColumn("weekday", weekday("date")).withColumn("weekday_index",
                                                                  weekday_index("date"))
 

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_same
+
 # Measure column of the series -> job column it sums.
 DEFAULT_MEASURES = {
     "cpus": "num_processors",
@@ -33,10 +35,6 @@ DEFAULT_MEASURES = {
 }
 
 
-# Grid step (seconds) below which ``method='auto'`` sweeps instead of exploding.
-SWEEP_BELOW_STEP = 300
-
-
 def first_event(entries: DataFrame, end_col: str = "approx_end") -> DataFrame:
     """One-row table: the first observed (rounded) end time."""
     return entries.agg(F.min(end_col).alias("first_event"))
@@ -47,8 +45,8 @@ def _clamped(entries: DataFrame, start_col: str, end_col: str,
     """Add ``_s`` (start clamped to the first event) and ``_e`` (end)."""
     if clamp:
         first = first if first is not None else first_event(entries, end_col)
-        # One row, one column: safe to broadcast at any scale.
-        df = entries.crossJoin(F.broadcast(first))
+        # One row, one column, whatever was given: safe to broadcast at any scale.
+        df = entries.crossJoin(F.broadcast(first.agg(F.min("first_event").alias("first_event"))))
         s = F.greatest(F.col("first_event"), F.col(start_col))
     else:
         df = entries.withColumn("first_event", F.lit(None).cast("bigint"))
@@ -56,6 +54,32 @@ def _clamped(entries: DataFrame, start_col: str, end_col: str,
     return df.withColumn("_s", s).withColumn("_e", F.col(end_col))
 
 
+def _ordered(df: DataFrame, closed: str, step: int) -> tuple[DataFrame, F.Column]:
+    """Jobs of a clamped table that cover a tick, and the last instant of their grid."""
+    last = F.col("_e") if closed == "both" else F.col("_e") - step
+    return df.filter(F.col("_s") <= last), last
+
+
+def interval_rejects(entries: DataFrame, start_col: str = "approx_start", end_col: str = "approx_end",
+                     clamp: bool = True, first: DataFrame | None = None) -> DataFrame:
+    """One row: jobs that give no tick, by reason.
+
+    ``n_reversed`` started after their end, ``n_before_first`` ended before
+    the first event (none when the first event is taken from ``entries``),
+    ``n_unknown`` lack a start or an end; ``n_covering`` cover a tick.
+    """
+    df = _clamped(entries, start_col, end_col, clamp, first)
+    start, end = F.col(start_col), F.col(end_col)
+    unknown = start.isNull() | end.isNull()
+    return df.select(
+        unknown.alias("u"), (start > end).alias("r"), (F.col("_s") <= end).alias("ok")).agg(
+        F.count(F.lit(1)).alias("n_jobs"),
+        F.count_if("ok").alias("n_covering"),
+        F.count_if(~F.col("u") & F.col("r")).alias("n_reversed"),
+        F.count_if(~F.col("u") & ~F.col("r") & ~F.col("ok")).alias("n_before_first"),
+        F.count_if("u").alias("n_unknown"))
+
+
 def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_start",
               end_col: str = "approx_end", tick_col: str = "second",
               clamp: bool = True, closed: str = "both",
@@ -64,11 +88,9 @@ def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_sta
 
     Ticks run from the (clamped) start to the end in ``step`` seconds, both
     ends included (``closed='left'`` drops the end tick). Jobs whose start
-    lies after their end cover no tick.
+    lies after their end cover no tick; ``interval_rejects`` counts them.
     """
-    df = _clamped(entries, start_col, end_col, clamp, first)
-    last = F.col("_e") if closed == "both" else F.col("_e") - step
-    df = df.filter(F.col("_s") <= last)
+    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), closed, step)
     cols = [c for c in entries.columns]
     return df.select(*cols, F.explode(F.sequence(F.col("_s"), last, F.lit(step).cast("bigint")))
                      .alias(tick_col))
@@ -94,13 +116,12 @@ def usage_series(entries: DataFrame, group: Sequence[str] = ("queue",),
 
     A ``sentinel`` value (-1) counts as missing; missing values are skipped,
     an all-missing sum is 0. Only ticks with at least one active job appear.
-    ``method``: ``explode``, ``sweep`` or ``auto`` (sweep when the grid is
-    finer than ``SWEEP_BELOW_STEP`` seconds, where exploding every job into
-    ticks multiplies the rows by the job length in steps).
+    ``method``: ``explode`` or ``sweep``, which give the same rows; sweep pays
+    where the grid is fine against the length of the jobs.
     """
     measures = dict(measures or DEFAULT_MEASURES)
-    if method == "auto":
-        method = "sweep" if step < SWEEP_BELOW_STEP else "explode"
+    if method not in ("explode", "sweep"):
+        raise ValueError(f"unknown method {method!r}")
     if method == "sweep":
         return usage_sweep(entries, group, step, measures, start_col, end_col,
                            tick_col, sentinel, clamp, closed, first=first)
@@ -121,9 +142,7 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
     exploding every job (see the module notes)."""
     measures = dict(measures or DEFAULT_MEASURES)
     group = list(group)
-    df = _clamped(entries, start_col, end_col, clamp, first)
-    last = F.col("_e") if closed == "both" else F.col("_e") - step
-    df = df.filter(F.col("_s") <= last)
+    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), closed, step)
     vals = _measure_exprs(measures, sentinel)
     names = list(vals)
     # Ticks of a job sit at _s + k*step; jobs of different phase never share
@@ -138,13 +157,13 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
         F.struct(F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("d_n"), *plus),
         F.struct((last + step).alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus))))
     dcols = ["d_n"] + [f"d_{n}" for n in names]
-    # Map-side partial sums collapse the change points before the shuffle.
-    cp = (points
-          .groupBy(*group, "_ph", "_t")
-          .agg(*[F.sum(c).alias(c) for c in dcols]))
+    # Map-side partial sums collapse the change points before the shuffle. The
+    # block is a key of the sums and the join below takes NULL keys, so both
+    # uses of the change points have the same plan and share one exchange.
     width = step * block_ticks
-    cp = cp.withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
     part = [*group, "_ph"]
+    cp = (points.withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
+          .groupBy(*part, "_b", "_t").agg(*[F.sum(c).alias(c) for c in dcols]))
     # Block totals and the level carried into each block (small table).
     blocks = cp.groupBy(*part, "_b").agg(*[F.sum(c).alias(f"b_{c}") for c in dcols],
                                          F.min("_t").alias("_bfirst"))
@@ -156,7 +175,7 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
         F.lead("_bfirst").over(wb).alias("_next_block_first"))
     # Running level within the block, plus the carried-in offset.
     w = Window.partitionBy(*part, "_b").orderBy("_t")
-    run = cp.join(blocks, on=[*part, "_b"], how="inner").select(
+    run = join_same(cp, blocks, [*part, "_b"]).select(
         *part, "_t",
         *[(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"o_{c}")).alias(c)
           for c in dcols],

@@ -24,6 +24,7 @@ from ..operators import series as ser
 from ..operators.clean import (clean_names, duplicates, front, job_times, log_entries,
                                narrow, null_sentinel, started, with_grid_times,
                                with_hour_block)
+from ..operators.joins import join_same
 from ..operators.positions import row_numbered
 from ..sources.lists import ragged_pairs
 from . import fixtures as fx
@@ -64,7 +65,7 @@ def _parsed(spark, sf, fields=None):
 
 
 def _daily(spark, sf):
-    return prof.block_stats_daily(_series(spark, sf, "auto"), tz=TZ)
+    return prof.block_stats_daily(_series(spark, sf, "explode"), tz=TZ)
 
 
 def _hosts(spark, sf):
@@ -274,7 +275,7 @@ _BLOCK_COLS = ["queue", "second", "hour_block", "cpus", "gpu", "mem"]
 
 
 def q_block_stats(spark, sf):
-    df = prof.block_stats(_series(spark, sf, "auto"), tz=TZ)
+    df = prof.block_stats(_series(spark, sf, "explode"), tz=TZ)
     return df.select(*_BLOCK_COLS, *prof.stat_columns("per_block"))
 
 
@@ -285,11 +286,11 @@ def q_block_stats_daily(spark, sf):
 
 
 def q_profile_mean(spark, sf):
-    return prof.hour_profile(_series(spark, sf, "auto"), "mean", "cpus", tz=TZ)
+    return prof.hour_profile(_series(spark, sf, "explode"), "mean", "cpus", tz=TZ)
 
 
 def q_profile_total(spark, sf):
-    return prof.hour_profile(_series(spark, sf, "auto"), "sum", "cpus", tz=TZ)
+    return prof.hour_profile(_series(spark, sf, "explode"), "sum", "cpus", tz=TZ)
 
 
 # --------------------------------------------------------------------------
@@ -349,7 +350,7 @@ def _iso(df, *cols):
 
 def _train(spark, sf, metric=None):
     daily = _daily(spark, sf)
-    return fc.materialise(fc.series_all(daily) if metric is None else fc.series(daily, metric))
+    return fc.series_all(daily) if metric is None else fc.series(daily, metric)
 
 
 def q_forecast_fit(spark, sf):
@@ -361,7 +362,7 @@ def q_forecast_fit(spark, sf):
 def q_forecast_frame(spark, sf):
     train = _train(spark, sf, "cpus")
     frame = fc.future(train, 48, tz=TZ)
-    return _iso(frame.join(fc.horizon(train), on=["queue", "metric"]), "last_date")
+    return _iso(join_same(frame, fc.horizon(train), ["queue", "metric"]), "last_date")
 
 
 def _rounded_forecast(df):
@@ -384,7 +385,7 @@ def q_forecast_backtest(spark, sf):
 
 
 def q_forecast_all(spark, sf):
-    return _rounded_forecast(fc.forecast_all(_series(spark, sf, "auto"), tz=TZ))
+    return _rounded_forecast(fc.forecast_all(_series(spark, sf, "explode"), tz=TZ))
 
 
 # --------------------------------------------------------------------------
@@ -397,7 +398,7 @@ def q_queue_nodes(spark, sf):
 
 
 def q_utilisation(spark, sf):
-    util = cap.utilisation(_series(spark, sf, "auto"), _capacity(spark, sf))
+    util = cap.utilisation(_series(spark, sf, "explode"), _capacity(spark, sf))
     return util.select("queue", "second", "cpus", "total_cores",
                        F.round("utilisation", 4).alias("utilisation"))
 
