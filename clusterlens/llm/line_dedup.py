@@ -28,7 +28,8 @@ VARIABLE = "<*>"
 
 def masked(line: Column) -> Column:
     """The line's tokens, separated by blanks, with tokens that hold a digit as variables."""
-    even = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    uneven = F.contains(line, F.lit("  ")) | line.rlike(r"[\x09-\x0D]")
+    even = F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
     return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE))
                   .otherwise(even))
 
@@ -38,10 +39,11 @@ def _digest(c: Column) -> Column:
 
 
 def _lines(rows: DataFrame, text: str, depth: int) -> DataFrame:
-    """row, line (from 0), mask (empty for a white line), leaf: the lines of rows(row, own)."""
+    """row, line (from 0), mask, leaf: the lines of rows(row, own) that aren't white."""
     lines = rows.select("row", F.posexplode(F.split(text_or_empty(F.col("own")[text]), "\n")).alias("line", "raw"))
-    tokens = F.split("mask", " ")
-    leaf = F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(k)) for k in range(depth)])
+    lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
+    leaf = F.xxhash64(blanks, F.substring_index("mask", " ", depth))
     return lines.select("row", "line", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
 
 
@@ -50,7 +52,7 @@ def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth
     counts = seen.select("row", "shape").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
     leaves = (seen.select("row", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_docs).select("leaf"))
-    masks = (_lines(rows, text, depth).where(F.col("mask") != "").select("leaf", "mask")
+    masks = (_lines(rows, text, depth).select("leaf", "mask")
              .join(stage(leaves, "leaves"), "leaf").distinct().withColumn("shape", _digest(F.col("mask"))))
     masks = stage(masks.join(counts, "shape"), "open-lines")
 
@@ -73,8 +75,7 @@ def _staged(docs: DataFrame, text: str, depth: int) -> tuple[DataFrame, DataFram
     """rows(row, own) with a number for each row, and a narrow row (row, line, shape, leaf)
     for each line that isn't white."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")), "rows")
-    seen = (_lines(rows, text, depth).where(F.col("mask") != "")
-            .select("row", "line", _digest(F.col("mask")).alias("shape"), "leaf"))
+    seen = _lines(rows, text, depth).select("row", "line", _digest(F.col("mask")).alias("shape"), "leaf")
     return rows, stage(seen, "lines")
 
 
