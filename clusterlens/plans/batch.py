@@ -29,7 +29,7 @@ def _save(df: DataFrame, path: str, **kw) -> DataFrame:
 
 
 def run(spark: SparkSession, log_path: str, out_dir: str, tz: str = "UTC",
-        step: int = 1000, periods: int = 48, method: str = "auto") -> dict[str, str]:
+        step: int = 1000, periods: int = 48, method: str = "explode") -> dict[str, str]:
     """Run every stage; returns the table paths by name."""
     out = out_dir.rstrip("/")
     paths = {n: f"{out}/{n}" for n in (

@@ -253,8 +253,21 @@ def q_usage_sweep(spark, sf):
     return _series(spark, sf, "sweep")
 
 
+def _with_position(df):
+    """The place of each row in the order in which ``df`` gives its rows."""
+    return row_numbered(df.withColumn("_at", F.monotonically_increasing_id()), "_at", out="position").drop("_at")
+
+
 def q_usage_series_sorted(spark, sf):
-    return ser.sorted_series(_series(spark, sf, "sweep"))
+    return _with_position(ser.sorted_series(_series(spark, sf, "sweep")))
+
+
+def q_interval_rejects(spark, sf):
+    return ser.interval_rejects(_entries(spark, sf))
+
+
+def q_series_one_queue(spark, sf):
+    return _iso(fc.series(_daily(spark, sf), "cpus", queues=["click"]), "date")
 
 
 def q_usage_merge(spark, sf):
@@ -314,11 +327,11 @@ def q_cpu_by_day(spark, sf):
 
 
 def q_cpu_by_queue(spark, sf):
-    return rep.report_by(_report_input(spark, sf), ["queue"], order=True)
+    return _with_position(rep.report_by(_report_input(spark, sf), ["queue"], order=True))
 
 
 def q_cpu_by_user(spark, sf):
-    return rep.report_by(_report_input(spark, sf), ["user_name"], order=True)
+    return _with_position(rep.report_by(_report_input(spark, sf), ["user_name"], order=True))
 
 
 def q_cpu_by_user_queue(spark, sf):
@@ -388,6 +401,10 @@ def q_forecast_all(spark, sf):
     return _rounded_forecast(fc.forecast_all(_series(spark, sf, "explode"), tz=TZ))
 
 
+def q_forecast_weekly(spark, sf):
+    return _rounded_forecast(fc.forecast_all(_series(spark, sf), tz=TZ, weekly=True))
+
+
 # --------------------------------------------------------------------------
 # 2.8 capacity
 # --------------------------------------------------------------------------
@@ -443,6 +460,8 @@ QUERIES: dict[str, Query] = {
     "usage_sweep": q_usage_sweep,
     "usage_series_sorted": q_usage_series_sorted,
     "usage_merge": q_usage_merge,
+    "interval_rejects": q_interval_rejects,
+    "series_one_queue": q_series_one_queue,
     # profiles
     "block_stats": q_block_stats,
     "block_stats_daily": q_block_stats_daily,
@@ -463,6 +482,7 @@ QUERIES: dict[str, Query] = {
     "forecast": q_forecast,
     "forecast_backtest": q_forecast_backtest,
     "forecast_all": q_forecast_all,
+    "forecast_weekly": q_forecast_weekly,
     # capacity
     "queue_nodes": q_queue_nodes,
     "utilisation": q_utilisation,

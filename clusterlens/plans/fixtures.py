@@ -5,8 +5,9 @@ derived from the given tables; every derived row comes from a source row,
 so the work grows with the tables:
 
 * ``jobs``  - one job per ``events`` row (queue = event_type, user = user_id,
-  times from ``ts``, ``props.k`` and ``value``), with never-started jobs and
-  -1 "missing" sentinels.
+  times from ``ts``, ``props.k`` and ``value``), with never-started jobs,
+  -1 "missing" sentinels, jobs without a queue, jobs that end before they
+  start, and array jobs that share an id and differ in ``idx``.
 * ``lines`` - every job rendered as a finished-job accounting-log line
   (133 fields, variable groups, quoted strings), a known share of them
   damaged in a known way, so the parser can be checked line by line.
@@ -35,11 +36,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = ntz_to_epoch(F.col("ts"))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     run = F.floor(F.col("value") * 100).cast("bigint")
+    eid = F.col("event_id")
+    array_job = eid % 10 == 3
     base = ev.select(
-        F.col("event_id").alias("job_id"), "user_id",
-        F.col("event_type").alias("queue"),
+        "event_id", F.when(array_job, eid - eid % 100 + 3).otherwise(eid).alias("job_id"), "user_id",
+        F.when(eid % 31 != 4, F.col("event_type")).alias("queue"),
+        F.when(array_job, F.floor(eid % 100 / 10)).otherwise(0).cast("bigint").alias("idx"),
         ep.alias("ep"), k.alias("k"), run.alias("run"))
-    eid = F.col("job_id")
     start = F.col("ep") + F.col("k") * 60
     return base.select(
         "job_id", "user_id",
@@ -47,13 +50,13 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "queue",
         F.col("ep").alias("submit_time"),
         F.when(eid % 29 == 0, F.lit(0).cast("bigint")).otherwise(start).alias("start_time"),
-        (start + F.col("run")).alias("event_time"),
+        F.when(eid % 37 == 5, start - 5000).otherwise(start + F.col("run")).alias("event_time"),
         F.col("run").alias("run_time"),
         (eid % 8 + 1).alias("num_processors"),
         F.when(eid % 13 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("k") * 1024).alias("avg_mem"),
         F.when(eid % 5 == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("num_gpu_rusages"),
         F.lit(0).cast("bigint").alias("max_r_mem"),
-        F.lit(0).cast("bigint").alias("idx"),
+        "idx",
         F.lit(0).cast("bigint").alias("requeue_time"),
         F.when(eid % 29 == 0, F.lit(-1).cast("bigint"))
          .otherwise(start - F.col("ep")).alias("ineligible_pend_time"),
@@ -100,7 +103,7 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
         "event_time": num("event_time"), "job_id": num("job_id"), "user_id": num("user_id"),
         "num_processors": num("num_processors"), "submit_time": num("submit_time"),
         "start_time": num("start_time"), "user_name": _q(F.col("user_name")),
-        "queue": _q(F.col("queue")),
+        "queue": _q(F.coalesce("queue", F.lit(""))),
         "command": _q(F.lit('run "a b" --x')),
         "idx": F.when(dmg == 10, F.lit('""')).otherwise(num("idx")),
         "avg_mem": num("avg_mem"), "run_time": num("run_time"),

@@ -29,14 +29,17 @@ def _hour_label(h: str) -> str:
 
 JOBS = """
 jobs AS (
-  SELECT event_id AS job_id, user_id, 'user' || CAST(user_id AS VARCHAR) AS user_name,
-         event_type AS queue, ep AS submit_time,
+  SELECT CASE WHEN event_id % 10 = 3 THEN event_id - event_id % 100 + 3 ELSE event_id END AS job_id,
+         user_id, 'user' || CAST(user_id AS VARCHAR) AS user_name,
+         CASE WHEN event_id % 31 <> 4 THEN event_type END AS queue, ep AS submit_time,
          CASE WHEN event_id % 29 = 0 THEN CAST(0 AS BIGINT) ELSE ep + k * 60 END AS start_time,
-         ep + k * 60 + run AS event_time, run AS run_time,
+         CASE WHEN event_id % 37 = 5 THEN ep + k * 60 - 5000 ELSE ep + k * 60 + run END AS event_time,
+         run AS run_time,
          event_id % 8 + 1 AS num_processors,
          CASE WHEN event_id % 13 = 0 THEN CAST(-1 AS BIGINT) ELSE k * 1024 END AS avg_mem,
          CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS num_gpu_rusages,
-         CAST(0 AS BIGINT) AS max_r_mem, CAST(0 AS BIGINT) AS idx,
+         CAST(0 AS BIGINT) AS max_r_mem,
+         CAST(CASE WHEN event_id % 10 = 3 THEN floor(event_id % 100 / 10) ELSE 0 END AS BIGINT) AS idx,
          CAST(0 AS BIGINT) AS requeue_time,
          CASE WHEN event_id % 29 = 0 THEN CAST(-1 AS BIGINT) ELSE k * 60 END AS ineligible_pend_time
   FROM (SELECT event_id, user_id, event_type,
@@ -79,6 +82,11 @@ series AS (
 )"""
 
 
+def _same(a: str, b: str, *keys: str) -> str:
+    """A join condition in which NULL meets NULL."""
+    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+
+
 def _hb(tz: str = "UTC") -> str:
     return f""",
 hb AS (
@@ -105,7 +113,8 @@ by_date AS ({_stats('queue, hour_block, date', 'per_block_per_date')}),
 daily AS (
   SELECT hb.*, {_stat_cols('per_block')}, {_stat_cols('per_block_per_date')},
          strftime(hb.date, '%a') AS weekday
-  FROM hb JOIN by_block USING (queue, hour_block) JOIN by_date USING (queue, hour_block, date)
+  FROM hb JOIN by_block b ON {_same('hb', 'b', 'queue', 'hour_block')}
+  JOIN by_date d ON {_same('hb', 'd', 'queue', 'hour_block', 'date')}
 )"""
 
 
@@ -118,12 +127,12 @@ def _train(metrics: tuple[str, ...]) -> str:
 train AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}) u)"""
 
 
-FIT = """,
+FIT = f""",
 origin AS (SELECT queue, metric, min(second) AS origin FROM train GROUP BY queue, metric),
 tt AS (
   SELECT train.*, origin.origin,
          CAST(second - origin.origin AS DOUBLE) / CAST(3600 AS DOUBLE) AS t
-  FROM train JOIN origin USING (queue, metric)
+  FROM train JOIN origin ON {_same('train', 'origin', 'queue', 'metric')}
 ),
 trend AS (
   SELECT queue, metric, origin, count(*) AS n,
@@ -132,22 +141,22 @@ trend AS (
   FROM tt GROUP BY queue, metric, origin
 ),
 resid AS (
-  SELECT queue, metric, CAST(hour(ds) AS INTEGER) AS hour,
+  SELECT tt.queue, tt.metric, CAST(hour(ds) AS INTEGER) AS hour, CAST(dayofweek(ds) + 1 AS INTEGER) AS dow,
          y - (intercept + slope * t) AS r
-  FROM tt JOIN trend USING (queue, metric)
+  FROM tt JOIN trend ON {_same('tt', 'trend', 'queue', 'metric')}
 ),
 effect AS (SELECT queue, metric, hour, avg(r) AS effect FROM resid GROUP BY queue, metric, hour),
 spread AS (
-  SELECT queue, metric, sqrt(avg(pow(r - effect, 2))) AS sd
-  FROM resid JOIN effect USING (queue, metric, hour) GROUP BY queue, metric
+  SELECT resid.queue, resid.metric, sqrt(avg(pow(r - effect, 2))) AS sd
+  FROM resid JOIN effect ON {_same('resid', 'effect', 'queue', 'metric', 'hour')} GROUP BY resid.queue, resid.metric
 ),
 model AS (
   SELECT tr.queue, tr.metric, h.hour, tr.origin, tr.slope, tr.intercept,
          coalesce(e.effect, CAST(0 AS DOUBLE)) AS effect, sp.sd, tr.n
   FROM trend tr
   CROSS JOIN (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) h
-  LEFT JOIN effect e ON e.queue = tr.queue AND e.metric = tr.metric AND e.hour = h.hour
-  JOIN spread sp ON sp.queue = tr.queue AND sp.metric = tr.metric
+  LEFT JOIN effect e ON {_same('e', 'tr', 'queue', 'metric')} AND e.hour = h.hour
+  JOIN spread sp ON {_same('sp', 'tr', 'queue', 'metric')}
 ),
 lastt AS (SELECT queue, metric, max(second) AS l FROM train GROUP BY queue, metric),
 frame0 AS (
@@ -161,7 +170,7 @@ pred AS (
          m.intercept + m.slope * (CAST(f.second - m.origin AS DOUBLE) / CAST(3600 AS DOUBLE))
            + m.effect AS yhat, m.sd
   FROM frame f JOIN model m
-    ON m.queue = f.queue AND m.metric = f.metric AND m.hour = CAST(hour(f.ds) AS INTEGER)
+    ON {_same('m', 'f', 'queue', 'metric')} AND m.hour = CAST(hour(f.ds) AS INTEGER)
 ),
 fcst AS (
   SELECT queue, metric, second, ds, yhat,
@@ -241,7 +250,7 @@ SELECT job_id, CAST(job_id % 4 AS INTEGER) AS n_exec_hosts,
        true AS asked_hosts_absent
 FROM jobs WHERE NOT ({_JOB_ID_COND_BAD})""")
 
-SQL["log_type_filter"] = "SELECT event_id AS job_id FROM events WHERE event_id % 50 <> 9"
+SQL["log_type_filter"] = _w(JOBS, "SELECT job_id FROM jobs WHERE job_id % 50 <> 9")
 
 SQL["log_repair"] = ("SELECT event_id AS job_id, true AS starts_with_type "
                      "FROM events WHERE event_id % 50 = 11")
@@ -318,14 +327,28 @@ SELECT metric, hour_block, queue, second, ds, y, CAST(date AS VARCHAR) AS date F
 # ---- series --------------------------------------------------------------
 SQL["first_event"] = _w(ENTRIES, "SELECT first_event FROM first")
 SQL["job_ticks"] = _w(ENTRIES, "SELECT job_id, queue, second, num_processors FROM ticks")
-for _k in ("usage_series", "usage_sweep", "usage_series_sorted", "usage_merge"):
+for _k in ("usage_series", "usage_sweep", "usage_merge"):
     SQL[_k] = _w(SERIES, "SELECT * FROM series")
+SQL["usage_series_sorted"] = _w(SERIES, """
+SELECT *, row_number() OVER (ORDER BY second NULLS FIRST, queue NULLS FIRST) AS position FROM series""")
+
+SQL["interval_rejects"] = _w(JOBS + "," + GRID + """,
+entries AS (SELECT * FROM grid WHERE start_time > 0),
+first AS (SELECT min(approx_end) AS f FROM entries)""", """
+SELECT count(*) AS n_jobs, count(*) FILTER (greatest(f, approx_start) <= approx_end) AS n_covering,
+       count(*) FILTER (approx_start > approx_end) AS n_reversed,
+       count(*) FILTER (approx_start <= approx_end AND greatest(f, approx_start) > approx_end) AS n_before_first,
+       count(*) FILTER (approx_start IS NULL OR approx_end IS NULL) AS n_unknown
+FROM entries, first""")
+
+SQL["series_one_queue"] = _w(_train(("cpus",)), """
+SELECT metric, hour_block, queue, second, ds, y, CAST(date AS VARCHAR) AS date FROM train WHERE queue = 'click'""")
 
 # ---- profiles ------------------------------------------------------------
 SQL["block_stats"] = _w(SERIES + _hb() + f""",
 by_block AS ({_stats('queue, hour_block', 'per_block')})""", f"""
-SELECT queue, second, hour_block, cpus, gpu, mem, {_stat_cols('per_block')}
-FROM hb JOIN by_block USING (queue, hour_block)""")
+SELECT hb.queue, second, hb.hour_block, cpus, gpu, mem, {_stat_cols('per_block')}
+FROM hb JOIN by_block b ON {_same('hb', 'b', 'queue', 'hour_block')}""")
 
 SQL["block_stats_daily"] = _w(DAILY, f"""
 SELECT queue, second, hour_block, cpus, gpu, mem, CAST(date AS VARCHAR) AS date, weekday,
@@ -355,10 +378,12 @@ FROM (SELECT day_block, day_index, queue, sum(num_processors) AS q
       FROM jt GROUP BY day_block, day_index, queue) x""")
 
 SQL["cpu_by_queue"] = _w(JT, """
-SELECT queue, CAST(sum(num_processors) AS BIGINT) AS cpu_sum FROM jt GROUP BY queue""")
+SELECT *, row_number() OVER (ORDER BY cpu_sum, queue NULLS FIRST) AS position FROM (
+  SELECT queue, CAST(sum(num_processors) AS BIGINT) AS cpu_sum FROM jt GROUP BY queue) x""")
 
 SQL["cpu_by_user"] = _w(JT, """
-SELECT user_name, CAST(sum(num_processors) AS BIGINT) AS cpu_sum FROM jt GROUP BY user_name""")
+SELECT *, row_number() OVER (ORDER BY cpu_sum, user_name NULLS FIRST) AS position FROM (
+  SELECT user_name, CAST(sum(num_processors) AS BIGINT) AS cpu_sum FROM jt GROUP BY user_name) x""")
 
 SQL["cpu_by_user_queue"] = _w(JT, """
 SELECT user_name, queue, CAST(q AS BIGINT) AS cpu_que_sum,
@@ -380,10 +405,10 @@ SELECT queue, metric, hour, origin, {_sig('slope')}, {_sig('intercept')},
        {_sig('effect')}, {_sig('sd')}, n
 FROM model""")
 
-SQL["forecast_frame"] = _w(_train(("cpus",)) + FIT, """
+SQL["forecast_frame"] = _w(_train(("cpus",)) + FIT, f"""
 SELECT f.queue, f.metric, f.second, f.ds, CAST(h.last_date AS VARCHAR) AS last_date
 FROM frame f JOIN (SELECT queue, metric, max(date) AS last_date FROM train GROUP BY queue, metric) h
-  USING (queue, metric)""")
+  ON {_same('f', 'h', 'queue', 'metric')}""")
 
 SQL["forecast"] = _w(_train(("cpus",)) + FIT, f"""
 SELECT queue, metric, second, ds, {_FC_COLS} FROM fcst""")
@@ -391,10 +416,28 @@ SELECT queue, metric, second, ds, {_FC_COLS} FROM fcst""")
 _BACKTEST = f"""
 SELECT f.queue, f.metric, f.second, f.ds, CAST(t.date AS VARCHAR) AS date, {_FC_COLS},
        {_sig('t.y')}
-FROM fcst f LEFT JOIN train t USING (queue, metric, second)"""
+FROM fcst f LEFT JOIN train t ON {_same('f', 't', 'queue', 'metric', 'second')}"""
 SQL["forecast_backtest"] = _w(_train(("cpus",)) + FIT, _BACKTEST)
 SQL["forecast_all"] = _w(_train(_ALL) + FIT, _BACKTEST)
 
+_WEEKLY = f""",
+rest AS (SELECT resid.*, effect, r - effect AS r2
+         FROM resid JOIN effect ON {_same('resid', 'effect', 'queue', 'metric', 'hour')}),
+weffect AS (SELECT queue, metric, dow, avg(r2) AS weffect FROM rest GROUP BY queue, metric, dow),
+wsd AS (SELECT rest.queue, rest.metric, sqrt(avg(pow(r2 - weffect, 2))) AS sd
+        FROM rest JOIN weffect w ON {_same('rest', 'w', 'queue', 'metric', 'dow')} GROUP BY rest.queue, rest.metric),
+wpred AS (
+  SELECT f.queue, f.metric, f.second, f.ds, s.sd,
+         m.intercept + m.slope * (CAST(f.second - m.origin AS DOUBLE) / CAST(3600 AS DOUBLE))
+           + m.effect + coalesce(w.weffect, CAST(0 AS DOUBLE)) AS yhat
+  FROM frame f JOIN model m ON {_same('m', 'f', 'queue', 'metric')} AND m.hour = CAST(hour(f.ds) AS INTEGER)
+  JOIN wsd s ON {_same('s', 'f', 'queue', 'metric')}
+  LEFT JOIN weffect w ON {_same('w', 'f', 'queue', 'metric')} AND w.dow = CAST(dayofweek(f.ds) + 1 AS INTEGER)),
+wfcst AS (
+  SELECT queue, metric, second, ds, yhat, yhat - CAST(1.2816 AS DOUBLE) * sd AS yhat_lower,
+         yhat + CAST(1.2816 AS DOUBLE) * sd AS yhat_upper FROM wpred)"""
+SQL["forecast_weekly"] = _w(_train(_ALL) + FIT + _WEEKLY, _BACKTEST.replace("fcst f", "wfcst f"))
+
 # ---- capacity ------------------------------------------------------------
 SQL["queue_nodes"] = _w(HOSTS, "SELECT queue, node FROM qn")
 
