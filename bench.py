@@ -33,7 +33,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
-                          app="clusterlens-bench")
+                          app="clusterlens-bench",
+                          extra={"spark.clusterlens.partitions": str(2 * int(cpus))})  # the tables are single files
     # Warm-up: JVM start, codegen caches and file listing are not query time.
     QUERIES["first_event"](spark, sf_dir).collect()
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))

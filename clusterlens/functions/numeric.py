@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._util import as_col
 
+#: Texts that read as a floating-point number (no type suffixes such as ``1.5d``).
+FLOAT_PATTERN = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
 
 def signif(c, digits: int = 7) -> Column:
     """Round to ``digits`` significant digits, ties to even; 0 stays 0.

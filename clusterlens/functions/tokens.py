@@ -19,6 +19,10 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(as_col(c), f"^{_WS}+|{_WS}+$", "")
 
 
+def strip_left(c) -> Column:
+    return F.regexp_replace(as_col(c), f"^{_WS}+", "")
+
+
 def quote_count(c) -> Column:
     c = as_col(c)
     return F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
@@ -38,8 +42,8 @@ def quoted_tokens(c) -> Column:
     src = F.when(odd, F.concat(F.lit('"'), c)).otherwise(c)
     toks = F.regexp_extract_all(src, F.lit(TOKEN_PATTERN), 1)
     fixed = F.when(odd & (F.size(toks) > 0),
-                   F.concat(F.array(F.substring(F.get(toks, 0), 2, 1 << 30)),
-                            F.slice(toks, 2, 1 << 30)))
+                   F.concat(F.array(F.substring(F.get(toks, 0), F.lit(2), F.length(F.get(toks, 0)))),
+                            F.slice(toks, F.lit(2), F.size(toks))))
     return fixed.otherwise(toks)
 
 

@@ -80,26 +80,22 @@ def null_sentinel(df: DataFrame, keys: Iterable[str] = (), sentinel=-1,
                        for c in df.columns])
 
 
-def with_timestamps(df: DataFrame, cols: dict[str, str], tz: str = "UTC") -> DataFrame:
-    """Add local wall-clock timestamps: ``{new_name: epoch_column}``."""
-    for name, src in cols.items():
-        df = df.withColumn(name, to_ts(src, tz))
-    return df
-
-
 def job_times(df: DataFrame, tz: str = "UTC") -> DataFrame:
     """Report columns of a job row: local start/submit/event/end times,
-    pending time, run time, event hour, hour block and weekday."""
+    pending time, run time, event hour, hour block and weekday. ``run_time``
+    may be text, as the parser gives it; text that is no whole number of
+    seconds counts as unknown."""
     ev = to_ts("event_time", tz)
+    run = F.col("run_time").try_cast("bigint")
     return df.select(
         "*",
         to_ts("start_time", tz).alias("start_ts"),
         to_ts("submit_time", tz).alias("submit_ts"),
         ev.alias("event_ts"),
         (F.col("start_time") - F.col("submit_time")).alias("pend_time"),
-        to_ts(F.col("start_time") + F.col("run_time"), tz).alias("end_ts"),
+        to_ts(F.col("start_time") + run, tz).alias("end_ts"),
         F.hour(ev).alias("event_time_hour"),
-        F.col("run_time").alias("run_time_sec"),
+        run.alias("run_time_sec"),
         hour_label(F.hour(ev)).alias("hour_block"),
         weekday(ev).alias("day_block"),
         weekday_index(ev).alias("day_index"),

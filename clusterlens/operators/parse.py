@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import has_empty_segment, quoted_tokens, strip_ws, unquote
+from ..functions.numeric import FLOAT_PATTERN
+from ..functions.tokens import has_empty_segment, quoted_tokens, strip_left, strip_ws, unquote
 from ..templates import TEMPLATES, UNSUPPORTED_TYPES, Template
 
 OK = "ok"
@@ -44,7 +45,7 @@ def where_type(lines: DataFrame, record_type: str = "JOB_FINISH",
     With ``repair`` the test runs on the quote-repaired line, so a line that
     lost its first quote is still kept.
     """
-    c = strip_ws(F.col(line_col))
+    c = strip_left(F.col(line_col))  # the end doesn't matter for a prefix
     if repair:
         c = repair_line(c)
     return lines.filter(c.startswith(f'"{record_type}"'))
@@ -123,7 +124,7 @@ def _field_exprs(tpl: Template, tokens: Column, fold: Column) -> list[tuple[str,
         if kind == "bigint":
             val = raw.try_cast("bigint")
         elif kind == "double":
-            val = raw.try_cast("double")
+            val = F.when(raw.rlike(FLOAT_PATTERN), raw.try_cast("double"))
         else:
             val = raw
         out.append((name, val, kind))
@@ -142,7 +143,7 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     ``fields`` keeps only those template columns (all by default): columns
     are pruned at the parse, as a columnar scan would prune them.
 
-    Output: ``status``, optionally the raw ``line``, then every template
+    Output: ``status``, optionally ``line`` (the raw line, for rejected lines only), then every template
     field in template order (snake_case, typed). ``status`` is one of
     :data:`STATUSES`; the values of rejected lines are a best effort and
     may differ between engines - read them only through ``status``.
@@ -205,8 +206,8 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
               .when(any_missing, F.lit(BAD_TYPE))
               .otherwise(F.lit(OK)))
     cols = [status.alias("status")]
-    if keep_line:
-        cols.append(F.col("_line").alias("line"))
+    if keep_line:  # an accepted line's fields say it all
+        cols.append(F.when(status != OK, F.col("_line")).alias("line"))
     cols += [F.col(n) for (n, _, _) in fields_ if fields is None or n in set(fields)]
     return s3.select(*cols)
 
@@ -224,7 +225,3 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def parse_audit(parsed: DataFrame) -> DataFrame:
     """Lines per status (one small partial/final aggregation)."""
     return parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
-def parse_columns(record_type: str = "JOB_FINISH") -> list[str]:
-    return TEMPLATES[record_type].columns

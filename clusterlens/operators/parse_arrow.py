@@ -24,10 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..functions.numeric import FLOAT_PATTERN
 from ..templates import UNSUPPORTED_TYPES, Template
 
-_INT_RE = r"^\s*[+-]?[0-9]{1,18}\s*$"
-_FLOAT_RE = (r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$")
+_INT_RE = r"^\s*[+-]?[0-9]+\s*$"
+#: Largest digits of a 64-bit integer without and with a minus.
+_INT_MAX, _INT_MIN = str((1 << 63) - 1), str(1 << 63)
+#: Bytes of text parsed at once, however many lines a batch has.
+_SLICE_BYTES = 8 << 20
 
 
 def arrow_type(kind: str) -> pa.DataType:
@@ -36,17 +40,23 @@ def arrow_type(kind: str) -> pa.DataType:
 
 
 def _to_int(s: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """String array -> (int64 values, valid mask); non-integers are invalid."""
-    s = pc.fill_null(s, "")
-    ok = pc.match_substring_regex(s, _INT_RE)
-    clean = pc.replace_substring_regex(pc.utf8_trim_whitespace(s), r"^\+", "")
+    """String array -> (int64 values, valid mask); text that is no integer or
+    lies outside 64 bits is invalid."""
+    s = pc.utf8_trim_whitespace(pc.fill_null(s, ""))
+    negative = pc.starts_with(s, "-")
+    digits = pc.utf8_ltrim(pc.utf8_ltrim(s, "+-"), "0")
+    size = pc.utf8_length(digits)
+    limit = pc.if_else(negative, pa.scalar(_INT_MIN), pa.scalar(_INT_MAX))
+    fits = pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(digits, limit)))
+    ok = pc.and_(pc.match_substring_regex(s, _INT_RE), fits)
+    clean = pc.binary_join_element_wise(pc.if_else(negative, "-", ""), pc.if_else(pc.equal(size, 0), "0", digits), "")
     vals = pc.cast(pc.if_else(ok, clean, pa.scalar("0")), pa.int64())
     return vals.to_numpy(zero_copy_only=False), ok.to_numpy(zero_copy_only=False)
 
 
 def _to_float(s: pa.Array) -> pa.Array:
     s = pc.fill_null(s, "")
-    ok = pc.match_substring_regex(s, _FLOAT_RE)
+    ok = pc.match_substring_regex(s, FLOAT_PATTERN)
     vals = pc.cast(pc.if_else(ok, pc.utf8_trim_whitespace(s), pa.scalar("0")), pa.float64())
     return pc.if_else(ok, vals, pa.scalar(None, pa.float64()))
 
@@ -181,8 +191,8 @@ def parse_batch(lines: pa.Array, tpl: Template, record_type: str, known: list[st
         ["empty_segment", "unsupported_type", "unknown_type", "other_type", "bad_group",
          "bad_width", "bad_type"], "ok")
     cols = {"status": pa.array(status, pa.string())}
-    if keep_line:
-        cols["line"] = lines
+    if keep_line:  # an accepted line's fields say it all
+        cols["line"] = pc.if_else(pa.array(status == "ok"), pa.scalar(None, pa.string()), lines)
     cols.update({c: out[c] for c in tpl.columns if c in wanted_set})
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
@@ -219,5 +229,12 @@ def batch_parser(tpl: Template, record_type: str, known: list[str], keep_line: b
                 col = col.combine_chunks()
             if col.type != pa.string():
                 col = col.cast(pa.string())
-            yield parse_batch(col, tpl, record_type, known, keep_line, wanted)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(col):
+                used = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, used + _SLICE_BYTES, "right")))
+                part = col.take(pa.array(np.arange(at, end))) if end - at < len(col) else col
+                yield parse_batch(part, tpl, record_type, known, keep_line, wanted)
+                at = end
     return run

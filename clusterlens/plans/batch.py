@@ -1,7 +1,7 @@
 """The whole accounting flow as one Spark application.
 
 log text -> parsed jobs (+ quarantine, audit) -> narrow job table -> usage
-series -> hour profiles and usage reports -> forecast.
+series -> hour profiles and usage reports -> utilisation -> forecast.
 
 Every stage is written as a Parquet table under ``out_dir`` and the next
 stage reads it back: the lineage is cut at each written table, a lost
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import capacity as cap
 from ..operators import forecast as fc
 from ..operators import parse as P
 from ..operators import profiles as prof
@@ -28,31 +29,43 @@ def _save(df: DataFrame, path: str, **kw) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def run(spark: SparkSession, log_path: str, out_dir: str, tz: str = "UTC",
-        step: int = 1000, periods: int = 48, method: str = "explode") -> dict[str, str]:
-    """Run every stage; returns the table paths by name."""
-    out = out_dir.rstrip("/")
-    paths = {n: f"{out}/{n}" for n in (
-        "jobs", "quarantine", "audit", "log_entries", "series", "profiles_daily",
-        "cpu_by_day_queue", "cpu_by_queue", "cpu_by_user_queue", "cpu_by_hour_queue",
-        "forecast")}
+def run(spark: SparkSession, log_path: str, out_dir: str, tz: str = "UTC", step: int = 1000, periods: int = 48,
+        method: str = "explode", capacity: DataFrame | None = None, weekly: bool = False) -> dict[str, str]:
+    """Run every stage; returns the table paths by name.
 
-    parsed = P.parse_log(P.where_type(read_log(spark, log_path), "JOB_FINISH"))
-    # The parse is narrow; writing it once serves both outputs and the audit.
-    staged = _save(parsed, f"{out}/_parsed")
-    jobs = _save(P.parsed_rows(staged), paths["jobs"], sort_within=["event_time"])
-    write_table(P.quarantine(staged), paths["quarantine"])
-    write_table(P.parse_audit(staged), paths["audit"])
+    All lines are parsed in one pass into one table partitioned by status:
+    the accepted rows are its ``ok`` part, the rest is the quarantine, so
+    lines of other record types show up in the audit. ``capacity``
+    (queue, total_cores) adds the utilisation.
+    """
+    out, paths = out_dir.rstrip("/"), {}
 
-    entries = _save(log_entries(jobs), paths["log_entries"])
-    series = _save(ser.usage_series(entries, step=step, method=method), paths["series"])
-    write_table(prof.block_stats_daily(series, tz=tz), paths["profiles_daily"])
+    def save(name: str, df: DataFrame, **kw) -> DataFrame:
+        paths[name] = f"{out}/{name}"
+        return _save(df, paths[name], **kw)
+
+    parsed = save("parsed", P.parse_log(read_log(spark, log_path)), partition_by=["status"])
+    jobs = P.parsed_rows(parsed)
+    save("quarantine", P.quarantine(parsed))
+    save("audit", P.parse_audit(parsed))
+
+    entries = save("log_entries", log_entries(jobs))
+    save("interval_rejects", ser.interval_rejects(entries))
+    series = save("series", ser.usage_series(entries, step=step, method=method))
+    save("profiles_daily", prof.block_stats_daily(series, tz=tz))
+    for stat in ("mean", "total"):
+        save(f"profile_{stat}", prof.hour_profile(series, stat, "cpus", tz=tz))
+    if capacity is not None:
+        save("utilisation", cap.utilisation(series, capacity))
 
     report_in = job_times(jobs, tz)
-    write_table(rep.report_by(report_in, ["day_block", "queue"]), paths["cpu_by_day_queue"])
-    write_table(rep.report_by(report_in, ["queue"]), paths["cpu_by_queue"])
-    write_table(rep.report_user_queue(report_in), paths["cpu_by_user_queue"])
-    write_table(rep.report_by(report_in, ["hour_block", "queue"]), paths["cpu_by_hour_queue"])
+    save("data_window", rep.report_window(report_in))
+    save("cpu_by_day", rep.report_day(report_in))
+    save("cpu_by_hour", rep.report_hour(report_in))
+    save("cpu_by_user_queue", rep.report_user_queue(report_in))
+    for name, keys in {"cpu_by_day_queue": ["day_block", "queue"], "cpu_by_queue": ["queue"],
+                       "cpu_by_user": ["user_name"], "cpu_by_hour_queue": ["hour_block", "queue"]}.items():
+        save(name, rep.report_by(report_in, keys))
 
-    write_table(fc.forecast_all(series, periods=periods, tz=tz), paths["forecast"])
+    save("forecast", fc.forecast_all(series, periods=periods, tz=tz, weekly=weekly))
     return paths

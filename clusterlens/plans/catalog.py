@@ -26,7 +26,8 @@ from ..operators.clean import (clean_names, duplicates, front, job_times, log_en
                                with_hour_block)
 from ..operators.joins import join_same
 from ..operators.positions import row_numbered
-from ..sources.lists import ragged_pairs
+from ..sources.lists import capacity_lines, ragged_pairs
+from ..sources.tables import csv_lines, csv_rejects, csv_rows
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +86,8 @@ def _capacity(spark, sf):
              .distinct())
     ranked = names.select("series_queue", F.expr("dense_rank() over (order by series_queue) - 1")
                           .alias("r_regionkey"))
-    return (ranked.join(region, "r_regionkey").join(per_region, "queue")
-            .select(F.col("series_queue").alias("queue"), "total_cores"))
+    cores = ranked.join(region, "r_regionkey").join(per_region, "queue")
+    return capacity_lines(cores.select(F.concat_ws(",", "series_queue", "total_cores").alias("value")))
 
 
 # --------------------------------------------------------------------------
@@ -106,6 +107,22 @@ def q_log_parse(spark, sf):
     return rows.select(*PARSE_COLUMNS)
 
 
+def q_log_parse_sql(spark, sf):
+    parsed = P.parse_log(fx.lines(spark, sf), fields=PARSE_COLUMNS, engine="sql")
+    return P.parsed_rows(parsed).select(*PARSE_COLUMNS)
+
+
+CSV_SCHEMA = "job_id bigint, idx bigint, command string, queue string, avg_mem bigint"
+
+
+def q_csv_jobs(spark, sf):
+    return csv_rows(csv_lines(fx.csv_text(spark, sf), CSV_SCHEMA))
+
+
+def q_csv_rejects(spark, sf):
+    return csv_rejects(csv_lines(fx.csv_text(spark, sf), CSV_SCHEMA))
+
+
 def q_log_status_counts(spark, sf):
     return P.parse_audit(_parsed(spark, sf, []))
 
@@ -134,11 +151,12 @@ def q_log_type_filter(spark, sf):
 
 
 def q_log_repair(spark, sf):
-    ln = fx.lines(spark, sf)
-    fixed = ln.filter(~F.col("value").startswith('"')).select(P.repair_line(F.col("value")).alias("l"))
+    """Every line: repaired where its quote was lost, untouched otherwise."""
+    fixed = fx.lines(spark, sf).select("value", P.repair_line(F.col("value")).alias("l"))
     return fixed.select(
         F.regexp_extract("l", _JOB_ID_IN_LINE, 1).cast("bigint").alias("job_id"),
-        F.col("l").startswith('"JOB_FINISH"').alias("starts_with_type"))
+        F.col("l").startswith('"').alias("starts_with_quote"),
+        (F.col("l") == F.col("value")).alias("untouched"))
 
 
 def q_log_tokens(spark, sf):
@@ -433,6 +451,9 @@ def q_shared_nodes(spark, sf):
 QUERIES: dict[str, Query] = {
     # scans and parsing
     "log_parse": q_log_parse,
+    "log_parse_sql": q_log_parse_sql,
+    "csv_jobs": q_csv_jobs,
+    "csv_rejects": q_csv_rejects,
     "log_status_counts": q_log_status_counts,
     "log_groups": q_log_groups,
     "log_type_filter": q_log_type_filter,

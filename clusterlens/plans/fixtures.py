@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import ntz_to_epoch
-from ..session import spread
 from ..templates import TEMPLATES
 
 
@@ -29,10 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Setting that names how many partitions the derived tables are dealt into;
+#: unset, they keep the splits of the input. For benches over one-file tables.
+PARTITIONS = "spark.clusterlens.partitions"
+
+
+def jobs(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Finished-job rows: the report input and the source of every series."""
-    ev = spread(table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", "ts", "value", "props"))
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", "value", "props")
+    partitions = partitions or int(spark.conf.get(PARTITIONS, "0"))
+    if partitions:
+        ev = ev.repartition(partitions)
     ep = ntz_to_epoch(F.col("ts"))
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     run = F.floor(F.col("value") * 100).cast("bigint")
@@ -151,7 +157,7 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
     line = (F.when(F.col("_d") == 8, F.concat_ws("  ", "_h", "_b"))
             .otherwise(F.concat_ws(" ", "_h", "_b")))
     line = F.when(F.col("_d") == 7, F.concat(line, F.lit(' "extra"'))).otherwise(line)
-    line = F.when(F.col("_d") == 11, F.substring(line, 2, 1 << 30)).otherwise(line)
+    line = F.when(F.col("_d") == 11, F.substring(line, F.lit(2), F.length(line))).otherwise(line)
     return staged.select(line.alias("value"))
 
 
@@ -159,6 +165,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_lines(jobs(spark, sf_dir))
 
 
+def csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs as CSV lines (column ``value``) with quotes and commas in the command;
+    the memory of every 17th event is no number."""
+    j = jobs(spark, sf_dir)
+    command = F.concat(F.lit('sh -c "x,'), F.col("job_id").cast("string"), F.lit('" z'))
+    mem = F.when(F.col("user_id") % 17 == 0, F.lit("abc")).otherwise(F.col("avg_mem").cast("string"))
+    return j.select(F.concat_ws(",", F.col("job_id").cast("string"), "idx", _q(command),
+                                F.coalesce("queue", F.lit("")), mem).alias("value"))
+
+
 # ---------------------------------------------------------------------------
 # hosts
 # ---------------------------------------------------------------------------
@@ -170,11 +186,17 @@ def hosts_text(spark: SparkSession, sf_dir: str,
     A key with many members is written over several lines of at most
     ``per_line`` members (chunked by member key), so no line - and no task
     building it - has to hold an unbounded list. Readers union the lines.
+
+    Every fifth supplier belongs to the next nation's group too, and the group
+    of nation 7 has no nodes, so that shared nodes and orphan groups exist.
     """
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
     region = table(spark, sf_dir, "region")
-    group_nodes = (nation.join(supplier, nation.n_nationkey == supplier.s_nationkey)
+    own = F.array(F.col("s_nationkey"), F.when(F.col("s_suppkey") % 5 == 0, (F.col("s_nationkey") + 1) % 25))
+    member = (supplier.select("s_suppkey", "s_name", F.explode(F.array_compact(own)).alias("n_nationkey"))
+              .where("n_nationkey <> 7"))
+    group_nodes = (nation.join(member, "n_nationkey")
                    .groupBy("n_name", F.floor(F.col("s_suppkey") / per_line).alias("_chunk"))
                    .agg(F.array_sort(F.collect_list("s_name")).alias("nodes"))
                    .select(F.concat_ws(",", "n_name", "nodes").alias("value")))

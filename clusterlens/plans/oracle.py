@@ -212,8 +212,10 @@ jt AS (
 )"""
 
 HOSTS = """
-gn AS (SELECT DISTINCT n_name AS "group", s_name AS node
-       FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+gn AS (SELECT DISTINCT n_name AS "group", s_name AS node FROM nation JOIN (
+         SELECT s_name, s_nationkey AS k FROM supplier
+         UNION ALL SELECT s_name, (s_nationkey + 1) % 25 FROM supplier WHERE s_suppkey % 5 = 0) m
+       ON m.k = n_nationkey WHERE n_nationkey <> 7),
 qg AS (SELECT DISTINCT r_name AS queue, n_name AS "group"
        FROM region JOIN nation ON n_regionkey = r_regionkey),
 qn AS (SELECT DISTINCT queue, node FROM qg JOIN gn USING ("group"))"""
@@ -252,8 +254,8 @@ FROM jobs WHERE NOT ({_JOB_ID_COND_BAD})""")
 
 SQL["log_type_filter"] = _w(JOBS, "SELECT job_id FROM jobs WHERE job_id % 50 <> 9")
 
-SQL["log_repair"] = ("SELECT event_id AS job_id, true AS starts_with_type "
-                     "FROM events WHERE event_id % 50 = 11")
+SQL["log_repair"] = _w(JOBS, """
+SELECT job_id, true AS starts_with_quote, job_id % 50 <> 11 AS untouched FROM jobs""")
 
 SQL["log_tokens"] = _w(JOBS, """
 SELECT job_id,
@@ -267,9 +269,16 @@ SQL["clean_names"] = _w(JOBS, """
 SELECT start_time, submit_time, event_time, run_time, num_processors, max_r_mem, user_name, queue
 FROM jobs""")
 
-SQL["ragged_explode"] = """
-SELECT DISTINCT n_name AS key, s_name AS value
-FROM nation JOIN supplier ON s_nationkey = n_nationkey"""
+SQL["ragged_explode"] = _w(HOSTS, 'SELECT "group" AS key, node AS value FROM gn')
+
+SQL["log_parse_sql"] = SQL["log_parse"]
+
+SQL["csv_jobs"] = _w(JOBS, """
+SELECT job_id, idx, 'sh -c "x,' || job_id || '" z' AS command, queue, avg_mem FROM jobs WHERE user_id % 17 <> 0""")
+
+SQL["csv_rejects"] = _w(JOBS, """
+SELECT job_id || ',' || idx || ',"sh -c ""x,' || job_id || '"" z",' || coalesce(queue, '') || ',abc' AS line
+FROM jobs WHERE user_id % 17 = 0""")
 
 # ---- cleaning ------------------------------------------------------------
 SQL["jobs_started"] = _w(JOBS, "SELECT * FROM jobs WHERE start_time > 0")

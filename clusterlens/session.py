@@ -3,11 +3,10 @@ scratch folder taken from ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,14 +36,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and read as is. Only where it
-    is unset (local tests) a private folder is created and registered, so
-    ``DataFrame.checkpoint()`` works the same way in both places.
+    On a cluster this is set by the operator and read as is; without it the
+    call raises, since a folder of the driver's own would not reach the
+    executors. Only with a local master an unset folder is replaced by a
+    private one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="clusterlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -57,40 +59,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
-def is_local_path(p: str) -> bool:
-    return "://" not in p or p.startswith("file:")
-
-
-def ensure_parent(p: str) -> None:
-    if is_local_path(p):
-        os.makedirs(os.path.dirname(p.replace("file:", "")) or ".", exist_ok=True)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Fan a narrow input out over the cluster when it arrives in too few
-    splits (one Parquet row group, a gzip log file): round-robin to the
-    default parallelism so the per-row work after the scan (parsing, tick
-    explosion) runs on every core. Inputs that already have at least that
-    many splits - the normal case for large tables - are left untouched, so
-    no shuffle is added at scale.
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a remote session without RDDs
-        return df
-    if splits >= target:
-        return df
-    return df.repartition(target)
-
-
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
                  partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings for a large cluster run (e.g. 100 TB of logs on 1000 executors).
@@ -103,8 +71,8 @@ def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: in
       holding a third of all rows is cut into many tasks at joins;
     * broadcasts only below AQE's measured 64 MB; every join falls back to
       a shuffle join above it;
-    * Arrow batches of 10,000 lines for the vectorised parser (a few MB per
-      batch per Python worker).
+    * Arrow batches of at most 10,000 lines for the vectorised parser, which
+      cuts them into slices of 8 MB whatever the length of the lines.
 
     ``spark.checkpoint.dir`` is not set here: it must name the shared folder
     of the cluster, and :func:`scratch_dir` reads it from the session.

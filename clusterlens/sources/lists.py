@@ -17,7 +17,7 @@ def ragged_pairs(text: DataFrame, key: str = "key", value: str = "value",
     """
     parts = F.split(F.col(line_col), sep)
     df = text.select(F.trim(F.get(parts, 0)).alias(key),
-                     F.slice(parts, 2, 1 << 30).alias("_vals"))
+                     F.slice(parts, F.lit(2), F.size(parts)).alias("_vals"))
     if drop_self_named is not None:
         df = df.filter(F.col(key) != F.lit(drop_self_named))
     out = df.select(key, F.explode("_vals").alias(value)).select(key, F.trim(value).alias(value))
@@ -31,8 +31,12 @@ def read_ragged(spark: SparkSession, path: str, key: str = "key", value: str = "
     return ragged_pairs(spark.read.text(path), key, value, sep=sep, drop_self_named=name)
 
 
+def capacity_lines(text: DataFrame, line_col: str = "value") -> DataFrame:
+    """``queue,cores`` lines without header -> (queue STRING, total_cores INT); a
+    count that is no number is NULL, lines without a queue are left out."""
+    parsed = F.from_csv(F.col(line_col), "queue string, total_cores int", {"mode": "PERMISSIVE"})
+    return text.select(parsed.alias("c")).select("c.queue", "c.total_cores").filter(F.col("queue").isNotNull())
+
+
 def read_capacity(spark: SparkSession, path: str) -> DataFrame:
-    """``queue,cores`` without header -> (queue STRING, total_cores INT)."""
-    return (spark.read.schema("queue string, total_cores int").option("header", False)
-            .option("mode", "PERMISSIVE").csv(path)
-            .filter(F.col("queue").isNotNull()))
+    return capacity_lines(spark.read.text(path))

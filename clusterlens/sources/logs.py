@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.parse import where_type  # noqa: F401  (re-exported)
-from ..session import spread
+
+
+def without_bad_bytes(lines: DataFrame) -> DataFrame:
+    """Lines without U+FFFD, as which undecodable bytes arrive, like a reader
+    that ignores decode errors. Batch and stream readers share it."""
+    return lines.withColumn("value", F.regexp_replace("value", "\ufffd", ""))
 
 
 def read_log(spark: SparkSession, path: str, drop_bad_bytes: bool = True) -> DataFrame:
     """Log lines (column ``value``), one per line, split across tasks by file
-    block. Undecodable bytes arrive as U+FFFD and are removed, like a reader
-    that ignores decode errors."""
-    # Compressed logs are not splittable: fan a few big files out.
-    df = spread(spark.read.option("wholetext", False).text(path))
-    if drop_bad_bytes:
-        df = df.select(F.regexp_replace("value", "\ufffd", "").alias("value"))
-    return df
+    block; a compressed file is one split. Parse before any repartition: the
+    typed rows are narrower than the text."""
+    df = spark.read.text(path)
+    return without_bad_bytes(df) if drop_bad_bytes else df

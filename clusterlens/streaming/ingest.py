@@ -2,70 +2,115 @@
 
 A job is logged when it ends but covers ticks back to its start, so no
 watermark bounds how late a tick can still change short of the longest job.
-Instead of streaming state, every micro-batch writes its *partial* series
-(sums per queue and tick of the jobs in that batch) to a path keyed by the
-batch id, overwriting on replay, and readers merge all partials with one
-group-by. Replaying a batch after a failure cannot double-count.
+Instead of streaming state, every micro-batch writes its own part of four
+tables below ``out_dir``, each to a path keyed by the batch id and overwritten
+on replay, so a replayed batch cannot double-count:
 
-``first_event`` (the start of the observed window) is fixed by the caller
-(e.g. from the first load) and passed in, so every batch clamps alike.
+* ``log_entries`` - the narrow job rows of the batch;
+* ``quarantine``  - its rejected lines with their status;
+* ``audit``       - its lines per record type and status;
+* ``series``      - partial sums per queue and tick, merged by readers.
+
+The start of the observed window (``first_event``) clamps all batches alike:
+the caller gives it, or the first batch with a job stores its own, and every
+later batch and restart reads that back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import parse as P
 from ..operators.clean import log_entries
-from ..operators.series import DEFAULT_MEASURES, merge_partials, usage_series
+from ..operators.series import DEFAULT_MEASURES, first_event, merge_partials, usage_series
+from ..sources.logs import without_bad_bytes
+
+#: The fields that job rows, series and row order need.
+FIELDS = ["job_id", "queue", "start_time", "event_time", "num_processors", "avg_mem", "run_time",
+          "ineligible_pend_time", "num_gpu_rusages", "idx", "requeue_time"]
+_AS_NUMBER = ["run_time", "ineligible_pend_time", "requeue_time"]
+TABLES = ["log_entries", "quarantine", "audit", "series"]
+
+
+def batch_entries(parsed: DataFrame) -> DataFrame:
+    """Accepted rows of a parse of ``FIELDS`` -> narrow job rows."""
+    rows = P.parsed_rows(parsed)
+    return log_entries(rows.select(*[F.col(c).try_cast("bigint").alias(c) if c in _AS_NUMBER else c
+                                     for c in FIELDS]))
 
 
-def partial_series(lines: DataFrame, first_event: int | None, step: int = 1000,
+def partial_series(lines: DataFrame, first: int | None, step: int = 1000,
                    method: str = "explode") -> DataFrame:
     """Log lines of one batch -> partial usage series of their jobs."""
-    rows = P.parsed_rows(P.parse_log(P.where_type(lines, "JOB_FINISH")))
-    entries = log_entries(rows.select(
-        "job_id", "queue", "start_time", "event_time", "num_processors", "avg_mem",
-        F.col("run_time").try_cast("bigint").alias("run_time"),
-        F.col("ineligible_pend_time").try_cast("bigint").alias("ineligible_pend_time"),
-        "num_gpu_rusages", "idx", F.col("requeue_time").try_cast("bigint").alias("requeue_time")))
-    spark = lines.sparkSession
-    first = None
-    if first_event is not None:
-        first = spark.range(1).select(F.lit(first_event).cast("bigint").alias("first_event"))
-    return usage_series(entries, step=step, method=method, first=first)
+    parsed = P.parse_log(P.where_type(without_bad_bytes(lines), "JOB_FINISH"), fields=FIELDS, keep_line=False)
+    return usage_series(batch_entries(parsed), step=step, method=method, first=_one_row(lines.sparkSession, first))
+
+
+def _one_row(spark: SparkSession, first: int | None) -> DataFrame | None:
+    if first is None:
+        return None
+    return spark.range(1).select(F.lit(first).cast("bigint").alias("first_event"))
+
+
+def stored_first_event(spark: SparkSession, out_dir: str) -> int | None:
+    """The first event that an earlier batch stored, None before any has."""
+    try:
+        return spark.read.parquet(f"{out_dir.rstrip('/')}/first_event").first()["first_event"]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_batch(lines: DataFrame, batch_id: int, out_dir: str, first: int | None = None,
+                step: int = 1000, method: str = "explode") -> None:
+    """Write one batch's part of every table; the same batch again replaces it."""
+    spark, out = lines.sparkSession, out_dir.rstrip("/")
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        path = f"{out}/{name}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    clean = without_bad_bytes(lines)
+    parsed = save(P.parse_log(clean, fields=FIELDS), "parsed")
+    entries = save(batch_entries(parsed), "log_entries")
+    save(P.quarantine(parsed), "quarantine")
+    save(P.parse_audit(parsed), "audit")
+    if first is None:
+        first = stored_first_event(spark, out)
+    if first is None:
+        first = first_event(entries).first()["first_event"]
+        if first is not None:
+            _one_row(spark, first).write.mode("overwrite").parquet(f"{out}/first_event")
+    save(usage_series(entries, step=step, method=method, first=_one_row(spark, first)), "series")
 
 
 def ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-           first_event: int | None, step: int = 1000,
-           transform: Callable[[DataFrame, int], DataFrame] | None = None,
+           first_event: int | None = None, step: int = 1000, method: str = "explode",
            max_files_per_trigger: int | None = None) -> None:
     """Process every log file not seen yet under ``source_dir``, then stop.
 
-    Runs a text ``readStream`` with ``trigger(availableNow=True)``; each
-    micro-batch's partial series goes to ``out_dir/batch_id=<id>`` (mode
-    overwrite, so a replayed batch replaces itself). Progress lives in
-    ``checkpoint_dir``: a restart picks up only new files.
+    Runs a text ``readStream`` with ``trigger(availableNow=True)``. Progress
+    lives in ``checkpoint_dir``: a restart picks up only new files.
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_dir)
-    fn = transform or (lambda df, _id: partial_series(df, first_event, step))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fn(batch, batch_id).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(write_batch)
+    q = (reader.load(source_dir).writeStream
+         .foreachBatch(lambda df, i: write_batch(df, i, out_dir, first_event, step, method))
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_ingested(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """One of ``TABLES`` over all batches; the series as its parts."""
+    return spark.read.parquet(f"{out_dir.rstrip('/')}/{name}").drop("batch_id")
+
+
 def read_merged(spark: SparkSession, out_dir: str) -> DataFrame:
-    """All partials written so far, merged into the final series."""
-    parts = spark.read.parquet(out_dir)
-    return merge_partials(parts.drop("batch_id"), measures=list(DEFAULT_MEASURES))
+    """All partial series written so far, merged into the final one."""
+    return merge_partials(read_ingested(spark, out_dir, "series"), measures=list(DEFAULT_MEASURES))

@@ -64,16 +64,6 @@ def test_null_sentinel(spark):
     assert [r.y for r in df.select(null_sentinel("x").alias("y")).collect()] == [None, 3, None]
 
 
-def test_spread_only_fans_out_small_inputs(spark):
-    from clusterlens.session import spread
-    many = spark.range(0, 1000, numPartitions=64)
-    assert spread(many) is many                     # already split: untouched
-    one = spark.range(0, 1000, numPartitions=1)
-    out = spread(one)
-    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert out.count() == 1000
-
-
 def test_cluster_conf_sizes_partitions():
     from clusterlens.session import cluster_conf
     c = cluster_conf(100 * 2**40, executors=1000, cores_per_executor=4)

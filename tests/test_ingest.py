@@ -7,8 +7,8 @@ from clusterlens.operators.clean import log_entries
 from clusterlens.operators.parse import parse_log, parsed_rows, where_type
 from clusterlens.operators.series import first_event, usage_series
 from clusterlens.plans import fixtures as fx
-from clusterlens.sources.tables import compute, csv_ready, read_jobs_csv, write_table
-from clusterlens.streaming.ingest import ingest, partial_series, read_merged
+from clusterlens.sources.tables import compute, csv_ready, csv_rejects, csv_rows, read_jobs_csv, write_table
+from clusterlens.streaming.ingest import ingest, partial_series, read_ingested, read_merged, stored_first_event, write_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +32,17 @@ def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
         ingest(spark, str(flat), out, ckpt, first_event=fe)
     merged = read_merged(spark, out)
     one = partial_series(lines, fe)
+    whole = str(tmp_path / "whole")
+    write_batch(lines, 0, whole, fe)
+    for name in ("log_entries", "quarantine"):
+        a, b = read_ingested(spark, out, name), read_ingested(spark, whole, name)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    audit = "SELECT status, sum(n_lines) AS n FROM {t} GROUP BY status"
+    assert sorted(spark.sql(audit, t=read_ingested(spark, out, "audit")).collect()) == sorted(
+        spark.sql(audit, t=read_ingested(spark, whole, "audit")).collect())
+    write_batch(lines.limit(0), 7, whole, fe)
+    write_batch(lines, 0, whole, fe)  # a replay replaces itself
+    assert read_merged(spark, whole).exceptAll(one).count() == 0
     assert merged.count() == one.count() > 0
     assert merged.exceptAll(one).count() == 0 and one.exceptAll(merged).count() == 0
     # A restart with nothing new adds nothing.
@@ -40,13 +51,41 @@ def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
     assert jobs_all.count() > 0
 
 
+def test_first_event_is_stored_by_the_first_load(spark, tmp_path):
+    lines = fx.lines(spark, SF)
+    early, late = lines.filter("value like '%\"view\"%'"), lines.filter("value not like '%\"view\"%'")
+    out = str(tmp_path / "out")
+    write_batch(lines.limit(0), 0, out)
+    assert stored_first_event(spark, out) is None
+    write_batch(early, 1, out)
+    fe = stored_first_event(spark, out)
+    write_batch(late, 2, out)
+    assert stored_first_event(spark, out) == fe
+    one = partial_series(lines, fe)
+    merged = read_merged(spark, out)
+    assert merged.count() == one.count() and merged.exceptAll(one).count() == 0
+
+
 def test_csv_round_trip(spark, tmp_path):
-    rows = parsed_rows(parse_log(fx.lines(spark, SF))).select("job_id", "queue", "exec_hosts", "avg_mem")
+    rows = parsed_rows(parse_log(fx.lines(spark, SF))).select("job_id", "queue", "command", "exec_hosts", "avg_mem")
+    odd = spark.createDataFrame([(1, "q2", 'sh -c "x,y" z', None, 5), (2, "q,1", '""', ["a", "b"], None)], rows.schema)
+    rows = rows.union(odd)
     p = str(tmp_path / "jobs_csv")
     write_table(rows, p, fmt="csv")
-    back = read_jobs_csv(spark, p, "job_id bigint, queue string, exec_hosts string, avg_mem bigint")
-    assert back.count() == rows.count()
-    assert csv_ready(rows).exceptAll(back).count() == 0
+    ddl = "job_id bigint, queue string, command string, exec_hosts string, avg_mem bigint"
+    back = read_jobs_csv(spark, p, ddl)
+    assert csv_rejects(back).count() == 0
+    assert csv_rows(back).count() == rows.count()
+    assert csv_ready(rows).exceptAll(csv_rows(back)).count() == 0
+
+
+def test_csv_rejects_and_partitions(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('a,b,q\n1,"sh -c ""x,y"" z",q2\nabc,ok,q1\n2,w,q1\n')
+    read = read_jobs_csv(spark, str(tmp_path / "in.csv"), "a bigint, b string, q string")
+    assert [r.line for r in csv_rejects(read).collect()] == ["abc,ok,q1"]
+    assert sorted(map(tuple, csv_rows(read).collect())) == [(1, 'sh -c "x,y" z', "q2"), (2, "w", "q1")]
+    write_table(csv_rows(read), str(tmp_path / "out"), fmt="csv", partition_by=["q"])
+    assert sorted(x for x in os.listdir(tmp_path / "out") if x.startswith("q=")) == ["q=q1", "q=q2"]
 
 
 def test_parquet_round_trip_and_compute(spark, tmp_path):
@@ -90,7 +129,7 @@ def test_batch_run_end_to_end(spark, tmp_path):
     assert rd("series").count() == direct.count() > 0
     assert rd("series").exceptAll(direct).count() == 0
     audit = {r.status: r.n_lines for r in rd("audit").collect()}
-    assert audit == {r.status: r.n_lines for r in parse_audit(parse_log(where_type(lines))).collect()}
+    assert audit == {r.status: r.n_lines for r in parse_audit(parse_log(lines)).collect()}
     assert rd("quarantine").count() == sum(v for k, v in audit.items() if k != "ok")
     assert rd("forecast").count() > rd("series").select("queue").distinct().count() * 3 * 6
     assert rd("profiles_daily").count() == direct.count()

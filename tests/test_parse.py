@@ -13,12 +13,16 @@ from clusterlens.functions.tokens import has_empty_segment, quoted_tokens, strip
 from clusterlens.operators import parse as P
 from clusterlens.templates import TEMPLATES, snake_case, unique_snake_names
 
-# Split on a space followed by an even number of quotes up to the line end.
-SPLIT_RULE = r'[ ](?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def py_segments(line):
-    return re.split(SPLIT_RULE, line)
+    """Split at every space behind which an even number of quotes is left."""
+    out, left = [""], line.count('"')
+    for c in line:
+        left -= c == '"'
+        if c == " " and left % 2 == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
 
 def test_snake_names():
@@ -281,3 +285,52 @@ def test_random_damage_against_model(spark):
         got = [r.status for r in P.parse_log(df, engine=engine).select("status").collect()]
         diffs = [(s, g, w) for s, g, w in zip(lines, got, want) if g != w]
         assert not diffs, (engine, diffs[:3])
+
+
+NUMBERS = ["0", "-0", "007", "+5", " 12 ", "", "1.5", "1.5d", "1e3", "nan", "-inf", "abc", "9" * 18, "-" + "9" * 18,
+           "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809",
+           "9000000000000000001", "0009223372036854775807", "9" * 20, "--5"]
+
+
+def test_engines_agree_on_numbers(spark):
+    """64-bit limits for whole numbers; no type suffixes for others."""
+    lines = []
+    for n in NUMBERS:
+        for name in ("user_id", "host_factor"):
+            cells = py_segments(_finish_line())
+            cells[TEMPLATES["JOB_FINISH"].columns.index(name) if name == "user_id" else _place("host_factor")] = f'"{n}"'
+            lines.append(" ".join(cells))
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    arrow, sql = (P.parse_log(df, engine=e, fields=["user_id", "host_factor"]).collect() for e in ("arrow", "sql"))
+    key = [(r.status, str(r.user_id), str(r.host_factor), r.line) for r in arrow if r.status == "ok"]
+    assert sorted(key) == sorted((r.status, str(r.user_id), str(r.host_factor), r.line) for r in sql if r.status == "ok")
+    assert sorted(r.status for r in arrow) == sorted(r.status for r in sql)
+    whole = {n: int(n) for n in NUMBERS if re.fullmatch(r" *[+-]?[0-9]+ *", n) and -(1 << 63) <= int(n) < 1 << 63}
+    assert sorted(r.user_id for r in arrow if r.status == "ok" and r.user_id not in (None,))[0] == -(1 << 63)
+    assert {r.user_id for r in arrow if r.status == "ok"} >= set(whole.values())
+
+
+def _place(name):
+    """Field position of a plain column of a finish line without group values before it."""
+    line = py_segments(_finish_line())
+    tpl = TEMPLATES["JOB_FINISH"]
+    arrays = tpl.array_columns()
+    shift, spec, counts = 0, dict(tpl.group_spec()), {}
+    for t, col in enumerate(tpl.columns):
+        if col == name:
+            return t - sum(1 for x in arrays if x < t) + shift
+        if t in arrays:
+            continue
+        if t in spec:
+            at = t - sum(1 for x in arrays if x < t) + shift
+            counts[t] = int(line[at].strip('"') or 0)
+            shift += counts[t] * spec[t]
+    raise KeyError(name)
+
+
+def test_raw_line_only_for_rejects(spark):
+    lines = spark.createDataFrame([(_finish_line(),), (_finish_line(extra=' "x"'),)], "value string")
+    for engine in ("arrow", "sql"):
+        got = {r.status: r.line for r in P.parse_log(lines, engine=engine, fields=["job_id"]).collect()}
+        assert got["ok"] is None
+        assert [v for k, v in got.items() if k != "ok"] == [_finish_line(extra=' "x"')]
