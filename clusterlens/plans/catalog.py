@@ -28,6 +28,7 @@ from ..operators.joins import join_same
 from ..operators.positions import row_numbered
 from ..sources.lists import capacity_lines, ragged_pairs
 from ..sources.tables import csv_lines, csv_rejects, csv_rows
+from ..templates import TEMPLATES
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,18 +129,26 @@ def q_log_status_counts(spark, sf):
 
 
 def q_log_groups(spark, sf):
-    rows = P.parsed_rows(_parsed(spark, sf))
-    j = lambda c: F.array_join(c, "|")
-    return rows.select(
-        "job_id",
-        F.size(F.coalesce("exec_hosts", F.array().cast("array<string>"))).alias("n_exec_hosts"),
-        j("exec_hosts").alias("exec_hosts"),
-        j("host_rusage_hostname").alias("host_rusage_hostname"),
-        j("host_rusage_stime").alias("host_rusage_stime"),
-        j("g_rusage_hostname").alias("g_rusage_hostname"),
-        j("g_rusage_value").alias("g_rusage_value"),
-        F.col("asked_hosts").isNull().alias("asked_hosts_absent"),
-    )
+    """All arrays of the ten variable-length groups."""
+    tpl = TEMPLATES["JOB_FINISH"]
+    arrays = [c for t, c in enumerate(tpl.columns) if t in tpl.array_columns()]
+    rows = P.parsed_rows(_parsed(spark, sf, ["job_id", "idx", *arrays]))
+    return rows.select("job_id", "idx", *[F.array_join(c, "|").alias(c) for c in arrays])
+
+
+def q_log_resize(spark, sf):
+    parsed = P.parse_log(fx.resize_lines(fx.jobs(spark, sf)), "JOB_RESIZE")
+    return P.parsed_rows(parsed).select(*[
+        F.array_join(f.name, "|").alias(f.name) if f.dataType.typeName() == "array" else f.name
+        for f in parsed.schema.fields if f.name not in ("status", "line", "event_type", "resize_type")])
+
+
+def q_log_status_mixed(spark, sf):
+    """Finish and resize records and a reservation record in one log, by status."""
+    jobs = fx.jobs(spark, sf)
+    reserved = jobs.where("job_id % 100 = 1").select(F.lit('"EVENT_ADRSV_FINISH" 1 2').alias("value"))
+    mixed = fx.render_lines(jobs).unionAll(fx.resize_lines(jobs)).unionAll(reserved)
+    return P.parse_audit(P.parse_log(mixed, fields=[], keep_line=False))
 
 
 _JOB_ID_IN_LINE = r'^"?[A-Z_]+"\s+"10[.]1"\s+-?[0-9]+\s+([0-9]+)'
@@ -456,6 +465,8 @@ QUERIES: dict[str, Query] = {
     "csv_rejects": q_csv_rejects,
     "log_status_counts": q_log_status_counts,
     "log_groups": q_log_groups,
+    "log_resize": q_log_resize,
+    "log_status_mixed": q_log_status_mixed,
     "log_type_filter": q_log_type_filter,
     "log_repair": q_log_repair,
     "log_tokens": q_log_tokens,

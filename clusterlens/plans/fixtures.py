@@ -116,12 +116,15 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
         "ineligible_pend_time": num("ineligible_pend_time"),
         "requeue_time": num("requeue_time"), "max_r_mem": num("max_r_mem"),
     }
+    spec = dict(tpl.group_spec())
     counts = {
         "num_ex_hosts": jid % 4,
         "num_host_rusage": jid % 3,
         "num_gpu_rusages": F.col("num_gpu_rusages"),
     }
-    spec = dict(tpl.group_spec())
+    # each of the other groups has values in every seventh job, on its own turn
+    others = [names[t] for t in spec if names[t] not in counts]
+    counts |= {name: F.when(jid % 7 == k, jid % 3).otherwise(0) for k, name in enumerate(others)}
     arrays = tpl.array_columns()
     # Runs of fixed tokens are plain strings; only groups with a count that
     # varies by job need an array expression.
@@ -130,7 +133,7 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
     for t, name in enumerate(names):
         if t in arrays:
             continue
-        if t in spec and name in counts:
+        if t in spec:
             cnt = counts[name]
             tok = cnt.cast("string")
             if name == "num_ex_hosts":
@@ -142,9 +145,7 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
                                  lambda m, j, _n=name: _q(F.format_string(f"{_n}.{j} %d", m)))
             pieces.append(F.array_join(vals, " "))
             continue
-        if t in spec:
-            run.append(F.lit("0"))
-        elif name in known:
+        if name in known:
             run.append(known[name])
         else:
             run.append(F.lit("0") if tpl.kind(t) in ("bigint", "double") else F.lit('""'))
@@ -161,6 +162,20 @@ def render_lines(jobs_df: DataFrame) -> DataFrame:
     return staged.select(line.alias("value"))
 
 
+def resize_lines(jobs_df: DataFrame) -> DataFrame:
+    """Render each job row as one resize record (column ``value``)."""
+    jid = F.col("job_id")
+
+    def group(count: Column, name: str) -> list[Column]:
+        vals = _group_values(count, 1, lambda m, j: _q(F.format_string(f"{name} %d", m)))
+        return [count.cast("string"), F.nullif(F.array_join(vals, " "), F.lit(""))]
+
+    return jobs_df.select(F.concat_ws(
+        " ", _q(F.lit("JOB_RESIZE")), "event_time", jid, "idx", "start_time", "user_id", _q(F.col("user_name")),
+        F.lit("1"), "submit_time", *group(jid % 4, "exec host"), *group(jid % 3, "new host"),
+        *group(jid % 2, "slots"), *group((jid + 1) % 3, "new slots")).alias("value"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_lines(jobs(spark, sf_dir))
 

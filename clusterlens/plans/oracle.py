@@ -242,27 +242,62 @@ SELECT status, count(*) AS n_lines FROM (
   FROM events) s
 GROUP BY status"""
 
+#: count expression of each group of the rendered finish records, and its columns
+_GROUPS = {
+    "num_ex_hosts": ("job_id % 4", ["exec_hosts"]),
+    "num_host_rusage": ("job_id % 3", [f"host_rusage_{x}" for x in ("hostname", "mem", "swap", "utime", "stime")]),
+    "num_gpu_rusages": ("num_gpu_rusages", [f"g_rusage_{x}" for x in ("hostname", "num_kvp", "key", "value")]),
+} | {name: (f"(CASE WHEN job_id % 7 = {k} THEN job_id % 3 ELSE 0 END)", cols) for k, (name, cols) in enumerate({
+    "num_asked_hosts": ["asked_hosts"],
+    "submit_ext_num": ["submit_ext_key", "submit_ext_value"],
+    "num_network": ["network_id", "network_alloc_num_window"],
+    "num_alloc_slots": ["alloc_slots"],
+    "index_range_cnt": [f"index_range_{x}" for x in ("start1", "end1", "step1", "start_n", "end_n", "step_n")],
+    "storage_info_c": ["storage_info_v"],
+    "finish_kvp_num_kvp": ["finish_kvp_key", "finish_kvp_value"]}.items())}
+
+_ALL_GROUPS = ", ".join(f"{_group_text(cnt, name, j)} AS {c}"
+                        for name, (cnt, cols) in _GROUPS.items() for j, c in enumerate(cols))
 SQL["log_groups"] = _w(JOBS, f"""
-SELECT job_id, CAST(job_id % 4 AS INTEGER) AS n_exec_hosts,
-       {_group_text('job_id % 4', 'num_ex_hosts', 0)} AS exec_hosts,
-       {_group_text('job_id % 3', 'num_host_rusage', 0)} AS host_rusage_hostname,
-       {_group_text('job_id % 3', 'num_host_rusage', 4)} AS host_rusage_stime,
-       {_group_text('num_gpu_rusages', 'num_gpu_rusages', 0)} AS g_rusage_hostname,
-       {_group_text('num_gpu_rusages', 'num_gpu_rusages', 3)} AS g_rusage_value,
-       true AS asked_hosts_absent
-FROM jobs WHERE NOT ({_JOB_ID_COND_BAD})""")
+SELECT job_id, idx, {_ALL_GROUPS} FROM jobs WHERE NOT ({_JOB_ID_COND_BAD})""")
+
+
+def _resize_group(cnt: str, name: str, count_col: str, col: str) -> str:
+    return (f"CAST({cnt} AS BIGINT) AS {count_col}, CASE WHEN {cnt} > 0 THEN array_to_string(list_transform("
+            f"range(1, {cnt} + 1), lambda m: '{name} ' || CAST(m AS VARCHAR)), '|') END AS {col}")
+
+
+SQL["log_resize"] = _w(JOBS, f"""
+SELECT event_time, job_id, CAST(idx AS VARCHAR) AS tdx, start_time, user_id, user_name,
+       submit_time AS last_resize_time,
+       {_resize_group('job_id % 4', 'exec host', 'num_exec_hosts', 'exec_hosts')},
+       {_resize_group('job_id % 3', 'new host', 'num_resize_hosts', 'resize_hosts')},
+       {_resize_group('job_id % 2', 'slots', 'num_alloc_slots', 'alloc_slots')},
+       {_resize_group('(job_id + 1) % 3', 'new slots', 'num_resize_slots', 'resize_slots')}
+FROM jobs""")
+
+SQL["log_status_mixed"] = _w(JOBS, """
+SELECT status, count(*) AS n_lines FROM (
+  SELECT CASE job_id % 50 WHEN 7 THEN 'bad_width' WHEN 8 THEN 'empty_segment' WHEN 9 THEN 'unknown_type'
+         WHEN 10 THEN 'bad_type' WHEN 12 THEN 'bad_group' ELSE 'ok' END AS status FROM jobs
+  UNION ALL SELECT 'other_type' FROM jobs
+  UNION ALL SELECT 'unsupported_type' FROM jobs WHERE job_id % 100 = 1) s
+GROUP BY status""")
 
 SQL["log_type_filter"] = _w(JOBS, "SELECT job_id FROM jobs WHERE job_id % 50 <> 9")
 
 SQL["log_repair"] = _w(JOBS, """
 SELECT job_id, true AS starts_with_quote, job_id % 50 <> 11 AS untouched FROM jobs""")
 
-SQL["log_tokens"] = _w(JOBS, """
+_WIDTHS = " + ".join(f"{len(cols)} * ({cnt})" for cnt, cols in _GROUPS.values())
+SQL["log_tokens"] = _w(JOBS, f"""
 SELECT job_id,
-       CAST(108 + job_id % 4 + 5 * (job_id % 3) + 4 * num_gpu_rusages
+       CAST(108 + {_WIDTHS}
             + CASE WHEN job_id % 50 = 7 THEN 1 ELSE 0 END AS INTEGER) AS n_fields,
        CASE WHEN job_id % 50 = 9 THEN 'JOB_NEW' ELSE 'JOB_FINISH' END AS record_type,
-       CASE WHEN job_id % 50 = 7 THEN 'extra' ELSE '0' END AS last_field
+       CASE WHEN job_id % 50 = 7 THEN 'extra'
+            WHEN job_id % 7 = 6 AND job_id % 3 > 0 THEN 'finish_kvp_num_kvp.1 ' || CAST(job_id % 3 AS VARCHAR)
+            ELSE '0' END AS last_field
 FROM jobs""")
 
 SQL["clean_names"] = _w(JOBS, """
