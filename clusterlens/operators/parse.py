@@ -158,8 +158,9 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     if engine == "arrow":
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        from .parse_arrow import arrow_schema, batch_parser, ship_by_value
-        ship_by_value()
+        from ..session import ship_package
+        from .parse_arrow import arrow_schema, batch_parser
+        ship_package(lines.sparkSession)
         wanted = None if fields is None else [c for c in tpl.columns if c in set(fields)]
         schema = from_arrow_schema(arrow_schema(tpl, keep_line, wanted))
         return lines.select(line_col).mapInArrow(

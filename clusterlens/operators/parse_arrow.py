@@ -206,19 +206,6 @@ def arrow_schema(tpl: Template, keep_line: bool, wanted: list[str] | None = None
     return pa.schema(fields)
 
 
-def ship_by_value() -> None:
-    """Serialise this package's functions by value into tasks, so executors
-    need numpy and pyarrow but not an installed copy of the package."""
-    import sys
-
-    from pyspark import cloudpickle
-    pkg = sys.modules[__name__.split(".")[0]]
-    try:
-        cloudpickle.register_pickle_by_value(pkg)
-    except ValueError:
-        pass  # already registered
-
-
 def batch_parser(tpl: Template, record_type: str, known: list[str], keep_line: bool,
                  line_col: str, wanted: list[str] | None = None):
     """The ``mapInArrow`` function: Arrow batches of lines -> parsed batches."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +61,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application, so
+    that their Python workers can import it (they need numpy and pyarrow, but
+    no installed copy). The archive travels through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_clusterlens_shipped", False):
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="clusterlens-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._clusterlens_shipped = True
+
+
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
                  partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings for a large cluster run (e.g. 100 TB of logs on 1000 executors).
