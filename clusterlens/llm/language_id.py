@@ -1,7 +1,7 @@
 """Language identification (operator 5).
 
 Multinomial logistic regression on TF-IDF values of hashed character n-grams
-(one to three characters of the lower-cased text), fitted by
+(one to three letters or blanks of the lower-cased text), fitted by
 follow-the-regularised-leader with elastic-net penalties, which leaves most
 weights at zero, and calibrated by a temperature on rows the fit has not seen.
 
@@ -14,6 +14,7 @@ that of the corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.session import ship_package
+
 BUCKETS = 1 << 15
 #: Bound of the fitted sample: documents expected from each language.
 PER_LANG = 1500
 EPOCHS = 3
 UNKNOWN = "und"
+_GAP = re.compile(r"[\W\d_]+")
 
 
 @dataclass
@@ -45,8 +49,12 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of the whole text, and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Buckets of the n-grams of the whole text, and how often each occurs.
+
+    Letters count, in lower case; whatever lies between two words (digits,
+    marks, white space) is one blank, so numbers don't speak for a language.
+    """
+    c = np.frombuffer(_GAP.sub(" ", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), np.uint32)
     one = c * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
     three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
@@ -131,6 +139,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
           per_lang: int = PER_LANG) -> Model | None:
     """The model of the learnable documents (those with text and lang, outside
     the held-out quarter); None without any."""
+    ship_package(docs.sparkSession)
     known = (docs.where(learnable(doc_id) & F.col(lang).isNotNull() & (F.char_length(text) > 0))
              .select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"),
                      F.col(lang).alias("lang")))
@@ -184,6 +193,8 @@ def prediction(model: Model | None, text: str = "text") -> Column:
     A null text, a text without a letter, and every text when there is no
     model, get ``und`` and score 0. Ties go to the first language in order.
     """
+    ship_package(SparkSession.getActiveSession())
+
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []

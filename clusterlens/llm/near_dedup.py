@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from clusterlens.llm.common import stage
 from clusterlens.llm.components import components
 from clusterlens.llm.shingles import shingle_set, signature, signature_seeds, similarity
+from clusterlens.session import ship_package
 
 BANDS, ROWS = 32, 5
 BATCH = 32
@@ -224,6 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     of its component are null. An empty table gives no rows, and other
     columns of ``docs`` are not read.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = stage(features(docs, words), "features")
     several = (_buckets(found).groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))

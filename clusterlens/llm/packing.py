@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.session import ship_package
+
 MAX_LENGTH = 2048
 END_ID = 1
 #: Bytes of text split into words at once, and words kept by a worker.
@@ -149,6 +151,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, t
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    ship_package(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.session import ship_package
+
 MARK = "▁"
 HELD = 800_000
 NEVER = 1 << 62
@@ -181,6 +183,8 @@ def encoded(text: str | Column = "text", model: str | None = None, kind: str = "
     """array<int>: the ids of the whole text; null for null, empty for empty."""
     path = model or default_model()
 
+    ship_package(SparkSession.getActiveSession())
+
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _worker_pieces(path, kind)
@@ -196,6 +200,8 @@ def decoded(ids: str | Column, model: str | None = None, kind: str = "bpe") -> C
     white space mark itself comes back with blanks in its place."""
     path = model or default_model()
 
+    ship_package(SparkSession.getActiveSession())
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _worker_pieces(path, kind)
@@ -214,6 +220,7 @@ def encode_table(docs: DataFrame, model: str | None = None, kind: str = "bpe", t
     not read, rows that repeat are rows of their own, and an empty table gives
     no rows.
     """
+    ship_package(docs.sparkSession)
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from clusterlens.llm.common import stage
 from clusterlens.llm.shingles import mix, word_hashes
 from clusterlens.operators.positions import row_numbered
+from clusterlens.session import ship_package
 
 BUCKETS = 10_000
 TARGET = 20_000
@@ -47,6 +48,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
     """Log ratios by bucket; ``target_ids`` has a column doc_id, of which at most
     TARGET distinct values are used."""
+    ship_package(docs.sparkSession)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("_target")).where("_target IS NOT NULL").distinct()
     ids = ids.orderBy(F.xxhash64("_target"), "_target").limit(TARGET)
     marked = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterlens.llm.common import stage
+from clusterlens.session import ship_package
 
 PIVOTS, POOL = 48, 512
 SHARD, QUERY_BLOCK, CHUNK = 2048, 2048, 256
@@ -97,7 +98,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedd
     while they fit into 64 bits. An empty table gives no rows, and other
     columns are not read.
     """
-    spark = vectors.sparkSession
+    ship_package(vectors.sparkSession)
     sound = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector)).alias("v"),
                             F.coalesce(queries, F.lit(False)).alias("query"))
              .where("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
