@@ -28,7 +28,7 @@ from clusterlens.session import ship_package
 
 BUCKETS = 10_000
 TARGET = 20_000
-LENGTH = 200
+LENGTH = 100
 SMOOTHING = 1.0
 
 
@@ -94,7 +94,7 @@ def gumbel(*key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.8, seed: int = 0, text: str = "text",
+def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.85, seed: int = 0, text: str = "text",
              doc_id: str = "doc_id") -> DataFrame:
     """doc_id, log_weight, score (weight with noise), rank (by score from 1), kept:
     one row for each row of ``docs``; the ceil(share * rows with words) first ones are kept.
