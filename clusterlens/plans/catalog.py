@@ -27,7 +27,11 @@ from ..operators.clean import (clean_names, duplicates, front, job_times, log_en
 from ..operators.joins import join_same
 from ..operators.positions import row_numbered
 from ..sources.lists import capacity_lines, ragged_pairs
-from ..sources.tables import csv_lines, csv_rejects, csv_rows
+from ..session import new_path
+from ..sources.logs import read_log
+from ..sources.tables import (compute, csv_lines, csv_rejects, csv_rows, read_jobs_csv, read_table,
+                              write_table)
+from ..streaming import ingest
 from ..templates import TEMPLATES
 from . import fixtures as fx
 
@@ -116,6 +120,44 @@ def q_log_parse_sql(spark, sf):
 CSV_SCHEMA = "job_id bigint, idx bigint, command string, queue string, avg_mem bigint"
 
 
+def q_log_file(spark, sf):
+    """Lines written as a text file, some with an undecodable byte, read back and parsed."""
+    path = new_path(spark, "log")
+    bad = F.when(F.length("value") % 3 == 0, F.concat("value", F.lit("\ufffd"))).otherwise(F.col("value"))
+    fx.lines(spark, sf).select(bad).write.text(path)
+    parsed = P.parse_log(read_log(spark, path), fields=["job_id", "idx", "queue", "command"], keep_line=False)
+    return P.parsed_rows(parsed)
+
+
+def q_csv_files(spark, sf):
+    """Jobs written as CSV files by queue and read back with a schema."""
+    path = new_path(spark, "csv")
+    jobs = csv_rows(csv_lines(fx.csv_text(spark, sf), CSV_SCHEMA))
+    write_table(jobs.withColumn("q", F.coalesce("queue", F.lit("none"))), path, fmt="csv", partition_by=["q"])
+    return csv_rows(read_jobs_csv(spark, path, CSV_SCHEMA)).select("job_id", "idx", "command", "queue", "avg_mem")
+
+
+def q_table_round_trip(spark, sf):
+    """A table created, replaced, appended to, scanned and computed to a new path."""
+    path = new_path(spark, "jobs")
+    jobs = _jobs(spark, sf).select("job_id", "idx", "queue", "event_time")
+    write_table(jobs, path)
+    write_table(jobs.where("job_id % 2 = 0"), path, sort_within=["event_time"])
+    write_table(jobs.where("job_id % 2 = 1"), path, mode="append")
+    return compute(read_table(spark, path).where("queue IS NOT NULL"), "with-queue")
+
+
+def q_ingest_batches(spark, sf):
+    """Two batches of log lines, the second one replayed, as the merged series."""
+    lines, out = fx.lines(spark, sf), new_path(spark, "ingest")
+    whole = P.parse_log(lines, fields=ingest.FIELDS, keep_line=False)
+    first = ser.first_event(ingest.batch_entries(whole)).first()["first_event"]
+    early = F.length("value") % 2 == 0
+    for i, part in enumerate((lines.where(early), lines.where(~early), lines.where(~early))):
+        ingest.write_batch(part, min(i, 1), out, first)
+    return ingest.read_merged(spark, out)
+
+
 def q_csv_jobs(spark, sf):
     return csv_rows(csv_lines(fx.csv_text(spark, sf), CSV_SCHEMA))
 
@@ -461,6 +503,10 @@ QUERIES: dict[str, Query] = {
     # scans and parsing
     "log_parse": q_log_parse,
     "log_parse_sql": q_log_parse_sql,
+    "log_file": q_log_file,
+    "csv_files": q_csv_files,
+    "table_round_trip": q_table_round_trip,
+    "ingest_batches": q_ingest_batches,
     "csv_jobs": q_csv_jobs,
     "csv_rejects": q_csv_rejects,
     "log_status_counts": q_log_status_counts,

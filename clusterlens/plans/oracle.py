@@ -308,9 +308,20 @@ SQL["ragged_explode"] = _w(HOSTS, 'SELECT "group" AS key, node AS value FROM gn'
 
 SQL["log_parse_sql"] = SQL["log_parse"]
 
+SQL["log_file"] = _w(JOBS, f"""
+SELECT job_id, idx, queue, 'run ""a b"" --x' AS command FROM jobs WHERE NOT ({_JOB_ID_COND_BAD})""")
+
+SQL["table_round_trip"] = _w(JOBS, "SELECT job_id, idx, queue, event_time FROM jobs WHERE queue IS NOT NULL")
+
+SQL["ingest_batches"] = _w(SERIES.replace(
+    "FROM grid WHERE start_time > 0", f"FROM grid WHERE start_time > 0 AND NOT ({_JOB_ID_COND_BAD})"),
+    "SELECT * FROM series")
+
 SQL["csv_jobs"] = _w(JOBS, """
 SELECT job_id, idx, 'sh -c "x,' || job_id || '" z' AS command, queue, avg_mem FROM jobs WHERE user_id % 17 <> 0""")
 
+SQL["csv_files"] = SQL["csv_jobs"]
+
 SQL["csv_rejects"] = _w(JOBS, """
 SELECT job_id || ',' || idx || ',"sh -c ""x,' || job_id || '"" z",' || coalesce(queue, '') || ',abc' AS line
 FROM jobs WHERE user_id % 17 = 0""")
