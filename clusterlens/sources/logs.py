@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.parse import where_type  # noqa: F401  (re-exported)
 
 
 def without_bad_bytes(lines: DataFrame) -> DataFrame:

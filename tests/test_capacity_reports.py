@@ -1,6 +1,5 @@
 """Lookup lists, capacity, reports, positions and small profile/forecast cases."""
 
-import os
 
 from pyspark.sql import functions as F
 

@@ -4,7 +4,6 @@ Python, every status, group folding, and the worked examples."""
 import random
 import re
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
