@@ -141,9 +141,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             .select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary"))
 
 
-def _texts(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node, text: a text for each of the given nodes."""
-    owner = found.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("owner"))
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, text: a text for each of the wanted nodes."""
+    owner = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("least").alias("owner"))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:  # of rows that share a doc_id, those whose set the node is
@@ -153,15 +153,10 @@ def _texts(nodes: DataFrame, found: DataFrame, docs: DataFrame, words: int) -> D
             .mapInPandas(own, "node binary, text string").groupBy("node").agg(F.first("text").alias("text")))
 
 
-def _buckets(found: DataFrame) -> DataFrame:
-    """band, key, node: a row for each band of each document with words."""
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """band, key, node: a row for each band of each node."""
     keys = F.array(*[F.xxhash64(F.lit(j), F.slice("sig", j * ROWS + 1, ROWS)) for j in range(BANDS)])
-    return found.where("node IS NOT NULL").select(F.posexplode(keys).alias("band", "key"), "node")
-
-
-def _signatures(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, sig of the given nodes; documents of one node have one signature."""
-    return found.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
+    return nodes.select(F.posexplode(keys).alias("band", "key"), "node")
 
 
 def _across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -228,13 +223,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = stage(features(docs, words), "features")
-    several = (_buckets(found).groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+    # documents of one node have one signature; copies end here, before any band is dealt out
+    nodes = stage(found.where("node IS NOT NULL").groupBy("node")
+                  .agg(F.first("sig").alias("sig"), F.min("doc_id").alias("least")), "nodes")
+    several = (_buckets(nodes).groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
                .where("centre < last").select("key", "centre"))
-    rows = stage(_buckets(found).join(several, "key").where("node != centre").distinct(), "buckets")
+    rows = stage(_buckets(nodes).join(several, "key").where("node != centre"), "buckets")
 
     star = rows.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    left = stage(_pruned(star, _signatures(found, _ends(star)), percent), "pruned")
-    links = stage(_linked(left, _texts(_ends(left), found, docs, words), words, percent), "links")
+    sigs = nodes.select("node", "sig").join(_ends(star).distinct(), "node", "left_semi")
+    left = stage(_pruned(star, sigs, percent), "pruned")
+    links = stage(_linked(left, _texts(_ends(left), nodes, docs, words), words, percent), "links")
     labels = components(links)
 
     rest = (rows.join(labels, "node", "left")
@@ -243,12 +242,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                                      F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
              .where("lo < hi").select("key", "blocks"))
     members = stage(rest.join(split, "key"), "members")
-    more = stage(_across(members, _texts(members.select("node"), found, docs, words), words, percent), "more-links")
+    more = stage(_across(members, _texts(members.select("node"), nodes, docs, words), words, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    least = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    whole = (least.join(labels, "node", "left")
+    whole = (nodes.select("node", "least").join(labels, "node", "left")
              .select("node", "least", F.coalesce("component", "node").alias("component")))
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = whole.join(ids, "component").select("node", "component_id")
