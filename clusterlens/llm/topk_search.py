@@ -30,7 +30,7 @@ from clusterlens.llm.common import stage
 from clusterlens.session import ship_package
 
 PIVOTS, POOL = 48, 512
-SHARD, QUERY_BLOCK, CHUNK = 2048, 2048, 256
+SHARD, QUERY_BLOCK, CHUNK = 2048, 2048, 512
 
 
 def quantised(vector: Column) -> Column:
@@ -70,7 +70,11 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def scan_in_bound_order(q: np.ndarray, own: int, tau: float, bounds: np.ndarray, slack: float, x: np.ndarray,
                         ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of q's k best rows of x with scores of tau or more."""
+    """(positions, scores) of q's k best rows of x with scores of tau or more.
+
+    ``x`` and ``q`` are integers, or floats that hold integers whose products
+    add up exactly.
+    """
     order = np.flatnonzero((bounds >= tau - slack) & (rows != own))
     order = order[np.argsort(-bounds[order], kind="stable")]
     at, scores, least = np.empty(0, int), np.empty(0, np.int64), tau
@@ -78,7 +82,11 @@ def scan_in_bound_order(q: np.ndarray, own: int, tau: float, bounds: np.ndarray,
         part = order[begin:begin + CHUNK]
         if bounds[part[0]] < least - slack:
             break
-        at, scores = np.append(at, part), np.append(scores, x[part] @ q)
+        found = x[part] @ q
+        good = np.flatnonzero(found >= least)
+        if not len(good):
+            continue
+        at, scores = np.append(at, part[good]), np.append(scores, found[good].astype(np.int64))
         top = best(ids[at], scores, k)
         at, scores = at[top], scores[top]
         if len(at) == k:
@@ -164,12 +172,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedd
         found = []
         if len(data) and len(asking):
             x, far, norms = _padded(data["v"], width), np.stack(data["dist"].to_numpy()), data["norm"].to_numpy(float)
-            ids, rows = data["vec_id"].to_numpy(), data["row"].to_numpy()
-            for r in asking.itertuples(index=False):
-                gap = np.abs(far - r.dist).max(1)
+            ids, rows, asked = data["vec_id"].to_numpy(), data["row"].to_numpy(), _padded(asking["v"], width)
+            if float(np.abs(x).max(initial=0)) * float(np.abs(asked).max(initial=0)) * width < 2.0 ** 53:
+                x, asked = x.astype(float), asked.astype(float)  # sums stay exact, and products are faster
+            far = np.ascontiguousarray(far.T)
+            for q, r in zip(asked, asking.itertuples(index=False), strict=True):
+                gap = np.abs(far - r.dist[:, None]).max(0)
                 bounds = (r.norm + norms - gap * gap) / 2
-                at, scores = scan_in_bound_order(_padded([r.v], width)[0], r.row, r.tau, bounds,
-                                                 _slack(r.norm, norms.max()), x, ids, rows, k)
+                at, scores = scan_in_bound_order(q, r.row, r.tau, bounds, _slack(r.norm, norms.max()), x, ids, rows, k)
                 found += [(r.row, r.vec_id, ids[i], rows[i], s) for i, s in zip(at, scores, strict=True)]
         return pd.DataFrame(found, columns=["query_row", "query_id", "vec_id", "row", "score"])
 
