@@ -29,7 +29,7 @@ from clusterlens.session import ship_package
 MAX_LENGTH = 2048
 END_ID = 1
 #: Bytes of text split into words at once, and words kept by a worker.
-SEGMENT, HELD = 1 << 23, 800_000
+SEGMENT, HELD = 1 << 22, 600_000
 #: Words that need no normalising but lower case: Latin letters, then punctuation.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]*)([.,!?;:]*)")
 
