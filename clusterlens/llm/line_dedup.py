@@ -5,7 +5,8 @@ A line's place in a tree of fixed depth is its number of tokens and its first
 a token that fewer than ``min_docs`` line-documents have at its position is a
 variable field too. Line and variables give the line's template; a template
 that at least ``min_docs`` documents hold, with at least half of its tokens
-constant, is recurring, and its lines are dropped.
+constant, is recurring, and its lines are dropped. With ``by_text``, rows whose
+texts are equal but for white space (the copies of operator 10) are one document.
 
 A constant of a recurring template has itself at least ``min_docs`` at its
 position, so the generalisation loses none; it needs counts only, no order of
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm.common import stage, text_or_empty
+from clusterlens.llm.common import SPACES, stage, text_or_empty
 
 DEPTH = 2
 MIN_DOCS = 10
@@ -39,18 +40,18 @@ def _digest(c: Column) -> Column:
 
 
 def _lines(rows: DataFrame, text: str, depth: int) -> DataFrame:
-    """row, line (from 0), mask, leaf: the lines of rows(row, own) that aren't white."""
-    lines = rows.select("row", F.posexplode(F.split(text_or_empty(F.col("own")[text]), "\n")).alias("line", "raw"))
+    """row, doc, line (from 0), mask, leaf: the lines of rows(row, doc, own) that aren't white."""
+    lines = rows.select("row", "doc", F.posexplode(F.split(text_or_empty(F.col("own")[text]), "\n")).alias("line", "raw"))
     lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
     blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
     leaf = F.xxhash64(blanks, F.substring_index("mask", " ", depth))
-    return lines.select("row", "line", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
+    return lines.select("row", "doc", "line", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
 
 
 def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth: int) -> DataFrame:
     """shape, template, docs: the masked lines (by digest) of recurring templates."""
-    counts = seen.select("row", "shape").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
-    leaves = (seen.select("row", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.select("doc", "shape").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    leaves = (seen.select("doc", "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_docs).select("leaf"))
     masks = (_lines(rows, text, depth).select("leaf", "mask")
              .join(stage(leaves, "leaves"), "leaf").distinct().withColumn("shape", _digest(F.col("mask"))))
@@ -66,39 +67,45 @@ def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth
     solid = F.size(F.filter("t", lambda x: x != VARIABLE))
     shaped = shaped.where(2 * solid >= F.size("t")).select("shape", F.array_join("t", " ").alias("template"))
     shaped = stage(shaped.withColumn("id", _digest(F.col("template"))), "shapes")
-    often = (seen.select("row", "shape").join(shaped, "shape").select("row", "id").distinct()
+    often = (seen.select("doc", "shape").join(shaped, "shape").select("doc", "id").distinct()
              .groupBy("id").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs))
     return shaped.join(often, "id").select("shape", "template", "docs")
 
 
-def _staged(docs: DataFrame, text: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """rows(row, own) with a number for each row, and a narrow row (row, line, shape, leaf)
-    for each line that isn't white."""
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")), "rows")
-    seen = _lines(rows, text, depth).select("row", "line", _digest(F.col("mask")).alias("shape"), "leaf")
+def _staged(docs: DataFrame, text: str, depth: int, by_text: bool) -> tuple[DataFrame, DataFrame]:
+    """rows(row, doc, own) with a number for each row and for what counts as its document,
+    and a narrow row (row, doc, line, shape, leaf) for each line that isn't white."""
+    row = F.monotonically_increasing_id()
+    doc = F.xxhash64(F.translate(text_or_empty(F.col(text)), SPACES, "")) if by_text else row
+    rows = stage(docs.select(row.alias("row"), doc.alias("doc"), F.struct(*docs.columns).alias("own")), "rows")
+    seen = _lines(rows, text, depth).select("row", "doc", "line", _digest(F.col("mask")).alias("shape"), "leaf")
     return rows, stage(seen, "lines")
 
 
-def templates(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """template, docs: the recurring templates, and how many rows of ``docs`` hold each."""
-    rows, seen = _staged(docs, text, depth)
+def templates(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
+              by_text: bool = False) -> DataFrame:
+    """template, docs: the recurring templates, and how many rows (``by_text``: different
+    texts) of ``docs`` hold each."""
+    rows, seen = _staged(docs, text, depth, by_text)
     return _recurring(rows, seen, text, min_docs, depth).select("template", "docs").distinct()
 
 
-def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
+def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH,
+                   by_text: bool = False) -> DataFrame:
     """``docs`` without the lines of recurring templates, and the number of them in
     ``lines_dropped``.
 
     Lines end at newlines; white lines are no template and stay, and so does
     the order of lines. Null text stays null, empty text stays empty. Every
     row counts as a document, repeated rows too, so what ``min_docs`` copies
-    of a document hold is dropped from all of them: run exact and near dedup
-    first. A text of which all lines go becomes empty. A column named
+    of a document hold is dropped from all of them, unless ``by_text`` counts
+    texts that are equal but for white space once; the lines go from every row
+    either way. A text of which all lines go becomes empty. A column named
     ``lines_dropped`` is replaced, others may have any name; an empty table
     gives no rows.
     """
     base = docs.drop("lines_dropped")
-    rows, seen = _staged(base, text, depth)
+    rows, seen = _staged(base, text, depth, by_text)
     known = _recurring(rows, seen, text, min_docs, depth).select("shape")
     gone = seen.join(known, "shape").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     # a flag for each line: runs of lines that stay, each ended by one that goes
@@ -120,4 +127,4 @@ def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring(docs)
+    return drop_recurring(docs, by_text=True)

@@ -79,3 +79,17 @@ def test_empty_table_repeats_nulls_and_long_lines(spark):
     docs = spark.createDataFrame([(1, "same line")] * 10 + [(2, long), (None, None)], "doc_id long, text string")
     got = [(r.doc_id, r.text, r.lines_dropped) for r in ld.drop_recurring(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, "", 1)] * 10 + [(2, long, 0), (None, None, 0)], key=str)
+
+
+def test_copies_of_a_text_are_one_document(spark, tmp_path):
+    copied = "An ordinary line\nand another one"
+    texts = [copied] * 12 + [copied.replace("\n", "\n \n")] * 3
+    texts += [f"Read more on our site\nbody of document {chr(97 + i)} {chr(97 + i) * 3}" for i in range(9)]
+    texts += ["Read more on our site\n" + copied]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in ld.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(15)] == [(t, 0) for t in texts[:15]]
+    assert all(got[i][1] >= 1 and "Read more" not in got[i][0] for i in range(15, 25))
+    assert got[24] == (copied, 1)
+    assert {(r.template, r.docs) for r in ld.templates(docs, by_text=True).collect()} == {("Read more on our site", 10)}
