@@ -31,18 +31,41 @@ ROUNDS = 8
 #: Stands in for a secret of the caller's in the registered query.
 DEFAULT_KEY = "example key"
 
+#: Lengths of IBANs by country; other countries' end where the longest valid group does.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    fixed = "|".join(
+        f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+        + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+    return (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{fixed}"
+            r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))")
+
+
+_DATE = (r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+         r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])")
+_IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,}"
+#: The last group of a card number of 17 to 19 digits, unless another value starts there.
+_TAIL = f"(?!{_DATE}|{_IP}|{_SSN}|{_EMAIL})[0-9]{{1,3}}"
+
 #: The kinds with their patterns, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,8}[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-            r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
+    "email": _EMAIL,
+    "iban": _iban_pattern(),
+    "ip": _IP,
+    "date": _DATE,
+    "ssn": _SSN,
     "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
              r"|[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,4})(?![0-9])",
-    "card": r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4}(?:-[0-9]{4}){3}"
-            r"(?:-[0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: " + _TAIL + r")?|[0-9]{4}(?:-[0-9]{4}){3}"
+            r"(?:-" + _TAIL + r")?|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
 _ANY = "|".join(PATTERNS.values())
@@ -144,24 +167,45 @@ def _day(x: Column) -> Column:
     return F.when(year.cast("int").between(1800, 2199), found)
 
 
-def _kind_of(x: Column) -> Column:
-    """The kind of a match that passes validation, else null."""
-    def whole(kind: str) -> Column:
-        return x.rlike(f"^(?:{PATTERNS[kind]})$")
+def _whole(kind: str, x: Column) -> Column:
+    return x.rlike(f"^(?:{PATTERNS[kind]})$")
 
-    octets = F.transform(F.split(x, r"\."), lambda o: o.cast("int"))
+
+def _is_iban(x: Column) -> Column:
     plain = _iban_plain(x)
+    turned = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.substring(plain, 1, 4))
+    return _whole("iban", x) & (_mod97(turned) == 1)
+
+
+def _is_card(x: Column) -> Column:
     card = _digits(x)
     n = F.char_length(card)
-    return (F.when(whole("email"), "email")
-            .when(whole("iban") & (_mod97(F.concat(F.substring(plain, F.lit(5), F.char_length(plain)),
-                                                   F.substring(plain, 1, 4))) == 1), "iban")
-            .when(whole("ip"), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
-            .when(whole("date"), F.when(_day(x).isNotNull(), "date"))
-            .when(whole("ssn"), F.when(x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
-            .when(whole("phone"), F.when(n.between(8, 15), "phone"))
-            .when(whole("card") & (_luhn_digit(F.substring(card, F.lit(1), n - 1)) == F.substring(card, n, F.lit(1))),
-                  "card"))
+    return _whole("card", x) & (_luhn_digit(F.substring(card, F.lit(1), n - 1)) == F.substring(card, n, F.lit(1)))
+
+
+def _kind_of(x: Column) -> Column:
+    """The kind of a match that passes validation, else null."""
+    octets = F.transform(F.split(x, r"\."), lambda o: o.cast("int"))
+    return (F.when(_whole("email", x), "email")
+            .when(_is_iban(x), "iban")
+            .when(_whole("ip", x), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
+            .when(_whole("date", x), F.when(_day(x).isNotNull(), "date"))
+            .when(_whole("ssn", x), F.when(x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
+            .when(_whole("phone", x), F.when(F.char_length(_digits(x)).between(8, 15), "phone"))
+            .when(_is_card(x), "card"))
+
+
+def _shortened(x: Column) -> Column:
+    """struct(m, kind): the longest run of a match's first groups that is an IBAN or a card by
+    itself, for a match that isn't valid with all of its groups; null where there is none."""
+    groups = F.split(x, "(?=[ -])")
+    shorter = F.transform(F.sequence(F.size(groups) - 1, F.lit(1)), lambda n: F.array_join(F.slice(groups, 1, n), ""))
+    valid = F.filter(
+        F.transform(shorter, lambda y: F.struct(
+            y.alias("m"), F.when(_is_iban(y), "iban").when(_is_card(y), "card").alias("kind"))),
+        lambda s: s["kind"].isNotNull())
+    able = (F.size(groups) > 2) & (x.rlike("^[A-Z]{2}[0-9]{2}") | x.rlike("^[0-9]{4}[ -]"))
+    return F.when(able, F.get(valid, F.lit(0)))
 
 
 def _email(key: str, x: Column) -> Column:
@@ -240,7 +284,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pseudonyms, and a struct column ``pii`` with the number of values of each kind.
 
     Null text stays null and counts nothing, empty text stays empty, texts of
-    any length are read whole. Values that fail validation stay as they are.
+    any length are read whole. Values that fail validation stay as they are;
+    of IBANs and cards with more groups behind them, those that fail with the
+    number stay.
     A column named ``pii`` raises; others may have any name. Repeated rows are
     treated alike, an empty table gives no rows. The key is part of the
     query's plan: give access to plans and event logs accordingly.
@@ -256,9 +302,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             out = out.when(kind == k, own[k](key, m))
         return out
 
-    found = F.transform(F.regexp_extract_all(t, F.lit(_ANY), F.lit(0)),
-                        lambda m: F.struct(m.alias("m"), _kind_of(m).alias("kind")))
-    new = F.transform(found, lambda x: F.struct(replaced(x["m"], x["kind"]).alias("new"), x["kind"].alias("kind")))
+    def decided(m: Column) -> Column:
+        kind = _kind_of(m)
+        return _once(F.struct(m.alias("m"), kind.alias("kind")), lambda x: F.when(
+            x["kind"].isNull(), F.coalesce(_shortened(x["m"]), x)).otherwise(x))
+
+    matches = F.regexp_extract_all(t, F.lit(_ANY), F.lit(0))
+    found = F.transform(matches, lambda m: F.struct(decided(m).alias("x"), m.alias("all")))
+    new = F.transform(found, lambda f: F.struct(
+        F.concat(replaced(f["x"]["m"], f["x"]["kind"]),
+                 F.substring(f["all"], F.char_length(f["x"]["m"]) + 1, F.char_length(f["all"]))).alias("new"),
+        f["x"]["kind"].alias("kind")))
     parts = F.split(t, _ANY, -1)
     rows = docs.withColumn("pii", F.struct(
         F.when(t.rlike(_ANY), parts).alias("parts"), F.when(t.rlike(_ANY), new).alias("new")))

@@ -105,3 +105,24 @@ def test_empty_table_repeats_and_taken_name(spark):
     assert a == b != "call +49 30 1234567"
     with pytest.raises(ValueError):
         pii.pseudonymise(spark.createDataFrame([("x", 1)], "text string, pii int"), KEY)
+
+
+def test_groups_behind_a_number_stay(spark):
+    def one(text):
+        (new, n), = run(spark, [text])
+        return new, {k: v for k, v in n.items() if v}
+
+    card, _ = one("4111 1111 1111 1111")
+    for tail in [" 12/27", " 123", " 12/27 123"]:
+        assert one("4111 1111 1111 1111" + tail) == (card + tail, {"card": 1})
+    assert one("4111-1111-1111-1111-123") == (card.replace(" ", "-") + "-123", {"card": 1})
+    for behind, kind in [("12/27/2027", "date"), ("10.20.30.40", "ip"), ("123-45-6789", "ssn"), ("12a@b.org", "email")]:
+        assert one(f"4111 1111 1111 1111 {behind}") == (f"{card} {one(behind)[0]}", {"card": 1, kind: 1})
+    for iban in ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"]:
+        new, _ = one(iban)
+        assert new != iban
+        for tail in [" BIC CAIXESBB", " USD 5", " CODE ABCD"]:
+            assert one(iban + tail) == (new + tail, {"iban": 1})
+        assert one(f"{iban} 4111 1111 1111 1111") == (f"{new} {card}", {"iban": 1, "card": 1})
+    long, _ = one("ZZ12 1904 3002 3457 3201")
+    assert one("ZZ12 1904 3002 3457 3201 USD 5") == (long + " USD 5", {"iban": 1})
