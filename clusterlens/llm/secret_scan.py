@@ -12,7 +12,9 @@ A weak part is reported when its scope, the interval from ``SCOPE`` code points
 before its start to as many after it, holds the start of a part of each of the
 complementary roles: for a ``key`` an access identifier (``access`` or
 ``login``) and an endpoint (``host``); for a ``login`` and a ``host`` a secret
-(``key`` or a base ``assign``) and the third role. The join of parts with
+(``key`` or a base ``assign``) and the third role. With ``either``, one of the
+two, an access identifier or an endpoint, is enough for a ``key`` that overlaps
+none of them: credentials often stand without an endpoint or without a login. The join of parts with
 scopes is an interval join within the document: running last values over the
 parts in order of their starts, forwards and backwards, say how near the
 closest part of each role is. No pairs are made, so a document with many parts
@@ -73,11 +75,11 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), F.filter(made, lambda x: x["own"].isNotNull())).otherwise(none)
 
 
-def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, either: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the ``carry`` columns (default: all) and
     ``found``, the array of struct(start, kind, end, name) of all reported
     spans in order of start, then kind as listed; ``start`` counts code
-    points, ``end`` is exclusive.
+    points, ``end`` is exclusive. ``either`` reports keys by one other role.
 
     Null text counts as empty and has no spans. Matches are leftmost and
     non-overlapping for each kind over the whole text, whatever its length;
@@ -112,8 +114,16 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
         after = F.last(at, True).over(back.rowsBetween(W.unboundedPreceding, 0))
         near[r] = F.coalesce(F.col("start") - before <= SCOPE, F.lit(False)) | F.coalesce(
             after - F.col("start") <= SCOPE, F.lit(False))
+    together = near["id"] & near["secret"] & near["place"]
+    if either:
+        # a key that is no more than the value of an identifier or the path of an address stands alone
+        is_other = F.col("holds") & F.col("kind").isin([KINDS.index(k) for k in role["id"] + role["place"]])
+        reached = F.max(F.when(is_other, F.col("end"))).over(by_start.rowsBetween(W.unboundedPreceding, 0))
+        ahead = F.last(F.when(is_other, F.col("start")), True).over(back.rowsBetween(W.unboundedPreceding, 0))
+        apart = F.coalesce(reached <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))
+        together |= (F.col("kind") == KINDS.index("key")) & apart & (near["id"] | near["place"])
     weak = F.col("kind") >= len(BASE)
-    linked = placed.withColumn("reported", F.col("holds") & (~weak | (near["id"] & near["secret"] & near["place"])))
+    linked = placed.withColumn("reported", F.col("holds") & (~weak | together))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     span = F.when(F.col("reported"), F.struct("start", "kind", "end", name.alias("name")))
     return (linked.groupBy("row")
@@ -130,10 +140,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", either: bool = False) -> DataFrame:
     """``docs`` with every reported span of the text replaced by a placeholder;
     overlapping and touching spans are replaced together. Rows without spans
-    keep their text, null included; all columns stay."""
+    keep their text, null included; all columns stay. ``either`` as for ``scan``."""
     spans = F.col("found")
     cut = F.aggregate(
         spans, F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
@@ -145,7 +155,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             .alias("done"),
             F.greatest(s["at"], x["end"]).alias("at")))
     new = F.concat(cut["done"], F.substring(F.col(text), cut["at"].cast("int") + 1, F.char_length(text)))
-    return (scan(docs, text).withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text)))
+    return (scan(docs, text, either=either).withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text)))
             .select(*docs.columns))
 
 

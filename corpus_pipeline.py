@@ -12,7 +12,8 @@ All stages but the last return the columns of ``documents``:
 2. exact: one row of each group of equal texts stays;
 3. near: one document of each group of near-duplicates (five-word shingles,
    similarity of 0.8 or more) stays, the one with the smallest doc_id;
-4. secrets: every reported span is replaced in the text by a placeholder, and
+4. secrets: every reported span is replaced in the text by a placeholder, a
+   possible secret already when an identifier or an endpoint is near, and
    n_chars is counted again;
 5. pack: the pieces of the packed sequences with their token ids.
 """
@@ -43,7 +44,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return secret_scan.redact(docs, either=True).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
