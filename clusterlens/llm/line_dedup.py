@@ -5,7 +5,10 @@ A line's place in a tree of fixed depth is its number of tokens and its first
 a token that fewer than ``min_docs`` line-documents have at its position is a
 variable field too. Line and variables give the line's template; a template
 that at least ``min_docs`` documents hold, with at least half of its tokens
-constant, is recurring, and its lines are dropped. With ``by_text``, rows whose
+constant, is recurring, and its lines are dropped. Numbers don't make a line
+less recurring: half of the tokens without a digit are enough if a constant
+stands beyond the first ``DEPTH`` tokens, and a line more than half of digits
+goes too if it stands word for word in ``min_docs`` documents. With ``by_text``, rows whose
 texts are equal but for white space (the copies of operator 10) are one document.
 
 A constant of a recurring template has itself at least ``min_docs`` at its
@@ -35,17 +38,21 @@ def masked(line: Column) -> Column:
                   .otherwise(even))
 
 
+def _evened(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+
+
 def _digest(c: Column) -> Column:
     return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
 
 
 def _lines(rows: DataFrame, text: str, depth: int) -> DataFrame:
-    """row, doc, line (from 0), mask, leaf: the lines of rows(row, doc, own) that aren't white."""
+    """row, doc, line (from 0), raw, mask, leaf: the lines of rows(row, doc, own) that aren't white."""
     lines = rows.select("row", "doc", F.posexplode(F.split(text_or_empty(F.col("own")[text]), "\n")).alias("line", "raw"))
     lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
     blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
     leaf = F.xxhash64(blanks, F.substring_index("mask", " ", depth))
-    return lines.select("row", "doc", "line", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
+    return lines.select("row", "doc", "line", "raw", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
 
 
 def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth: int) -> DataFrame:
@@ -62,10 +69,12 @@ def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth
               .select("leaf", "pos", "token", F.lit(True).alias("constant")))
     kept = F.when(F.col("constant") & (F.col("token") != VARIABLE), F.col("token")).otherwise(F.lit(VARIABLE))
     shaped = (at.join(common, ["leaf", "pos", "token"], "left")
-              .groupBy("shape").agg(F.sort_array(F.collect_list(F.struct("pos", kept.alias("token")))).alias("t"))
-              .select("shape", F.transform("t", lambda x: x["token"]).alias("t")))
+              .groupBy("shape").agg(F.sort_array(F.collect_list(F.struct("pos", kept.alias("token")))).alias("t"),
+                                    F.count_if(F.col("token") != VARIABLE).alias("words"))
+              .select("shape", "words", F.transform("t", lambda x: x["token"]).alias("t")))
     solid = F.size(F.filter("t", lambda x: x != VARIABLE))
-    shaped = shaped.where(2 * solid >= F.size("t")).select("shape", F.array_join("t", " ").alias("template"))
+    beyond = F.exists(F.slice("t", depth + 1, F.greatest(F.size("t") - depth, F.lit(0))), lambda x: x != VARIABLE)
+    shaped = shaped.where((2 * solid >= F.size("t")) | (2 * solid >= F.col("words")) & beyond).select("shape", F.array_join("t", " ").alias("template"))
     shaped = stage(shaped.withColumn("id", _digest(F.col("template"))), "shapes")
     often = (seen.select("doc", "shape").join(shaped, "shape").select("doc", "id").distinct()
              .groupBy("id").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs))
@@ -74,11 +83,16 @@ def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth
 
 def _staged(docs: DataFrame, text: str, depth: int, by_text: bool) -> tuple[DataFrame, DataFrame]:
     """rows(row, doc, own) with a number for each row and for what counts as its document,
-    and a narrow row (row, doc, line, shape, leaf) for each line that isn't white."""
+    and a narrow row (row, doc, line, shape, leaf, exact) for each line that isn't white;
+    ``exact`` is the digest of a line of which more than half is digits, else null."""
     row = F.monotonically_increasing_id()
     doc = F.xxhash64(F.translate(text_or_empty(F.col(text)), SPACES, "")) if by_text else row
     rows = stage(docs.select(row.alias("row"), doc.alias("doc"), F.struct(*docs.columns).alias("own")), "rows")
-    seen = _lines(rows, text, depth).select("row", "doc", "line", _digest(F.col("mask")).alias("shape"), "leaf")
+    blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
+    variables = (F.char_length("mask") - F.char_length(F.replace("mask", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
+    exact = F.when(2 * variables > blanks + 1, _digest(_evened(F.col("raw"))))
+    seen = _lines(rows, text, depth).select(
+        "row", "doc", "line", _digest(F.col("mask")).alias("shape"), "leaf", exact.alias("exact"))
     return rows, stage(seen, "lines")
 
 
@@ -107,7 +121,11 @@ def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
     base = docs.drop("lines_dropped")
     rows, seen = _staged(base, text, depth, by_text)
     known = _recurring(rows, seen, text, min_docs, depth).select("shape")
-    gone = seen.join(known, "shape").groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    heavy = seen.where("exact IS NOT NULL").select("row", "doc", "line", "exact")
+    repeated = (heavy.select("doc", "exact").distinct().groupBy("exact").agg(F.count(F.lit(1)).alias("n"))
+                .where(F.col("n") >= min_docs).select("exact"))
+    found = seen.join(known, "shape").select("row", "line").union(heavy.join(repeated, "exact").select("row", "line"))
+    gone = found.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     # a flag for each line: runs of lines that stay, each ended by one that goes
     own = F.col("own")
     lines = F.split(own[text], "\n")

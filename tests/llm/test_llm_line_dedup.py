@@ -93,3 +93,14 @@ def test_copies_of_a_text_are_one_document(spark, tmp_path):
     assert all(got[i][1] >= 1 and "Read more" not in got[i][0] for i in range(15, 25))
     assert got[24] == (copied, 1)
     assert {(r.template, r.docs) for r in ld.templates(docs, by_text=True).collect()} == {("Read more on our site", 10)}
+
+
+def test_lines_of_numbers_recur_too(spark):
+    texts = [f"Tel 030 1234  5678\n2024-05-01 12:00:{i} 10.0.0.{i} GET 200\nTel 040 {i} {i}{i}\nIt is {chr(97 + i)} the {'xyz'[i % 3] * i} {i} {i}1"
+             for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for by_text in (False, True):
+        got = {r.doc_id: (r.text, r.lines_dropped) for r in ld.drop_recurring(docs, by_text=by_text).collect()}
+        assert [got[i][0].split("\n")[0] for i in range(10)] == [f"Tel 040 {i} {i}{i}" for i in range(10)]
+    few = ld.drop_recurring(docs.where("doc_id < 9"))
+    assert {r.lines_dropped for r in few.collect()} == {0}
