@@ -20,5 +20,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns of ``df`` (new name = old name), whatever else it holds.
+
+    Columns are found by position: exactly spelled names first, then names that
+    differ by case only. Names with dots and other columns that clash don't matter.
+    """
+    def place(name: str) -> int:
+        for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+            found = [i for i, c in enumerate(df.columns) if same(c)]
+            if found:
+                return found[0]
+        raise ValueError(f"no column {name!r}; have {df.columns}")
+
+    by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"c{place(old)}").alias(new) for new, old in columns.items()])
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
