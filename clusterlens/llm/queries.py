@@ -14,6 +14,7 @@ from clusterlens.llm import resampling as op4
 from clusterlens.llm import secret_scan as op6
 from clusterlens.llm import sharding as op13
 from clusterlens.llm import topk_search as op1
+from clusterlens.llm import whitening as op11
 
 QUERIES = {
     "op1_topk_search": op1.op1_topk_search,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pieces": op8.op8_pieces,
     "op9_near_dedup": op9.op9_near_dedup,
     "op10_exact_dedup": op10.op10_exact_dedup,
+    "op11_whitening": op11.op11_whitening,
     "op12_merkle": op12.op12_merkle,
     "op13_sharding": op13.op13_sharding,
 }
