@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ._util import as_col
 
 
+#: Epoch seconds of 0001-01-02 and 9999-12-30.
+YEARS = (-62_135_510_400, 253_402_128_000)
+
 
 def _epoch_ntz() -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
@@ -20,8 +23,10 @@ def ntz_to_epoch(c) -> Column:
 
 
 def to_ts(epoch, tz: str = "UTC") -> Column:
-    """Epoch seconds -> local wall-clock time in ``tz`` (TIMESTAMP_NTZ)."""
-    utc = F.timestamp_add("SECOND", as_col(epoch), _epoch_ntz())
+    """Epoch seconds -> local wall-clock time in ``tz`` (TIMESTAMP_NTZ); NULL where
+    the time lies outside the years 1 to 9999, with a day to spare for the zone."""
+    sound = as_col(epoch).between(*YEARS)
+    utc = F.timestamp_add("SECOND", F.when(sound, as_col(epoch)), _epoch_ntz())
     if tz.upper() in ("UTC", "Z", "GMT", "+00:00"):
         return utc
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)

@@ -23,14 +23,22 @@ def capacity_from_nodes(qn: DataFrame, cores_per_node: int) -> DataFrame:
 def utilisation(series: DataFrame, capacity: DataFrame, measure: str = "cpus") -> DataFrame:
     """Share of the queue's cores in use at each tick (NULL without capacity).
 
-    Capacities are per queue and never summed: queues share nodes. The
-    capacity table has one row per queue; the planner broadcasts it when
-    small and shuffles otherwise.
+    Capacities are per queue and never summed: queues share nodes. A queue that
+    the capacity table lists more than once counts once, with the largest number;
+    ``capacity_conflicts`` reports those whose numbers differ. The planner
+    broadcasts the table when small and shuffles otherwise.
     """
-    return (series.join(capacity, on="queue", how="left")
+    once = capacity.groupBy("queue").agg(F.max("total_cores").alias("total_cores"))
+    return (series.join(once, on="queue", how="left")
             .withColumn("utilisation", safe_div(F.col(measure), F.col("total_cores"))))
 
 
+def capacity_conflicts(capacity: DataFrame) -> DataFrame:
+    """queue, least, most: queues listed with different numbers of cores."""
+    return (capacity.groupBy("queue").agg(F.min("total_cores").alias("least"), F.max("total_cores").alias("most"))
+            .where("least <> most"))
+
+
 def orphans(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``left`` whose key has no match in ``right``."""
     return left.join(right, on=key, how="left_anti")

@@ -84,7 +84,8 @@ def job_times(df: DataFrame, tz: str = "UTC") -> DataFrame:
     """Report columns of a job row: local start/submit/event/end times,
     pending time, run time, event hour, hour block and weekday. ``run_time``
     may be text, as the parser gives it; text that is no whole number of
-    seconds counts as unknown."""
+    seconds counts as unknown, and so do times outside the years 1 to 9999
+    (``time_rejects`` counts these)."""
     ev = to_ts("event_time", tz)
     run = F.col("run_time").try_cast("bigint")
     return df.select(
@@ -92,8 +93,8 @@ def job_times(df: DataFrame, tz: str = "UTC") -> DataFrame:
         to_ts("start_time", tz).alias("start_ts"),
         to_ts("submit_time", tz).alias("submit_ts"),
         ev.alias("event_ts"),
-        (F.col("start_time") - F.col("submit_time")).alias("pend_time"),
-        to_ts(F.col("start_time") + run, tz).alias("end_ts"),
+        F.try_subtract("start_time", "submit_time").alias("pend_time"),
+        to_ts(F.try_add("start_time", run), tz).alias("end_ts"),
         F.hour(ev).alias("event_time_hour"),
         run.alias("run_time_sec"),
         hour_label(F.hour(ev)).alias("hour_block"),
@@ -102,6 +103,12 @@ def job_times(df: DataFrame, tz: str = "UTC") -> DataFrame:
     )
 
 
+def time_rejects(df: DataFrame, *epoch_cols: str) -> DataFrame:
+    """column, n_rows: how many values of each column ``to_ts`` makes NULL because they lie too far out."""
+    counts = df.agg(*[F.count_if(F.col(c).isNotNull() & to_ts(c).isNull()).alias(c) for c in epoch_cols])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_rows")) for c in epoch_cols])))
+
+
 def with_hour_block(df: DataFrame, epoch_col: str = "second", tz: str = "UTC") -> DataFrame:
     """``hour_block`` ("00-01".."23-24"), ``ds`` (local time) and ``date``."""
     ds = to_ts(epoch_col, tz)

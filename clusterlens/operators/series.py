@@ -54,30 +54,53 @@ def _clamped(entries: DataFrame, start_col: str, end_col: str,
     return df.withColumn("_s", s).withColumn("_e", F.col(end_col))
 
 
-def _ordered(df: DataFrame, closed: str, step: int) -> tuple[DataFrame, F.Column]:
+#: A job that claims to run longer than this many seconds, or beyond this instant, is an error in the log.
+MAX_SECONDS, MAX_INSTANT = 1 << 32, 1 << 60
+#: Ticks that one generated array holds at most.
+MAX_ARRAY = 1 << 23
+
+
+def too_long(start: F.Column, end: F.Column) -> F.Column:
+    """Whether a job's claimed interval can't be one (NULL where an end is unknown)."""
+    far = (F.abs(start.cast("double")) > MAX_INSTANT) | (F.abs(end.cast("double")) > MAX_INSTANT)
+    return far | (F.try_subtract(end, start) > MAX_SECONDS)
+
+
+def _ordered(df: DataFrame, start_col: str, end_col: str, closed: str, step: int) -> tuple[DataFrame, F.Column]:
     """Jobs of a clamped table that cover a tick, and the last instant of their grid."""
     last = F.col("_e") if closed == "both" else F.col("_e") - step
-    return df.filter(F.col("_s") <= last), last
+    return df.filter(~too_long(F.col(start_col), F.col(end_col)) & (F.col("_s") <= last)), last
+
+
+def _with_ticks(df: DataFrame, keep: Sequence, start: F.Column, last: F.Column, step: int, tick_col: str) -> DataFrame:
+    """``keep`` and one row for each tick from ``start`` to ``last``. Where the step is so fine that
+    the longest job's ticks are no bounded array, they are generated block by block."""
+    width = F.lit(step).cast("bigint")
+    if MAX_SECONDS // step <= MAX_ARRAY:
+        return df.select(*keep, F.explode(F.sequence(start, last, width)).alias(tick_col))
+    block = F.lit(step * MAX_ARRAY // 128).cast("bigint")
+    blocks = df.select("*", last.alias("_last"), F.explode(F.sequence(start, last, block)).alias("_from"))
+    until = F.least(F.col("_last"), F.col("_from") + block - width)
+    return blocks.select(*keep, F.explode(F.sequence(F.col("_from"), until, width)).alias(tick_col))
 
 
 def interval_rejects(entries: DataFrame, start_col: str = "approx_start", end_col: str = "approx_end",
                      clamp: bool = True, first: DataFrame | None = None) -> DataFrame:
     """One row: jobs that give no tick, by reason.
 
-    ``n_reversed`` started after their end, ``n_before_first`` ended before
-    the first event (none when the first event is taken from ``entries``),
-    ``n_unknown`` lack a start or an end; ``n_covering`` cover a tick.
+    ``n_reversed`` started after their end, ``n_too_long`` claim an interval that
+    can't be one (see ``too_long``), ``n_before_first`` ended before the first event
+    (none when the first event is taken from ``entries``), ``n_unknown`` lack a
+    start or an end; ``n_covering`` cover a tick.
     """
     df = _clamped(entries, start_col, end_col, clamp, first)
     start, end = F.col(start_col), F.col(end_col)
-    unknown = start.isNull() | end.isNull()
-    return df.select(
-        unknown.alias("u"), (start > end).alias("r"), (F.col("_s") <= end).alias("ok")).agg(
+    reason = (F.when(start.isNull() | end.isNull(), "unknown").when(start > end, "reversed")
+              .when(too_long(start, end), "too_long").when(F.col("_s") <= end, "covering").otherwise("before_first"))
+    return df.select(reason.alias("why")).agg(
         F.count(F.lit(1)).alias("n_jobs"),
-        F.count_if("ok").alias("n_covering"),
-        F.count_if(~F.col("u") & F.col("r")).alias("n_reversed"),
-        F.count_if(~F.col("u") & ~F.col("r") & ~F.col("ok")).alias("n_before_first"),
-        F.count_if("u").alias("n_unknown"))
+        *[F.count_if(F.col("why") == w).alias(f"n_{w}")
+          for w in ("covering", "reversed", "too_long", "before_first", "unknown")])
 
 
 def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_start",
@@ -88,24 +111,29 @@ def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_sta
 
     Ticks run from the (clamped) start to the end in ``step`` seconds, both
     ends included (``closed='left'`` drops the end tick). Jobs whose start
-    lies after their end cover no tick; ``interval_rejects`` counts them.
+    lies after their end or whose interval is too long to be one cover no
+    tick; ``interval_rejects`` counts them.
     """
-    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), closed, step)
-    cols = [c for c in entries.columns]
-    return df.select(*cols, F.explode(F.sequence(F.col("_s"), last, F.lit(step).cast("bigint")))
-                     .alias(tick_col))
+    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
+    return _with_ticks(df, entries.columns, F.col("_s"), last, step, tick_col)
 
 
-def _measure_exprs(measures: dict[str, str], sentinel) -> dict[str, F.Column]:
-    out = {}
+def _measure_exprs(entries: DataFrame, measures: dict[str, str], sentinel) -> dict[str, F.Column]:
+    """Values to add up by measure. Whole numbers stay BIGINT, others become decimals of
+    6 places, so that sums are exact and don't depend on the order; the sum is cut to whole
+    numbers once, at the end."""
+    kinds, out = dict(entries.dtypes), {}
     for name, src in measures.items():
         v = F.col(src)
         if sentinel is not None:
             v = F.nullif(v, F.lit(sentinel))
-        out[name] = v
+        out[name] = v.cast("bigint") if kinds.get(src) in _WHOLE else v.try_cast("decimal(28,6)")
     return out
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def usage_series(entries: DataFrame, group: Sequence[str] = ("queue",),
                  step: int = 1000, measures: dict[str, str] | None = None,
                  start_col: str = "approx_start", end_col: str = "approx_end",
@@ -127,7 +155,7 @@ def usage_series(entries: DataFrame, group: Sequence[str] = ("queue",),
                            tick_col, sentinel, clamp, closed, first=first)
     group = list(group)
     ticks = job_ticks(entries, step, start_col, end_col, tick_col, clamp, closed, first)
-    vals = _measure_exprs(measures, sentinel)
+    vals = _measure_exprs(entries, measures, sentinel)
     aggs = [F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias(n) for n, v in vals.items()]
     return ticks.groupBy(*group, tick_col).agg(*aggs)
 
@@ -142,27 +170,35 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
     exploding every job (see the module notes)."""
     measures = dict(measures or DEFAULT_MEASURES)
     group = list(group)
-    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), closed, step)
-    vals = _measure_exprs(measures, sentinel)
-    names = list(vals)
-    # Ticks of a job sit at _s + k*step; jobs of different phase never share
-    # a tick, so each phase is its own sweep.
-    phase = F.pmod(F.col("_s"), F.lit(step))
+    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
+    vals = _measure_exprs(entries, measures, sentinel)
     # Value and "is present" deltas: a sum over present values is 0 when no
-    # active job has the value, like the exploded sum.
-    plus = [F.coalesce(vals[n], F.lit(0)).cast("bigint").alias(f"d_{n}") for n in names]
-    minus = [(-F.coalesce(vals[n], F.lit(0))).cast("bigint").alias(f"d_{n}") for n in names]
-    # Both change points of a job come out of one pass over the jobs.
-    points = df.select(*group, phase.alias("_ph"), F.inline(F.array(
+    # active job has the value, like the exploded sum. Both change points of a
+    # job come out of one pass over the jobs.
+    plus = [F.coalesce(v, F.lit(0)).alias(f"d_{n}") for n, v in vals.items()]
+    minus = [(-F.coalesce(v, F.lit(0))).alias(f"d_{n}") for n, v in vals.items()]
+    points = df.select(*group, F.inline(F.array(
         F.struct(F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("d_n"), *plus),
         F.struct((last + step).alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus))))
+    return _level_ticks(levels(points, group, step, list(vals), block_ticks), group, step, list(vals), tick_col)
+
+
+def levels(points: DataFrame, group: Sequence[str], step: int, names: Sequence[str],
+           block_ticks: int = 4096) -> DataFrame:
+    """Change points (group, _t, d_n, d_<name>) -> group, _t, _next, d_n, d_<name>: the
+    level from each change point up to the next, where a job is active.
+
+    Ticks of a job sit at its start + k * step; jobs of different phase never
+    share a tick, so each phase is its own sweep.
+    """
     dcols = ["d_n"] + [f"d_{n}" for n in names]
     # Map-side partial sums collapse the change points before the shuffle. The
     # block is a key of the sums and the join below takes NULL keys, so both
     # uses of the change points have the same plan and share one exchange.
     width = step * block_ticks
     part = [*group, "_ph"]
-    cp = (points.withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
+    cp = (points.select(*group, F.pmod(F.col("_t"), F.lit(step)).alias("_ph"), "_t", *dcols)
+          .withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
           .groupBy(*part, "_b", "_t").agg(*[F.sum(c).alias(c) for c in dcols]))
     # Block totals and the level carried into each block (small table).
     blocks = cp.groupBy(*part, "_b").agg(*[F.sum(c).alias(f"b_{c}") for c in dcols],
@@ -181,13 +217,12 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
           for c in dcols],
         F.coalesce(F.lead("_t").over(w), F.col("_next_block_first")).alias("_next"))
     # Each level holds from its change point up to the next one.
-    live = run.filter((F.col("d_n") > 0) & F.col("_next").isNotNull())
-    out = live.select(
-        *group,
-        F.explode(F.sequence(F.col("_t"), F.col("_next") - step,
-                             F.lit(step).cast("bigint"))).alias(tick_col),
-        *[F.col(f"d_{n}").cast("bigint").alias(n) for n in names])
-    return out
+    return run.filter((F.col("d_n") > 0) & F.col("_next").isNotNull()).select(*group, "_t", "_next", *dcols)
+
+
+def _level_ticks(live: DataFrame, group: Sequence[str], step: int, names: Sequence[str], tick_col: str) -> DataFrame:
+    out = _with_ticks(live, [*group, *[f"d_{n}" for n in names], "_t"], F.col("_t"), F.col("_next") - step, step, tick_col)
+    return out.select(*group, tick_col, *[F.col(f"d_{n}").cast("bigint").alias(n) for n in names])
 
 
 def merge_partials(partials: DataFrame, group: Sequence[str] = ("queue",),

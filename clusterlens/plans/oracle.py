@@ -390,8 +390,10 @@ SELECT *, row_number() OVER (ORDER BY second NULLS FIRST, queue NULLS FIRST) AS
 SQL["interval_rejects"] = _w(JOBS + "," + GRID + """,
 entries AS (SELECT * FROM grid WHERE start_time > 0),
 first AS (SELECT min(approx_end) AS f FROM entries)""", """
-SELECT count(*) AS n_jobs, count(*) FILTER (greatest(f, approx_start) <= approx_end) AS n_covering,
+SELECT count(*) AS n_jobs,
+       count(*) FILTER (greatest(f, approx_start) <= approx_end AND approx_end - approx_start <= 4294967296) AS n_covering,
        count(*) FILTER (approx_start > approx_end) AS n_reversed,
+       count(*) FILTER (approx_end - approx_start > 4294967296) AS n_too_long,
        count(*) FILTER (approx_start <= approx_end AND greatest(f, approx_start) > approx_end) AS n_before_first,
        count(*) FILTER (approx_start IS NULL OR approx_end IS NULL) AS n_unknown
 FROM entries, first""")

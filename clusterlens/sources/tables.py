@@ -77,8 +77,13 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     return path
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
+    """A table that ``write_table`` wrote. CSV has a header line and doubled quotes; without
+    ``schema`` its columns are text, and with one, lines that don't fit are left to ``read_jobs_csv``."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if fmt == "csv":
+        reader = reader.options(header=True, **CSV_QUOTES)
+    return reader.format(fmt).load(path)
 
 
 def compute(df: DataFrame, name: str) -> DataFrame:
