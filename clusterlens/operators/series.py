@@ -66,10 +66,12 @@ def too_long(start: F.Column, end: F.Column) -> F.Column:
     return far | (F.try_subtract(end, start) > MAX_SECONDS)
 
 
-def _ordered(df: DataFrame, start_col: str, end_col: str, closed: str, step: int) -> tuple[DataFrame, F.Column]:
-    """Jobs of a clamped table that cover a tick, and the last instant of their grid."""
+def _ordered(df: DataFrame, start_col: str, end_col: str, closed: str, step: int) -> tuple[DataFrame, F.Column, F.Column]:
+    """Jobs of a clamped table that start before they end, the last instant of their
+    grid, and whether their interval can be one. That is left to the generators to
+    test: as a filter it would be pushed into the parse and take minutes to plan."""
     last = F.col("_e") if closed == "both" else F.col("_e") - step
-    return df.filter(~too_long(F.col(start_col), F.col(end_col)) & (F.col("_s") <= last)), last
+    return df.filter(F.col("_s") <= last), last, ~too_long(F.col(start_col), F.col(end_col))
 
 
 def _with_ticks(df: DataFrame, keep: Sequence, start: F.Column, last: F.Column, step: int, tick_col: str) -> DataFrame:
@@ -114,8 +116,8 @@ def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_sta
     lies after their end or whose interval is too long to be one cover no
     tick; ``interval_rejects`` counts them.
     """
-    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
-    return _with_ticks(df, entries.columns, F.col("_s"), last, step, tick_col)
+    df, last, sound = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
+    return _with_ticks(df, entries.columns, F.col("_s"), F.when(sound, last), step, tick_col)
 
 
 def _measure_exprs(entries: DataFrame, measures: dict[str, str], sentinel) -> dict[str, F.Column]:
@@ -170,17 +172,19 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
     exploding every job (see the module notes)."""
     measures = dict(measures or DEFAULT_MEASURES)
     group = list(group)
-    df, last = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
+    df, last, sound = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
     vals = _measure_exprs(entries, measures, sentinel)
     # Value and "is present" deltas: a sum over present values is 0 when no
     # active job has the value, like the exploded sum. Both change points of a
     # job come out of one pass over the jobs.
     plus = [F.coalesce(v, F.lit(0)).alias(f"d_{n}") for n, v in vals.items()]
     minus = [(-F.coalesce(v, F.lit(0))).alias(f"d_{n}") for n, v in vals.items()]
-    points = df.select(*group, F.inline(F.array(
+    # A job ends one step behind its last tick, which lies on its own grid.
+    behind = last - F.pmod(last - F.col("_s"), F.lit(step)) + step
+    points = df.select(*group, F.inline(F.when(sound, F.array(
         F.struct(F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("d_n"), *plus),
-        F.struct((last + step).alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus))))
-    return _level_ticks(levels(points, group, step, list(vals), block_ticks), group, step, list(vals), tick_col)
+        F.struct(behind.alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus)))))
+    return level_ticks(levels(points, group, step, list(vals), block_ticks), group, step, list(vals), tick_col)
 
 
 def levels(points: DataFrame, group: Sequence[str], step: int, names: Sequence[str],
@@ -220,7 +224,8 @@ def levels(points: DataFrame, group: Sequence[str], step: int, names: Sequence[s
     return run.filter((F.col("d_n") > 0) & F.col("_next").isNotNull()).select(*group, "_t", "_next", *dcols)
 
 
-def _level_ticks(live: DataFrame, group: Sequence[str], step: int, names: Sequence[str], tick_col: str) -> DataFrame:
+def level_ticks(live: DataFrame, group: Sequence[str], step: int, names: Sequence[str], tick_col: str) -> DataFrame:
+    """The rows of ``levels`` as one row for each tick."""
     out = _with_ticks(live, [*group, *[f"d_{n}" for n in names], "_t"], F.col("_t"), F.col("_next") - step, step, tick_col)
     return out.select(*group, tick_col, *[F.col(f"d_{n}").cast("bigint").alias(n) for n in names])
 

@@ -29,6 +29,7 @@ from ..operators.positions import row_numbered
 from ..sources.lists import capacity_lines, ragged_pairs
 from ..session import new_path
 from ..sources.logs import read_log
+from ..sources.snapshots import Snapshots
 from ..sources.tables import (compute, csv_lines, csv_rejects, csv_rows, read_jobs_csv, read_table,
                               write_table)
 from ..streaming import ingest
@@ -147,17 +148,60 @@ def q_table_round_trip(spark, sf):
     return compute(read_table(spark, path).where("queue IS NOT NULL"), "with-queue")
 
 
+def q_table_snapshots(spark, sf):
+    """Two versions of a table that is replaced by a part of itself and then appended to."""
+    store = Snapshots(spark, new_path(spark, "snapshots"))
+    jobs = _jobs(spark, sf).select("job_id", "idx", "queue", "event_time")
+    store.replace("jobs", jobs)
+    store.replace("jobs", store.read("jobs").where("job_id % 2 = 0"))
+    newest = store.append("jobs", jobs.where("job_id % 3 = 1"))
+    versions = [store.read("jobs", v).withColumn("version", F.lit(v)) for v in (newest - 1, newest)]
+    return versions[0].unionByName(versions[1])
+
+
 def q_ingest_batches(spark, sf):
     """Two batches of log lines, the second one replayed, as the merged series."""
     lines, out = fx.lines(spark, sf), new_path(spark, "ingest")
-    whole = P.parse_log(lines, fields=ingest.FIELDS, keep_line=False)
-    first = ser.first_event(ingest.batch_entries(whole)).first()["first_event"]
     early = F.length("value") % 2 == 0
     for i, part in enumerate((lines.where(early), lines.where(~early), lines.where(~early))):
-        ingest.write_batch(part, min(i, 1), out, first)
+        ingest.write_batch(part, min(i, 1), out)
+    return ingest.read_merged(spark, out)
+
+
+def q_ingest_falling(spark, sf):
+    """Batches that come latest events first: each one moves the first event back."""
+    jobs, out = _jobs(spark, sf), new_path(spark, "ingest")
+    low, high = jobs.agg(F.min("event_time"), F.max("event_time")).first()
+    third = F.floor((F.col("event_time") - low) * 3 / F.lit(high - low + 1)) if low is not None else F.lit(0)
+    for i, part in enumerate((2, 1, 0)):
+        ingest.write_batch(fx.render_lines(jobs.where(third == part)), i, out)
     return ingest.read_merged(spark, out)
 
 
+def q_ingest_unique(spark, sf):
+    """Job instances repeated within a load and across loads: what stays, and what is rejected and why."""
+    jobs, out = _jobs(spark, sf), new_path(spark, "ingest")
+    some = jobs.where("job_id % 3 <> 0")
+    again = jobs.withColumn("num_processors", F.col("num_processors") + 1)
+    ingest.write_batch(fx.render_lines(some.unionAll(some.where("job_id % 7 = 0"))), 0, out)
+    ingest.write_batch(fx.render_lines(again), 1, out)
+    kept = ingest.read_ingested(spark, out, "log_entries").withColumn("reason", F.lit(None).cast("string"))
+    rows = kept.unionByName(ingest.read_ingested(spark, out, "repeats"))
+    return rows.select("job_id", "idx", "requeue_time", "event_time", "queue", "num_processors", "reason")
+
+
+def q_ingest_stream(spark, sf):
+    """Log files that arrive in three lots, streamed with one checkpoint, compacted in between."""
+    lines = fx.lines(spark, sf).withColumn("lot", F.length("value") % 3)
+    base = new_path(spark, "stream")
+    for lot in range(3):
+        lines.where(F.col("lot") == lot).select("value").write.text(f"{base}/logs/lot{lot}")
+        ingest.ingest(spark, f"{base}/logs/*", f"{base}/tables", f"{base}/checkpoint")
+        if lot == 1:
+            ingest.compact(spark, f"{base}/tables", fan_in=2)
+    return ingest.read_merged(spark, f"{base}/tables")
+
+
 def q_csv_jobs(spark, sf):
     return csv_rows(csv_lines(fx.csv_text(spark, sf), CSV_SCHEMA))
 
@@ -506,7 +550,11 @@ QUERIES: dict[str, Query] = {
     "log_file": q_log_file,
     "csv_files": q_csv_files,
     "table_round_trip": q_table_round_trip,
+    "table_snapshots": q_table_snapshots,
     "ingest_batches": q_ingest_batches,
+    "ingest_falling": q_ingest_falling,
+    "ingest_unique": q_ingest_unique,
+    "ingest_stream": q_ingest_stream,
     "csv_jobs": q_csv_jobs,
     "csv_rejects": q_csv_rejects,
     "log_status_counts": q_log_status_counts,

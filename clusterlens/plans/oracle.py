@@ -317,6 +317,20 @@ SQL["ingest_batches"] = _w(SERIES.replace(
     "FROM grid WHERE start_time > 0", f"FROM grid WHERE start_time > 0 AND NOT ({_JOB_ID_COND_BAD})"),
     "SELECT * FROM series")
 
+SQL["ingest_falling"] = SQL["ingest_stream"] = SQL["ingest_batches"]
+
+_READ = f"FROM jobs WHERE start_time > 0 AND NOT ({_JOB_ID_COND_BAD})"
+_INSTANCE = "SELECT job_id, idx, requeue_time, event_time, queue"
+SQL["ingest_unique"] = _w(JOBS, f"""
+{_INSTANCE}, num_processors, CAST(NULL AS VARCHAR) AS reason {_READ} AND job_id % 3 <> 0
+UNION ALL {_INSTANCE}, num_processors, 'within_load' {_READ} AND job_id % 3 <> 0 AND job_id % 7 = 0
+UNION ALL {_INSTANCE}, num_processors + 1, NULL {_READ} AND job_id % 3 = 0
+UNION ALL {_INSTANCE}, num_processors + 1, 'known' {_READ} AND job_id % 3 <> 0""")
+
+SQL["table_snapshots"] = _w(JOBS, """
+SELECT job_id, idx, queue, event_time, version FROM jobs, (VALUES (2), (3)) v(version) WHERE job_id % 2 = 0
+UNION ALL SELECT job_id, idx, queue, event_time, 3 FROM jobs WHERE job_id % 3 = 1""")
+
 SQL["csv_jobs"] = _w(JOBS, """
 SELECT job_id, idx, 'sh -c "x,' || job_id || '" z' AS command, queue, avg_mem FROM jobs WHERE user_id % 17 <> 0""")
 

@@ -3,12 +3,18 @@
 import os
 import shutil
 
+import pytest
+from pyspark.sql import functions as F
+
 from clusterlens.operators.clean import log_entries
 from clusterlens.operators.parse import parse_log, parsed_rows, where_type
 from clusterlens.operators.series import first_event, usage_series
 from clusterlens.plans import fixtures as fx
 from clusterlens.sources.tables import compute, csv_ready, csv_rejects, csv_rows, read_jobs_csv, write_table
-from clusterlens.streaming.ingest import ingest, partial_series, read_ingested, read_merged, stored_first_event, write_batch
+from clusterlens.sources.snapshots import Snapshots
+from clusterlens.streaming import ingest as ingest_module
+from clusterlens.streaming.ingest import (compact, ingest, partial_series, read_ingested, read_merged,
+                                          stored_first_event, write_batch)
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,7 +47,7 @@ def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
     assert sorted(spark.sql(audit, t=read_ingested(spark, out, "audit")).collect()) == sorted(
         spark.sql(audit, t=read_ingested(spark, whole, "audit")).collect())
     write_batch(lines.limit(0), 7, whole, fe)
-    write_batch(lines, 0, whole, fe)  # a replay replaces itself
+    write_batch(lines, 0, whole, fe)  # a replay changes nothing
     assert read_merged(spark, whole).exceptAll(one).count() == 0
     assert merged.count() == one.count() > 0
     assert merged.exceptAll(one).count() == 0 and one.exceptAll(merged).count() == 0
@@ -51,19 +57,85 @@ def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
     assert jobs_all.count() > 0
 
 
-def test_first_event_is_stored_by_the_first_load(spark, tmp_path):
+def _same(a, b):
+    return a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_first_event_is_the_least_of_all_batches(spark, tmp_path):
     lines = fx.lines(spark, SF)
-    early, late = lines.filter("value like '%\"view\"%'"), lines.filter("value not like '%\"view\"%'")
+    jobs = log_entries(parsed_rows(parse_log(lines)))
+    middle = jobs.approxQuantile("event_time", [0.5], 0.0)[0]
+    split = lines.withColumn("late", F.regexp_extract("value", r'^"?[A-Z_]+"\s+"10[.]1"\s+([0-9]+)', 1).cast("long") > middle)
+    late, early = split.where("late").select("value"), split.where("NOT late").select("value")
     out = str(tmp_path / "out")
     write_batch(lines.limit(0), 0, out)
-    assert stored_first_event(spark, out) is None
-    write_batch(early, 1, out)
-    fe = stored_first_event(spark, out)
-    write_batch(late, 2, out)
-    assert stored_first_event(spark, out) == fe
-    one = partial_series(lines, fe)
-    merged = read_merged(spark, out)
-    assert merged.count() == one.count() and merged.exceptAll(one).count() == 0
+    assert stored_first_event(spark, out) is None and read_merged(spark, out).count() == 0
+    write_batch(late, 1, out)
+    after_late = stored_first_event(spark, out)
+    assert _same(read_merged(spark, out), partial_series(late, after_late))
+    write_batch(early, 2, out)
+    fe = jobs.agg(F.min("approx_end")).first()[0]
+    assert stored_first_event(spark, out) == fe < after_late
+    assert _same(read_merged(spark, out), partial_series(lines, fe))
+    assert _same(read_merged(spark, out, step=500), partial_series(lines, fe, step=500))
+
+
+def test_a_later_window_than_the_first_event(spark, tmp_path):
+    lines = fx.lines(spark, SF)
+    fe = log_entries(parsed_rows(parse_log(lines))).agg(F.min("approx_end")).first()[0] + 50_000
+    write_batch(lines, 0, str(tmp_path / "out"), first=fe)
+    assert _same(read_merged(spark, str(tmp_path / "out")), partial_series(lines, fe))
+
+
+def test_jobs_with_grids_of_their_own(spark, tmp_path):
+    """A step that the rounded times are no multiples of: the series is made of the job rows."""
+    lines, out = fx.lines(spark, SF).limit(60), str(tmp_path / "out")
+    write_batch(lines, 0, out)
+    assert _same(read_merged(spark, out, step=700), partial_series(lines, stored_first_event(spark, out), step=700))
+
+
+def test_one_log_under_two_batch_ids_counts_once(spark, tmp_path):
+    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    write_batch(lines, 0, out)
+    write_batch(lines, 1, out)
+    n = log_entries(parsed_rows(parse_log(lines))).count()
+    assert read_ingested(spark, out, "log_entries").count() == n
+    assert read_ingested(spark, out, "repeats").groupBy("reason").count().collect() == [("known", n)]
+    assert _same(read_merged(spark, out), partial_series(lines, stored_first_event(spark, out)))
+
+
+def test_a_batch_that_fails_halfway_leaves_nothing(spark, tmp_path, monkeypatch):
+    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    write_batch(lines.limit(0), 0, out)
+
+    def lost(_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest_module, "change_points", lost)  # the key index is written by then
+    with pytest.raises(RuntimeError, match="lost"):
+        write_batch(lines, 1, out)
+    monkeypatch.undo()
+    assert read_ingested(spark, out, "log_entries").count() == 0
+    write_batch(lines, 2, out)  # under another id: the keys of the lost batch don't count
+    assert _same(read_merged(spark, out), partial_series(lines, stored_first_event(spark, out)))
+
+
+def test_compaction_bounds_parts_and_changes_nothing(spark, tmp_path):
+    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    for i in range(5):
+        write_batch(lines.where(F.length("value") % 5 == i), i, out)
+        compact(spark, out, fan_in=2, keep=1)
+    store = Snapshots(spark, out)
+    state = store.state()
+    assert state["facts"]["batches"] == [[0, 4]]
+    assert all(len(t["parts"]) <= 3 for t in state["tables"].values())
+    assert len(os.listdir(f"{out}/parts")) == sum(len(t["parts"]) for t in state["tables"].values())
+    assert _same(read_merged(spark, out), partial_series(lines, stored_first_event(spark, out)))
+    assert read_ingested(spark, out, "audit").agg(F.sum("n_lines")).first()[0] == lines.count()
+    write_batch(lines, 9, out)  # the merged keys are still known
+    assert read_ingested(spark, out, "repeats").count() == read_ingested(spark, out, "log_entries").count()
+    write_batch(lines, 3, out)  # a committed batch is skipped after compaction, too
+    assert store.state()["facts"]["batches"] == [[0, 4], [9, 9]]
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -109,7 +181,6 @@ def test_read_log_drops_bad_bytes_and_filters_type(spark, tmp_path):
 
 
 def test_metric_and_front(spark):
-    import pytest
     from clusterlens.operators.clean import metric
     df = spark.createDataFrame([(1, 2)], "cpus bigint, mem bigint")
     assert metric(df, "mem").first().y == 2

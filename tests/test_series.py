@@ -101,3 +101,12 @@ def test_hot_queue_is_split_into_blocks(spark):
     blocks = (df.filter("queue = 'hot'")
                 .select(F.floor(F.col("approx_start") / (1000 * 16)).alias("b")).distinct().count())
     assert blocks > 20
+
+
+def test_sweep_of_jobs_that_end_between_their_ticks(spark):
+    rows = [(i, "q", 300 * i, 300 * i + 137 * (i % 11), i % 5, 1, 1, 1, 1) for i in range(60)]
+    df = _df(spark, rows)
+    for closed in ("both", "left"):
+        a = S.usage_series(df, step=700, clamp=False, closed=closed)
+        b = S.usage_sweep(df, step=700, clamp=False, closed=closed, block_ticks=4)
+        assert sorted(a.collect()) == sorted(b.collect())
