@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
-    lines = fx.lines(spark, SF)
+    lines = compute(fx.lines(spark, SF), "lines")
     src = tmp_path / "logs"
     # Two "log files" arriving one after the other.
     lines.filter("value like '%\"view\"%' or value like '%\"click\"%'").coalesce(1).write.text(str(src / "a"))
@@ -58,12 +58,18 @@ def test_two_batch_ingest_equals_one_shot(spark, tmp_path):
 
 
 def _same(a, b):
-    return a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    a, b = sorted(map(tuple, a.collect()), key=str), sorted(map(tuple, b.collect()), key=str)
+    return len(a) > 0 and a == b
+
+
+def _entries(lines):
+    """Job rows of all lines, parsed once."""
+    return compute(ingest_module.batch_entries(parse_log(lines, fields=ingest_module.FIELDS, keep_line=False)), "entries")
 
 
 def test_first_event_is_the_least_of_all_batches(spark, tmp_path):
-    lines = fx.lines(spark, SF)
-    jobs = log_entries(parsed_rows(parse_log(lines)))
+    lines = compute(fx.lines(spark, SF), "lines")
+    jobs = _entries(lines)
     middle = jobs.approxQuantile("event_time", [0.5], 0.0)[0]
     split = lines.withColumn("late", F.regexp_extract("value", r'^"?[A-Z_]+"\s+"10[.]1"\s+([0-9]+)', 1).cast("long") > middle)
     late, early = split.where("late").select("value"), split.where("NOT late").select("value")
@@ -81,31 +87,31 @@ def test_first_event_is_the_least_of_all_batches(spark, tmp_path):
 
 
 def test_a_later_window_than_the_first_event(spark, tmp_path):
-    lines = fx.lines(spark, SF)
-    fe = log_entries(parsed_rows(parse_log(lines))).agg(F.min("approx_end")).first()[0] + 50_000
+    lines = compute(fx.lines(spark, SF), "lines")
+    fe = _entries(lines).agg(F.min("approx_end")).first()[0] + 50_000
     write_batch(lines, 0, str(tmp_path / "out"), first=fe)
     assert _same(read_merged(spark, str(tmp_path / "out")), partial_series(lines, fe))
 
 
 def test_jobs_with_grids_of_their_own(spark, tmp_path):
     """A step that the rounded times are no multiples of: the series is made of the job rows."""
-    lines, out = fx.lines(spark, SF).limit(60), str(tmp_path / "out")
+    lines, out = compute(fx.lines(spark, SF), "lines").limit(60), str(tmp_path / "out")
     write_batch(lines, 0, out)
     assert _same(read_merged(spark, out, step=700), partial_series(lines, stored_first_event(spark, out), step=700))
 
 
 def test_one_log_under_two_batch_ids_counts_once(spark, tmp_path):
-    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    lines, out = compute(fx.lines(spark, SF), "lines"), str(tmp_path / "out")
     write_batch(lines, 0, out)
     write_batch(lines, 1, out)
-    n = log_entries(parsed_rows(parse_log(lines))).count()
+    n = _entries(lines).count()
     assert read_ingested(spark, out, "log_entries").count() == n
     assert read_ingested(spark, out, "repeats").groupBy("reason").count().collect() == [("known", n)]
     assert _same(read_merged(spark, out), partial_series(lines, stored_first_event(spark, out)))
 
 
 def test_a_batch_that_fails_halfway_leaves_nothing(spark, tmp_path, monkeypatch):
-    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    lines, out = compute(fx.lines(spark, SF), "lines"), str(tmp_path / "out")
     write_batch(lines.limit(0), 0, out)
 
     def lost(_):
@@ -121,7 +127,7 @@ def test_a_batch_that_fails_halfway_leaves_nothing(spark, tmp_path, monkeypatch)
 
 
 def test_compaction_bounds_parts_and_changes_nothing(spark, tmp_path):
-    lines, out = fx.lines(spark, SF), str(tmp_path / "out")
+    lines, out = compute(fx.lines(spark, SF), "lines"), str(tmp_path / "out")
     for i in range(5):
         write_batch(lines.where(F.length("value") % 5 == i), i, out)
         compact(spark, out, fan_in=2, keep=1)
