@@ -8,10 +8,11 @@ reads them, so a lost executor never sends the work back past a stage.
 All stages but the last return the columns of ``documents``:
 
 1. language: documents without a letter or with a prediction of low
-   confidence go;
+   confidence go (only the former where no document has a language to learn);
 2. exact: one row of each group of equal texts stays;
 3. near: one document of each group of near-duplicates (five-word shingles,
-   similarity of 0.8 or more) stays, the one with the smallest doc_id;
+   similarity of 0.8 or more) stays, the one with the smallest doc_id (null
+   last, then the first row), also where rows repeat a doc_id;
 4. secrets: every reported span is replaced in the text by a placeholder, a
    possible secret already when an identifier or an endpoint is near, and
    n_chars is counted again;
@@ -40,7 +41,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_rows(docs, near_dedup.near_duplicates(docs, words=5))
+    return near_dedup.keep_one(docs, words=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
