@@ -3,8 +3,9 @@
 The index is a Parquet table at a path of its own, bucketed and sorted by
 digest, with one row for each distinct text seen so far. A batch of documents
 is reduced to digests, aggregated by digest before any join, and anti-joined
-with the index by sort-merge: the index side is read bucket by bucket and
-never shuffled. New digests are appended as one partition named after the
+with the index by sort-merge: the batch is dealt into the index's own buckets,
+whatever the session's shuffle partitions, so the index is read bucket by
+bucket and never shuffled. New digests are appended as one partition named after the
 batch, so that a repeated batch overwrites itself instead of counting twice.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,18 +35,34 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         F.char_length(text_or_empty(text)).cast("long").alias("n_cp"))
 
 
+#: A digest is hot if more than one in this many rows has it; there are fewer such digests.
+HOT = 1000
+
+
+def _to_all(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """``rows`` with the columns that ``decided`` (written; one row for each digest, n of its rows) has for them.
+
+    Hot digests, at most ``HOT`` whatever the size, are broadcast, so their rows
+    stay where they are; the rest meet by sort-merge.
+    """
+    limit = rows.count() // HOT
+    hot = F.broadcast(decided.where(F.col("n") > limit).limit(HOT))
+    rest = rows.join(hot.select("digest"), "digest", "left_anti")
+    return rows.join(hot, "digest").unionByName(rest.join(decided.where(F.col("n") <= limit).hint("merge"), "digest"))
+
+
 class DigestIndex:
     """The persistent index at ``path``, created when it does not exist.
 
     Columns: digest, keep_id and keep_row (the row that stays), batch.
-    ``buckets`` is fixed when the index is created and has to be given again
-    when a new session opens it; it defaults to the session's shuffle
-    partitions, so that batch and index meet bucket by bucket.
+    ``buckets`` is fixed when the index is created, to the session's shuffle
+    partitions by default, and stored beside it (``<path>-buckets``); opening it
+    with another number raises. Batches are dealt into that many buckets.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets)
         self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()[:12]
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
@@ -55,6 +73,19 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
+    def _stored_buckets(self, wanted: int | None) -> int:
+        place = f"{self.path}-buckets"
+        try:
+            stored = self.spark.read.schema("buckets int").parquet(place).first()["buckets"]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.spark.range(1).select(F.lit(stored).alias("buckets")).write.parquet(place)
+        if wanted not in (None, stored):
+            raise ValueError(f"the index at {self.path} has {stored} buckets, not {wanted}")
+        return stored
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -85,11 +116,12 @@ class DigestIndex:
             F.min(F.struct((-F.col("n_cp")).alias("a"), F.col("doc_id").isNull().alias("b"),
                            F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("best"))
         known = self.entries().where(F.col("batch") != batch).select("digest").hint("merge")
-        fresh = groups.join(known, "digest", "left_anti").select("digest", "best.keep_id", "best.keep_row")
+        dealt = groups.repartition(self.buckets, "digest")
+        fresh = dealt.join(known, "digest", "left_anti").select("digest", "best.keep_id", "best.keep_row")
         self.append(stage(fresh, "fresh"), batch)
-        decided = groups.select("digest", "n").join(self.entries().hint("merge"), "digest")
+        decided = stage(dealt.select("digest", "n").join(self.entries().hint("merge"), "digest"), "decided")
         here = F.col("batch") == batch
-        return rows.join(decided, "digest").select(
+        return _to_all(rows, decided).select(
             "doc_id", "keep_id",
             (F.col("n") + F.when(here, 0).otherwise(1)).cast("long").alias("group_size"),
             (here & (F.col("row") == F.col("keep_row"))).alias("kept"),

@@ -214,7 +214,10 @@ def prediction(model: Model | None, text: str = "text") -> Column:
 
 def keep_known(docs: DataFrame, model: Model | None, min_score: float, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is
-    recognised with ``min_score`` or more. An empty table gives no rows."""
+    recognised with ``min_score`` or more. Without a model (no labelled document to
+    learn from) all rows stay whose text has a letter. An empty table gives no rows."""
+    if model is None:
+        return docs.where(F.col(text).rlike("\\p{L}"))
     own = "_language_" + "_".join(docs.columns)[:40]
     return (docs.withColumn(own, prediction(model, text))
             .where((F.col(own)["lang_pred"] != UNKNOWN) & (F.col(own)["score"] >= min_score)).drop(own))

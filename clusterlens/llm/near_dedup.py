@@ -262,6 +262,24 @@ def keep_rows(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id") -> Da
     return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
+def keep_one(docs: DataFrame, words: int = 5, doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component of ``docs``, with all columns: the smallest doc_id
+    (null last), then the first in the table.
+
+    Rows count each, so of near copies that repeat a doc_id or have none one stays, too.
+    ``docs`` must be a written table: its rows are numbered by their place in it
+    when components are found, and once more when they are picked.
+    """
+    own = "_row_" + "_".join(docs.columns)[:40]
+    placed = docs.withColumn(own, F.monotonically_increasing_id())
+    found = near_duplicates(placed, words, doc_id=own)
+    ids = placed.select(F.col(own).alias("doc_id"), F.col(doc_id).cast("long").alias("id"))
+    ranked = found.select("doc_id", "component_id").join(ids, "doc_id")
+    kept = ranked.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id"))["doc_id"].alias("_kept"))
+    return placed.join(kept.select("_kept"), placed[own] == kept["_kept"], "left_semi").drop(own)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
 

@@ -63,7 +63,7 @@ PATTERNS = {
     "date": _DATE,
     "ssn": _SSN,
     "phone": r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-             r"|[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,4})(?![0-9])",
+             r"|[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})){2,7})(?![0-9])",
     "card": r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: " + _TAIL + r")?|[0-9]{4}(?:-[0-9]{4}){3}"
             r"(?:-" + _TAIL + r")?|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }

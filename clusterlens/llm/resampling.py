@@ -109,8 +109,13 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.85, seed:
     row = F.monotonically_increasing_id()
     scored = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"),
                                log_weight(ratios, text).alias("log_weight")), "scored")
-    noise = gumbel(F.coalesce("doc_id", "row"), F.lit(seed))
-    scored = scored.withColumn("score", F.col("log_weight") + noise)
+    # the first row of a doc_id draws by doc_id alone; rows are found by their own number, so that
+    # a doc_id which many rows repeat is no hot key
+    first = scored.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("row"))
+    scored = scored.join(first.select("row", F.lit(True).alias("first")), "row", "left")
+    drawn_by = F.when(F.col("first"), F.col("doc_id")).otherwise(
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "row")), F.col("row")))
+    scored = stage(scored.withColumn("score", F.col("log_weight") + gumbel(drawn_by, F.lit(seed))).drop("first"), "drawn")
     n = scored.where("log_weight IS NOT NULL").count()
     ranked = row_numbered(scored, "score", out="rank", tiebreak=["doc_id", "row"], descending=True)
     return ranked.select(

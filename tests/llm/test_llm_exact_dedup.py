@@ -62,3 +62,32 @@ def test_index_side_is_not_shuffled(spark):
     plan = groups.join(index.entries().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount: 8 out of 8" in plan
     assert plan.count("Exchange") == 1
+
+
+def test_reopened_under_other_partitions_nothing_is_forgotten(spark):
+    path, docs = new_path(spark, "t"), spark.range(200).selectExpr("id AS doc_id", "concat('text', id) AS text")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        index = DigestIndex(spark, path)
+        assert index.ingest(docs, "one").where("kept").count() == 200
+        spark.sql(f"DROP TABLE {index.name}")  # as a new catalog
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        again = DigestIndex(spark, path)
+        assert again.buckets == 8
+        assert again.ingest(docs, "two").where("kept").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    with pytest.raises(ValueError, match="has 8 buckets"):
+        DigestIndex(spark, path, buckets=5)
+
+
+def test_hot_digest_is_broadcast_and_the_rest_merged(spark):
+    from tools.plans import final_plan
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id) END AS text")
+    got = DigestIndex(spark, new_path(spark, "t")).ingest(docs)
+    plan = final_plan(got)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    assert got.where("kept").count() == 4001
+    assert got.where("group_size = 2000 AND keep_id = 0").count() == 2000

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from clusterlens.llm import near_dedup as nd
+from clusterlens.llm.common import stage
 from clusterlens.llm.components import components
 from clusterlens.llm.shingles import shingle_set
 
@@ -121,3 +122,14 @@ def test_components(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert {x: got.get(x, x) for x in linked} == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_row_stays_of_near_copies_that_repeat_or_lack_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "a", 1), (5, text + " x", "b", 2), (None, text + " y", "c", 3), (None, text, "d", 4),
+            (None, "other words stand here alone", "e", 5), (None, None, "f", 6), (9, "", "g", 7)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, component_id long"), "docs")
+    got = nd.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["component_id"] for r in got.collect()) in ([1, 5, 6, 7], [2, 5, 6, 7])
+    assert nd.keep_one(docs.limit(0)).count() == 0

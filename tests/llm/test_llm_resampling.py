@@ -53,3 +53,12 @@ def test_no_target_repeats_and_empty_table(spark):
     assert sum(r.kept for r in out) == 3
     assert sorted(r["rank"] for r in out) == [1, 2, 3, 4, 5]
     assert rs.resample(docs.limit(0), none).count() == 0
+
+
+def test_repeated_ids_draw_noise_of_their_own(spark):
+    docs = spark.createDataFrame([(7, "a b c")] * 6 + [(8, "a b c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    out = rs.resample(docs, none, share=0.5).collect()
+    assert len({r.score for r in out}) == 7
+    alone = rs.resample(docs.where("doc_id = 8"), none).first()
+    assert alone.score - alone.log_weight == pytest.approx(next(r.score - r.log_weight for r in out if r.doc_id == 8))
