@@ -21,6 +21,7 @@ from ..operators import parse as P
 from ..operators import profiles as prof
 from ..operators import reports as rep
 from ..operators import series as ser
+from ..operators import trend
 from ..operators.clean import (clean_names, duplicates, front, job_times, log_entries,
                                narrow, null_sentinel, started, with_grid_times,
                                with_hour_block)
@@ -518,6 +519,15 @@ def q_forecast_weekly(spark, sf):
     return _rounded_forecast(fc.forecast_all(_series(spark, sf), tz=TZ, weekly=True))
 
 
+TREND_SHAPE = trend.Shape(changes=8, daily=3, weekly=1)
+
+
+def q_forecast_trend(spark, sf):
+    """The normal equations of the bending trend with its seasons."""
+    sums = trend.normal_equations(_train(spark, sf), TREND_SHAPE)
+    return sums.select("queue", "metric", "i", "j", (F.round("value", 6) + 0.0).alias("value"))
+
+
 # --------------------------------------------------------------------------
 # 2.8 capacity
 # --------------------------------------------------------------------------
@@ -609,6 +619,7 @@ QUERIES: dict[str, Query] = {
     "forecast_backtest": q_forecast_backtest,
     "forecast_all": q_forecast_all,
     "forecast_weekly": q_forecast_weekly,
+    "forecast_trend": q_forecast_trend,
     # capacity
     "queue_nodes": q_queue_nodes,
     "utilisation": q_utilisation,

@@ -509,6 +509,27 @@ wfcst AS (
          yhat + CAST(1.2816 AS DOUBLE) * sd AS yhat_upper FROM wpred)"""
 SQL["forecast_weekly"] = _w(_train(_ALL) + FIT + _WEEKLY, _BACKTEST.replace("fcst f", "wfcst f"))
 
+
+
+def _seasons(period: int, order: int) -> list[str]:
+    angle = f"((local % {period}) * (2 * pi() / {period}))"
+    return [f"CASE WHEN last - origin >= {2 * period} THEN {f}({angle} * {k}) ELSE 0 END"
+            for k in range(1, order + 1) for f in ("sin", "cos")]
+
+
+_U = "CASE WHEN last > origin THEN CAST(second - origin AS DOUBLE) / (last - origin) ELSE 0 END"
+_TERMS = ["1", "u", *[f"greatest(u - {0.8 * (j + 1) / 8!r}::DOUBLE, 0)" for j in range(8)],
+          *_seasons(86400, 3), *_seasons(7 * 86400, 1), "y / scale"]
+SQL["forecast_trend"] = _w(_train(_ALL) + f""",
+span AS (SELECT queue, metric, min(second) AS origin, max(second) AS last,
+                coalesce(nullif(max(abs(y)), 0), 1) AS scale FROM train GROUP BY queue, metric),
+placed AS (SELECT train.queue, train.metric, y, origin, last, scale, {_U} AS u,
+                  CAST(floor(epoch(ds)) AS BIGINT) AS local
+           FROM train JOIN span ON {_same('train', 'span', 'queue', 'metric')}),
+x AS (SELECT queue, metric, [{', '.join(f'CAST({t} AS DOUBLE)' for t in _TERMS)}] AS x FROM placed)""", f"""
+SELECT queue, metric, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x[i + 1] * x[j + 1]), 6) + 0.0 AS value
+FROM x, range({len(_TERMS)}) a(i), range({len(_TERMS)}) b(j) WHERE i <= j GROUP BY queue, metric, i, j""")
+
 # ---- capacity ------------------------------------------------------------
 SQL["queue_nodes"] = _w(HOSTS, "SELECT queue, node FROM qn")
 
