@@ -74,7 +74,7 @@ def _ordered(df: DataFrame, start_col: str, end_col: str, closed: str, step: int
     return df.filter(F.col("_s") <= last), last, ~too_long(F.col(start_col), F.col(end_col))
 
 
-def _with_ticks(df: DataFrame, keep: Sequence, start: F.Column, last: F.Column, step: int, tick_col: str) -> DataFrame:
+def with_ticks(df: DataFrame, keep: Sequence, start: F.Column, last: F.Column, step: int, tick_col: str) -> DataFrame:
     """``keep`` and one row for each tick from ``start`` to ``last``. Where the step is so fine that
     the longest job's ticks are no bounded array, they are generated block by block."""
     width = F.lit(step).cast("bigint")
@@ -117,7 +117,7 @@ def job_ticks(entries: DataFrame, step: int = 1000, start_col: str = "approx_sta
     tick; ``interval_rejects`` counts them.
     """
     df, last, sound = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
-    return _with_ticks(df, entries.columns, F.col("_s"), F.when(sound, last), step, tick_col)
+    return with_ticks(df, entries.columns, F.col("_s"), F.when(sound, last), step, tick_col)
 
 
 def _measure_exprs(entries: DataFrame, measures: dict[str, str], sentinel) -> dict[str, F.Column]:
@@ -170,8 +170,16 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
                 first: DataFrame | None = None) -> DataFrame:
     """The series of :func:`usage_series` by change points instead of
     exploding every job (see the module notes)."""
-    measures = dict(measures or DEFAULT_MEASURES)
-    group = list(group)
+    measures, group = dict(measures or DEFAULT_MEASURES), list(group)
+    points = change_points(entries, group, step, measures, start_col, end_col, sentinel, clamp, closed, first)
+    names = list(measures)
+    return level_ticks(levels(points, group, step, names, block_ticks), group, step, names, tick_col)
+
+
+def change_points(entries: DataFrame, group: Sequence[str], step: int, measures: dict[str, str],
+                  start_col: str = "approx_start", end_col: str = "approx_end", sentinel=-1, clamp: bool = True,
+                  closed: str = "both", first: DataFrame | None = None) -> DataFrame:
+    """group, _t, d_n, d_<measure>: what each job adds at its first tick and takes away a step behind its last."""
     df, last, sound = _ordered(_clamped(entries, start_col, end_col, clamp, first), start_col, end_col, closed, step)
     vals = _measure_exprs(entries, measures, sentinel)
     # Value and "is present" deltas: a sum over present values is 0 when no
@@ -181,10 +189,9 @@ def usage_sweep(entries: DataFrame, group: Sequence[str] = ("queue",), step: int
     minus = [(-F.coalesce(v, F.lit(0))).alias(f"d_{n}") for n, v in vals.items()]
     # A job ends one step behind its last tick, which lies on its own grid.
     behind = last - F.pmod(last - F.col("_s"), F.lit(step)) + step
-    points = df.select(*group, F.inline(F.when(sound, F.array(
+    return df.select(*group, F.inline(F.when(sound, F.array(
         F.struct(F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("d_n"), *plus),
         F.struct(behind.alias("_t"), F.lit(-1).cast("bigint").alias("d_n"), *minus)))))
-    return level_ticks(levels(points, group, step, list(vals), block_ticks), group, step, list(vals), tick_col)
 
 
 def levels(points: DataFrame, group: Sequence[str], step: int, names: Sequence[str],
@@ -226,7 +233,7 @@ def levels(points: DataFrame, group: Sequence[str], step: int, names: Sequence[s
 
 def level_ticks(live: DataFrame, group: Sequence[str], step: int, names: Sequence[str], tick_col: str) -> DataFrame:
     """The rows of ``levels`` as one row for each tick."""
-    out = _with_ticks(live, [*group, *[f"d_{n}" for n in names], "_t"], F.col("_t"), F.col("_next") - step, step, tick_col)
+    out = with_ticks(live, [*group, *[f"d_{n}" for n in names], "_t"], F.col("_t"), F.col("_next") - step, step, tick_col)
     return out.select(*group, tick_col, *[F.col(f"d_{n}").cast("bigint").alias(n) for n in names])
 
 

@@ -18,8 +18,10 @@ from ..functions.tokens import quoted_tokens, strip_quotes, strip_ws
 from ..operators import capacity as cap
 from ..operators import forecast as fc
 from ..operators import parse as P
+from ..operators import pools
 from ..operators import profiles as prof
 from ..operators import reports as rep
+from ..operators import runs
 from ..operators import series as ser
 from ..operators import trend
 from ..operators.clean import (clean_names, duplicates, front, job_times, log_entries,
@@ -380,6 +382,21 @@ def q_interval_rejects(spark, sf):
     return ser.interval_rejects(_entries(spark, sf))
 
 
+def q_usage_runs(spark, sf):
+    return runs.usage_runs(_entries(spark, sf))
+
+
+def q_usage_at(spark, sf):
+    """Totals of each queue over each day on which it has a job's end, and over two days from noon."""
+    entries = _entries(spark, sf)
+    days = entries.select("queue", F.floor(F.col("approx_end") / 86400).alias("d")).distinct()
+    windows = days.select("queue", F.inline(F.array(
+        F.struct((F.col("d") * 86400).alias("from"), (F.col("d") * 86400 + 86400).alias("to")),
+        F.struct((F.col("d") * 86400 + 43200).alias("from"), (F.col("d") * 86400 + 216000).alias("to")))))
+    totals = runs.usage_at(runs.usage_runs(entries), windows)
+    return totals.select("queue", "from", "to", "seconds", *[F.col(m).cast("bigint").alias(m) for m in ser.DEFAULT_MEASURES])
+
+
 def q_series_one_queue(spark, sf):
     return _iso(fc.series(_daily(spark, sf), "cpus", queues=["click"]), "date")
 
@@ -543,6 +560,21 @@ def q_utilisation(spark, sf):
                        F.round("utilisation", 4).alias("utilisation"))
 
 
+def q_pool_utilisation(spark, sf):
+    """Queues of the series are paired with regions as for ``utilisation``; regions that share nodes pool."""
+    qg, gn = _hosts(spark, sf)
+    qn = cap.queue_nodes(qg, gn)
+    names = (fx.table(spark, sf, "events").select(F.col("event_type").alias("series_queue")).distinct()
+             .select("series_queue", F.expr("dense_rank() over (order by series_queue) - 1").alias("r_regionkey")))
+    region = fx.table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("queue"))
+    used = compute(names.join(region, "r_regionkey").join(qn, "queue")
+                   .select(F.col("series_queue").alias("queue"), "node"), "series-nodes")
+    pool_of = pools.pools(used)
+    cores = pools.pool_cores(used, pool_of, 10)
+    out = pools.pool_utilisation(_series(spark, sf), pool_of, cores)
+    return out.withColumn("utilisation", F.round("utilisation", 4))
+
+
 def q_orphan_groups(spark, sf):
     qg, gn = _hosts(spark, sf)
     return cap.orphans(qg, gn.select("group").distinct(), "group")
@@ -596,6 +628,8 @@ QUERIES: dict[str, Query] = {
     "usage_sweep": q_usage_sweep,
     "usage_series_sorted": q_usage_series_sorted,
     "usage_merge": q_usage_merge,
+    "usage_runs": q_usage_runs,
+    "usage_at": q_usage_at,
     "interval_rejects": q_interval_rejects,
     "series_one_queue": q_series_one_queue,
     # profiles
@@ -623,6 +657,7 @@ QUERIES: dict[str, Query] = {
     # capacity
     "queue_nodes": q_queue_nodes,
     "utilisation": q_utilisation,
+    "pool_utilisation": q_pool_utilisation,
     "orphan_groups": q_orphan_groups,
     "shared_nodes": q_shared_nodes,
 }

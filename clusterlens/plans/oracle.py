@@ -398,6 +398,36 @@ SQL["first_event"] = _w(ENTRIES, "SELECT first_event FROM first")
 SQL["job_ticks"] = _w(ENTRIES, "SELECT job_id, queue, second, num_processors FROM ticks")
 for _k in ("usage_series", "usage_sweep", "usage_merge"):
     SQL[_k] = _w(SERIES, "SELECT * FROM series")
+_SUMMED = {"cpus": "num_processors", "mem": "avg_mem", "run": "run_time", "pend": "ineligible_pend_time",
+           "gpu": "num_gpu_rusages"}
+
+
+def _points(at: str, sign: str) -> str:
+    sums = ", ".join(f"{sign}coalesce(nullif({c}, -1), 0) AS {m}" for m, c in _SUMMED.items())
+    return f"SELECT queue, {at} AS t, {sign}1 AS jobs, {sums} FROM clamped WHERE s <= approx_end"
+
+
+_RUNS = ENTRIES + f""",
+points AS (SELECT queue, t, {', '.join(f'sum({m}) AS {m}' for m in ('jobs', *_SUMMED))}
+           FROM ({_points('s', '')} UNION ALL {_points('approx_end + 1', '-')}) p GROUP BY queue, t),
+levels AS (SELECT queue, t AS "from", lead(t) OVER w AS "to",
+                  {', '.join(f'CAST(sum({m}) OVER w AS BIGINT) AS {m}' for m in ('jobs', *_SUMMED))}
+           FROM points WINDOW w AS (PARTITION BY queue ORDER BY t)),
+runs AS (SELECT * FROM levels WHERE jobs > 0)"""
+SQL["usage_runs"] = _w(_RUNS, "SELECT * FROM runs")
+
+_OVERLAP = 'least(w."to", r."to") - greatest(w."from", r."from")'
+SQL["usage_at"] = _w(_RUNS + """,
+days AS (SELECT DISTINCT queue, approx_end // 86400 AS d FROM entries),
+windows AS (SELECT queue, d * 86400 AS "from", d * 86400 + 86400 AS "to" FROM days
+            UNION ALL SELECT queue, d * 86400 + 43200, d * 86400 + 216000 FROM days)""", f"""
+SELECT w.queue, w."from", w."to", CAST(coalesce(sum({_OVERLAP}) FILTER (r.jobs > 0), 0) AS BIGINT) AS seconds,
+       {', '.join(f'CAST(coalesce(sum({m} * ({_OVERLAP})) FILTER (r.jobs > 0), 0) AS BIGINT) AS {m}' for m in _SUMMED)}
+FROM windows w LEFT JOIN runs r
+  ON r.queue IS NOT DISTINCT FROM w.queue AND r."from" < w."to" AND w."from" < r."to"
+GROUP BY w.queue, w."from", w."to"
+""")
+
 SQL["usage_series_sorted"] = _w(SERIES, """
 SELECT *, row_number() OVER (ORDER BY second NULLS FIRST, queue NULLS FIRST) AS position FROM series""")
 
@@ -546,6 +576,20 @@ SELECT s.queue, s.second, s.cpus, c.total_cores,
        round(CAST(s.cpus AS DOUBLE) / nullif(c.total_cores, 0), 4) AS utilisation
 FROM series s LEFT JOIN capacity c USING (queue)""")
 
+SQL["pool_utilisation"] = _w(SERIES + "," + HOSTS + """,
+names AS (SELECT series_queue, dense_rank() OVER (ORDER BY series_queue) - 1 AS rk
+          FROM (SELECT DISTINCT event_type AS series_queue FROM events WHERE event_type IS NOT NULL) d),
+sn AS (SELECT DISTINCT n.series_queue AS queue, qn.node
+       FROM names n JOIN region r ON r.r_regionkey = n.rk JOIN qn ON qn.queue = r.r_name),
+reach(queue, other) AS (
+  SELECT DISTINCT queue, queue FROM sn
+  UNION SELECT reach.queue, b.queue FROM reach JOIN sn a ON a.queue = reach.other JOIN sn b ON b.node = a.node),
+pool AS (SELECT queue, min(other) AS pool FROM reach GROUP BY queue),
+cores AS (SELECT pool, count(DISTINCT node) * 10 AS total_cores FROM sn JOIN pool USING (queue) GROUP BY pool),
+used AS (SELECT pool, second, CAST(sum(cpus) AS BIGINT) AS cpus FROM series JOIN pool USING (queue) GROUP BY pool, second)""", """
+SELECT pool, second, cpus, total_cores, round(CAST(cpus AS DOUBLE) / nullif(total_cores, 0), 4) AS utilisation
+FROM used JOIN cores USING (pool)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 SQL["orphan_groups"] = _w(HOSTS, """
 SELECT queue, "group" FROM qg WHERE "group" NOT IN (SELECT "group" FROM gn)""")
 
