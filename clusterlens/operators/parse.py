@@ -12,7 +12,9 @@ scales with the number of input splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FLOAT_PATTERN
@@ -133,7 +135,7 @@ def _field_exprs(tpl: Template, tokens: Column, fold: Column) -> list[tuple[str,
 
 def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str = "value",
               templates: dict[str, Template] | None = None, keep_line: bool = True,
-              engine: str = "arrow", fields: list[str] | None = None) -> DataFrame:
+              engine: str = "arrow", fields: list[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Parse accounting-log lines of ``record_type``.
 
     ``engine="arrow"`` (default) runs the vectorised batch parser of
@@ -141,7 +143,8 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     same result from Spark expressions only (4-10x slower as measured: the
     per-field array functions are evaluated without code generation).
     ``fields`` keeps only those template columns (all by default): columns
-    are pruned at the parse, as a columnar scan would prune them.
+    are pruned at the parse, as a columnar scan would prune them. ``carry``
+    names further columns of ``lines`` that pass through behind the fields.
 
     Output: ``status``, optionally ``line`` (the raw line, for rejected lines only), then every template
     field in template order (snake_case, typed). ``status`` is one of
@@ -163,21 +166,24 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
         ship_package(lines.sparkSession)
         wanted = None if fields is None else [c for c in tpl.columns if c in set(fields)]
         schema = from_arrow_schema(arrow_schema(tpl, keep_line, wanted))
-        return lines.select(line_col).mapInArrow(
-            batch_parser(tpl, record_type, known, keep_line, line_col, wanted), schema)
+        for c in carry:
+            schema = schema.add(lines.schema[c])
+        return lines.select(line_col, *carry).mapInArrow(
+            batch_parser(tpl, record_type, known, keep_line, line_col, wanted, carry), schema)
     if engine != "sql":
         raise ValueError(f"unknown engine {engine!r}")
 
     line = F.col(line_col)
     l = repair_line(strip_ws(line))
-    keep = [line.alias("_line")] if keep_line else []
+    keep = ([line.alias("_line")] if keep_line else []) + list(carry)
+    kept = (["_line"] if keep_line else []) + list(carry)
     # Stage 1: clean line and raw fields.
     s1 = stage(lines.select(*keep, l.alias("_l")).select(
-        *(["_line"] if keep_line else []), "_l", quoted_tokens(F.col("_l")).alias("_raw")))
+        *kept, "_l", quoted_tokens(F.col("_l")).alias("_raw")))
     # Stage 2: empty-field flag and group fold.
     raw = F.col("_raw")
     s2 = stage(s1.select(
-        *(["_line"] if keep_line else []), "_raw",
+        *kept, "_raw",
         has_empty_segment(F.col("_l"), raw).alias("_empty"),
         _fold(raw, tpl).alias("_fold")))
     fold = F.col("_fold")
@@ -190,7 +196,7 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     # filter read plain columns (a filter pushed into 135 aliased
     # expressions makes constraint inference blow up at planning time).
     s3 = stage(s2.select(
-        *(["_line"] if keep_line else []),
+        *kept,
         F.col("_empty"), rtype.alias("_type"), fold["ok"].alias("_fold_ok"),
         (F.size(raw) - fold["shift"]).alias("_width"),
         *[v.alias(n) for (n, v, _) in keep_cols]))
@@ -209,7 +215,7 @@ def parse_log(lines: DataFrame, record_type: str = "JOB_FINISH", line_col: str =
     cols = [status.alias("status")]
     if keep_line:  # an accepted line's fields say it all
         cols.append(F.when(status != OK, F.col("_line")).alias("line"))
-    cols += [F.col(n) for (n, _, _) in fields_ if fields is None or n in set(fields)]
+    cols += [F.col(n) for (n, _, _) in fields_ if fields is None or n in set(fields)] + [F.col(c) for c in carry]
     return s3.select(*cols)
 
 
@@ -226,3 +232,18 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def parse_audit(parsed: DataFrame) -> DataFrame:
     """Lines per status (one small partial/final aggregation)."""
     return parsed.groupBy("status").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def reject_places(parsed: DataFrame) -> DataFrame:
+    """file, line_number (from 1), status and line of every rejected line.
+
+    ``parsed`` is a written parse of ``read_placed`` lines with ``carry=PLACE``. A line's
+    number is its place in its block behind the lines of the file's blocks before; there
+    is one row for each block, so no file is one task's work.
+    """
+    blocks = parsed.groupBy("file", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rejects = parsed.filter(F.col("status") != OK).select("status", "line", "file", "block", "at")
+    return rejects.join(blocks, ["file", "block"]).select(
+        "file", (F.col("_before") + F.col("at") - F.col("_first") + 1).alias("line_number"), "status", "line")

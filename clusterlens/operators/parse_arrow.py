@@ -18,7 +18,7 @@ sequence, so splitting raw UTF-8 bytes is exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +207,9 @@ def arrow_schema(tpl: Template, keep_line: bool, wanted: list[str] | None = None
 
 
 def batch_parser(tpl: Template, record_type: str, known: list[str], keep_line: bool,
-                 line_col: str, wanted: list[str] | None = None):
-    """The ``mapInArrow`` function: Arrow batches of lines -> parsed batches."""
+                 line_col: str, wanted: list[str] | None = None, carry: Sequence[str] = ()):
+    """The ``mapInArrow`` function: Arrow batches of lines -> parsed batches, with the
+    columns ``carry`` of each line behind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column(b.schema.get_field_index(line_col))
@@ -221,7 +222,13 @@ def batch_parser(tpl: Template, record_type: str, known: list[str], keep_line: b
             while at < len(col):
                 used = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, used + _SLICE_BYTES, "right")))
-                part = col.take(pa.array(np.arange(at, end))) if end - at < len(col) else col
-                yield parse_batch(part, tpl, record_type, known, keep_line, wanted)
+                rows = pa.array(np.arange(at, end)) if end - at < len(col) else None
+                part = col if rows is None else col.take(rows)
+                parsed = parse_batch(part, tpl, record_type, known, keep_line, wanted)
+                if carry:
+                    more = [b.column(b.schema.get_field_index(c)) for c in carry]
+                    more = more if rows is None else [m.take(rows) for m in more]
+                    parsed = pa.RecordBatch.from_arrays([*parsed.columns, *more], [*parsed.schema.names, *carry])
+                yield parsed
                 at = end
     return run

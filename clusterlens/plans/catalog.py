@@ -31,7 +31,7 @@ from ..operators.joins import join_same
 from ..operators.positions import row_numbered
 from ..sources.lists import capacity_lines, ragged_pairs
 from ..session import new_path
-from ..sources.logs import read_log
+from ..sources.logs import PLACE, read_log, read_placed
 from ..sources.snapshots import Snapshots
 from ..sources.tables import (compute, csv_lines, csv_rejects, csv_rows, read_jobs_csv, read_table,
                               write_table)
@@ -248,6 +248,20 @@ def q_log_type_filter(spark, sf):
     return kept.select(F.regexp_extract("value", _JOB_ID_IN_LINE, 1).cast("bigint").alias("job_id"))
 
 
+def q_log_reject_places(spark, sf):
+    """File and line number of every rejected line of a log in many files, of 1000 job numbers each."""
+    path, lines = new_path(spark, "logs"), compute(fx.lines(spark, sf), "lines")
+    number = F.regexp_extract("value", _JOB_ID_IN_LINE, 1).cast("long")
+    ended = F.regexp_extract("value", r'^"?[A-Z_]+"\s+"10[.]1"\s+(-?[0-9]+)', 1).cast("long")
+    dealt = lines.select("value", number.alias("number"), F.floor(number / 1000).alias("f"), ended.alias("ended"))
+    (dealt.repartition("f").sortWithinPartitions("f", "number", "ended").select("value", "f")
+     .write.partitionBy("f").text(path))
+    parsed = compute(P.parse_log(read_placed(spark, path), fields=[], carry=PLACE), "parsed")
+    return P.reject_places(parsed).select(
+        F.regexp_extract("file", "/f=([0-9]+)/", 1).cast("long").alias("f"), "line_number", "status",
+        F.regexp_extract("line", _JOB_ID_IN_LINE, 1).cast("long").alias("job_id"))
+
+
 def q_log_repair(spark, sf):
     """Every line: repaired where its quote was lost, untouched otherwise."""
     fixed = fx.lines(spark, sf).select("value", P.repair_line(F.col("value")).alias("l"))
@@ -604,6 +618,7 @@ QUERIES: dict[str, Query] = {
     "log_resize": q_log_resize,
     "log_status_mixed": q_log_status_mixed,
     "log_type_filter": q_log_type_filter,
+    "log_reject_places": q_log_reject_places,
     "log_repair": q_log_repair,
     "log_tokens": q_log_tokens,
     "clean_names": q_clean_names,

@@ -286,6 +286,14 @@ GROUP BY status""")
 
 SQL["log_type_filter"] = _w(JOBS, "SELECT job_id FROM jobs WHERE job_id % 50 <> 9")
 
+SQL["log_reject_places"] = _w(JOBS + """,
+placed AS (SELECT job_id, job_id // 1000 AS f,
+                  row_number() OVER (PARTITION BY job_id // 1000 ORDER BY job_id, event_time) AS line_number
+           FROM jobs)""", """
+SELECT f, line_number, CASE job_id % 50 WHEN 7 THEN 'bad_width' WHEN 8 THEN 'empty_segment' WHEN 9 THEN 'unknown_type'
+       WHEN 10 THEN 'bad_type' ELSE 'bad_group' END AS status, job_id
+FROM placed WHERE job_id % 50 IN (7, 8, 9, 10, 12)""")
+
 SQL["log_repair"] = _w(JOBS, """
 SELECT job_id, true AS starts_with_quote, job_id % 50 <> 11 AS untouched FROM jobs""")
 
