@@ -35,6 +35,7 @@ from ..sources.logs import PLACE, read_log, read_placed
 from ..sources.snapshots import Snapshots
 from ..sources.tables import (compute, csv_lines, csv_rejects, csv_rows, read_jobs_csv, read_table,
                               write_table)
+from ..sources.time_index import TimeIndex
 from ..streaming import ingest
 from ..templates import TEMPLATES
 from . import fixtures as fx
@@ -319,6 +320,20 @@ def q_log_entries(spark, sf):
     return _numbered_entries(spark, sf)
 
 
+def q_event_lookup(spark, sf):
+    """Jobs looked up by time (the second quarter of the window) and by job number (three of the window's)."""
+    index, jobs = TimeIndex(spark, new_path(spark, "jobs")), _jobs(spark, sf).select("job_id", "idx", "queue", "event_time")
+    index.write(compute(jobs, "jobs"), "event_time", "job_id")
+    files = read_table(spark, f"{index.path}/files")
+    low, high = files.agg(F.min("first"), F.max("last")).first()
+    low, high = low or 0, high or 0
+    step = (high - low) // 4
+    keys = [r["job_id"] for r in jobs.agg(F.min("job_id").alias("a"), F.max("job_id").alias("b"))
+            .select(F.explode(F.array("a", F.floor((F.col("a") + F.col("b")) / 2), "b")).alias("job_id")).collect()]
+    by_time = index.between(low + step, low + 2 * step).withColumn("by", F.lit("time"))
+    return by_time.unionByName(index.where_key(keys).withColumn("by", F.lit("key")))
+
+
 def q_duplicate_keys(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     return duplicates(li, ["l_orderkey", "l_linenumber"])
@@ -629,6 +644,7 @@ QUERIES: dict[str, Query] = {
     "row_numbered": q_row_numbered,
     "log_entries": q_log_entries,
     "duplicate_keys": q_duplicate_keys,
+    "event_lookup": q_event_lookup,
     "sentinel_nulls": q_sentinel_nulls,
     "epoch_to_ts": q_epoch_to_ts,
     "job_times": q_job_times,

@@ -365,6 +365,13 @@ SELECT row_number, {ENTRY_COLS} FROM (
   SELECT *, row_number() OVER (ORDER BY job_id, idx, requeue_time) AS row_number FROM grid) g
 WHERE start_time > 0""")
 
+SQL["event_lookup"] = _w(JOBS + """,
+span AS (SELECT min(event_time) AS low, (max(event_time) - min(event_time)) // 4 AS step,
+                min(job_id) AS a, max(job_id) AS b FROM jobs)""", """
+SELECT job_id, idx, queue, event_time, 'time' AS by FROM jobs, span
+WHERE event_time >= low + step AND event_time < low + 2 * step
+UNION ALL SELECT job_id, idx, queue, event_time, 'key' FROM jobs, span WHERE job_id IN (a, (a + b) // 2, b)""")
+
 SQL["duplicate_keys"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS n_rows
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
