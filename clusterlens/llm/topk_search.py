@@ -164,9 +164,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedd
     asked = (table.where("query").select("row", "vec_id", "v", "norm", "dist")
              .mapInPandas(send, "cell int, shard long, row long, vec_id long, v array<long>, norm long, dist array<double>, tau double")
              .select("*", block))
+    asked = stage(asked, "asked")
+    # a vector is copied once for each block with a query that asked for its shard, not for all blocks
+    wanted = asked.select(*[F.col(a).alias(b) for a, b in (("cell", "cell"), ("shard", "shard"), ("block", "to"))]).distinct()
     held = (table.select("cell", F.pmod(F.xxhash64("row", F.lit("shard")), n_shards.cast("long")).alias("shard"),
-                         "row", "vec_id", "v", "norm", "dist")
-            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))))
+                         "row", "vec_id", "v", "norm", "dist").join(wanted, ["cell", "shard"]).withColumnRenamed("to", "block"))
 
     def search(_: tuple, data: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []

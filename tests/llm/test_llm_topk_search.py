@@ -69,3 +69,25 @@ def test_pivots_are_distinct():
     pool = np.array([[0, 0], [0, 0], [5, 5], [1, 0]])
     assert sorted(tk.choose_pivots(pool, 10).tolist()) in ([0, 2, 3], [1, 2, 3])
     assert len(tk.choose_pivots(np.empty((0, 2), int), 4)) == 0
+
+
+def test_vectors_are_copied_for_asked_tiles_only(spark, monkeypatch):
+    """Queries lie in one of many far clusters; the other clusters' vectors go to no query."""
+    from tools.plans import final_plan
+
+    monkeypatch.setattr(tk, "SHARD", 32)
+    monkeypatch.setattr(tk, "QUERY_BLOCK", 2)
+    rnd = np.random.default_rng(4)
+    rows = [(i, (rnd.normal(0, 0.05, 4) + 10 * np.eye(4)[c] * (1 + i // 1500)).tolist(), 1, "d", "r")
+            for i, c in ((i, (i % 3) + 1 if i % 50 else 0) for i in range(1200))]
+    rows += [(10_000 + i, (rnd.normal(0, 0.05, 4) + 10 * np.eye(4)[0]).tolist(), 1, "d", "r") for i in range(1, 50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = tk.top_k(df, F.col("vec_id") % 50 == 0)
+    assert "generate" not in final_plan(got).lower()
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    staged = []
+    monkeypatch.setattr(tk, "stage", lambda frame, name, f=tk.stage: staged.append((name, f(frame, name))) or staged[-1][1])
+    tk.top_k(df, F.col("vec_id") % 50 == 0).count()
+    asked = dict(staged)["asked"]
+    cells = dict(staged)["pivot-table"].select("cell").distinct().count()
+    assert asked.select("cell").distinct().count() < cells / 2
