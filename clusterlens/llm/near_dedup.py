@@ -12,8 +12,9 @@ A band's bucket may hold any number of nodes, so its pairs are never listed:
 1. each node is compared with one centre of the bucket; the links found
    already join most of a group of near copies into one component;
 2. only buckets whose other members still lie in different components are
-   looked at again, in blocks of about ``BLOCK`` members, and only pairs
-   across components that no earlier band holds are candidates.
+   looked at again, in blocks of about ``BLOCK`` members, by signatures alone
+   at first, and only pairs across components that no earlier band holds are
+   candidates. Full sets are fetched for members with such a candidate left.
 
 A pair at the threshold of 0.8 shares no band with probability
 (1 - 0.8^5)^32 = 3e-6, a more similar pair with less; each of the five
@@ -159,16 +160,39 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.posexplode(keys).alias("band", "key"), "node")
 
 
-def _across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members(band, key, node, component, blocks) of different components.
 
     A bucket's members are dealt into blocks by hash, and each pair of blocks
-    is one group with full shingle sets. A pair that shares an earlier band is
-    left to that band, and once a link joins two components, their other pairs
-    in the group are passed over, so a group gives fewer links than members.
+    is one group. Groups are first compared by signatures alone; only members
+    with a candidate that no batch prunes come back with their full shingle
+    sets. A pair that shares an earlier band is left to that band, and once a
+    link joins two components, their other pairs in the group are passed over,
+    so a group gives fewer links than members.
     """
     bounds = posterior_bounds(percent / 100, BANDS * ROWS)
 
+    def candidates(pdf: pd.DataFrame, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member of the first block the places of those it may be linked with."""
+        band, i, j = (pdf[c].iloc[0] for c in ("band", "i", "j"))
+        sig, nodes, early = _matrix(pdf["sig"]), pdf["node"].to_numpy(), slice(0, int(band) * ROWS)
+        block = pdf["block"].to_numpy()
+        for k in np.flatnonzero(block == i):
+            at = np.flatnonzero((block == j) & (component != component[k]) & ((nodes > nodes[k]) if i == j else True))
+            at = at[_survive(np.broadcast_to(sig[k], (len(at), BANDS * ROWS)), sig[at], bounds)]
+            shared = (sig[at, early] == sig[k, early]).reshape(len(at), int(band), ROWS).all(axis=2).any(axis=1)
+            yield k, at[~shared]
+
+    def numbered(pdf: pd.DataFrame) -> np.ndarray:
+        return np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+
+    def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
+        alive = np.zeros(len(pdf), bool)
+        for k, at in candidates(pdf, numbered(pdf)):
+            alive[at] = True
+            alive[k] |= len(at) > 0
+        return pdf.loc[alive, ["band", "key", "i", "j", "block", "node", "component"]]
+
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = signature_seeds(BANDS * ROWS)
         for pdf in batches:
@@ -176,25 +200,12 @@ def _across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pd.DataFrame({"node": pdf["node"], "sig": [signature(x, seeds).view(np.int32) for x in made],
                                 "shingles": [x.tobytes() for x in made]})
 
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    paired = (members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-              .withColumn("other", F.explode(blocks))
-              .join(texts.mapInPandas(sets, "node binary, sig array<int>, shingles binary"), "node")
-              .select("band", "key", F.least("block", "other").alias("i"),
-                      F.greatest("block", "other").alias("j"), "block", "node", "component", "sig", "shingles"))
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = (pdf[c].iloc[0] for c in ("band", "i", "j"))
-        _, component = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-        sig, nodes, early = _matrix(pdf["sig"]), pdf["node"].to_numpy(), slice(0, int(band) * ROWS)
+        component, nodes = numbered(pdf), pdf["node"].to_numpy()
         full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        block = pdf["block"].to_numpy()
         found = []
-        for k in np.flatnonzero(block == i):
-            at = np.flatnonzero((block == j) & (component != component[k]) & ((nodes > nodes[k]) if i == j else True))
-            at = at[_survive(np.broadcast_to(sig[k], (len(at), BANDS * ROWS)), sig[at], bounds)]
-            shared = (sig[at, early] == sig[k, early]).reshape(len(at), int(band), ROWS).all(axis=2).any(axis=1)
-            for other in at[~shared]:
+        for k, at in candidates(pdf, component):
+            for other in at:
                 if component[other] == component[k]:
                     continue
                 both, union = similarity(full[k], full[other])
@@ -203,7 +214,17 @@ def _across(members: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                     component[component == component[other]] = component[k]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return paired.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    paired = (members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+              .withColumn("other", F.explode(blocks))
+              .join(nodes.select("node", "sig"), "node")
+              .select("band", "key", F.least("block", "other").alias("i"),
+                      F.greatest("block", "other").alias("j"), "block", "node", "component", "sig"))
+    alive = stage(paired.groupBy("key", "i", "j").applyInPandas(
+        survivors, "band int, key long, i long, j long, block long, node binary, component binary"), "survivors")
+    texts = _texts(alive.select("node"), nodes, docs, words)
+    return (alive.join(texts.mapInPandas(sets, "node binary, sig array<int>, shingles binary"), "node")
+            .groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text",
@@ -242,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                                      F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
              .where("lo < hi").select("key", "blocks"))
     members = stage(rest.join(split, "key"), "members")
-    more = stage(_across(members, _texts(members.select("node"), nodes, docs, words), words, percent), "more-links")
+    more = stage(_across(members, nodes, docs, words, percent), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

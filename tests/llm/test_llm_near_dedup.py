@@ -81,6 +81,28 @@ def test_large_group_of_unlinked_and_linked_copies(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got.collect()) == brute(rows, 2)
 
 
+def test_unlike_members_of_a_bucket_send_no_full_set(spark, monkeypatch):
+    """A bucket of unlike members is compared by signatures; sets are fetched for the one pair that is alike."""
+    n, asked = 4000, []
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 10**6, 12)) for _ in range(n)]
+    texts[9] = texts[8] + " " + texts[8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = stage(nd.features(docs, 2).selectExpr("node", "sig", "doc_id AS least"), "nodes")
+    members = nodes.selectExpr("0 AS band", "7L AS key", "node", "node AS component", f"{-(-n // nd.BLOCK)}L AS blocks")
+    fetched = nd._texts
+
+    def counted(wanted, *rest):
+        asked.append(wanted.distinct().count())
+        return fetched(wanted, *rest)
+
+    monkeypatch.setattr(nd, "_texts", counted)
+    links = nd._across(members, nodes, docs, 2, 80).collect()
+    ids = {bytes(r.node): r.least for r in nodes.collect()}
+    assert [sorted((ids[bytes(r.a)], ids[bytes(r.b)])) for r in links] == [[8, 9]]
+    assert asked == [2]
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(1, "a b c d e f g", "", 0), (1, "a b c d e f g", "", 0), (1, "other text here", "", 0),
             (None, "A b c d e f g", "", 0), (None, "zz yy", "", 0), (None, "zz  yy", "", 0), (7, "OTHER text here", "", 0)]
