@@ -7,9 +7,10 @@ weights at zero, and calibrated by a temperature on rows the fit has not seen.
 
 Document frequencies are counted over every document that may be learned from.
 The weights are fitted on a bounded sample of them: about ``PER_LANG``
-documents of each language, chosen by a hash of doc_id and text (repeated rows
-count once). The sample is fitted in one task, and its size does not depend on
-that of the corpus.
+different texts of each language, chosen by a hash of the text, so that a text
+counts once however many rows hold it. The sample is fitted in one task, and
+its size does not depend on that of the corpus, but like the dense weights it
+grows with the number of different languages.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from clusterlens.session import ship_package
 
 BUCKETS = 1 << 15
-#: Bound of the fitted sample: documents expected from each language.
+#: Bound of the fitted sample: different texts expected from each language.
 PER_LANG = 1500
 EPOCHS = 3
 UNKNOWN = "und"
@@ -141,9 +142,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     the held-out quarter); None without any."""
     ship_package(docs.sparkSession)
     known = (docs.where(learnable(doc_id) & F.col(lang).isNotNull() & (F.char_length(text) > 0))
-             .select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"),
-                     F.col(lang).alias("lang")))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+             .select(F.col(text).alias("text"), F.col(lang).alias("lang")))
+    sizes = {r["lang"]: r["n"] for r in known.select("lang", F.xxhash64("text").alias("mark")).distinct()
+             .groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -152,19 +153,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     idf = np.full(BUCKETS, 1.0 + np.log(1.0 + total))
     idf[list(df)] = 1.0 + np.log((1.0 + total) / (1.0 + np.array(list(df.values()))))
 
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     bound = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_lang / sizes[k]))])
-    sample = known.where(share < bound[F.col("lang")]).dropDuplicates()
+    sample = known.where(share < bound[F.col("lang")]).distinct().withColumn("mark", F.xxhash64("text"))
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             grams = [ngrams(t) for t in pdf["text"]]
-            yield pd.DataFrame({"one": 1, "doc_id": pdf["doc_id"], "lang": pdf["lang"],
+            yield pd.DataFrame({"one": 1, "mark": pdf["mark"], "lang": pdf["lang"],
                                 "at": [a.astype(np.int32) for a, _ in grams],
                                 "counts": [c.astype(np.int32) for _, c in grams]})
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "lang"], kind="stable")
+        pdf = pdf.sort_values(["mark", "lang"], kind="stable")
         rows = [(np.append(a, BUCKETS), np.append(_values(a, c, idf), 1.0))
                 for a, c in zip(pdf["at"], pdf["counts"], strict=True)]
         labels = np.searchsorted(languages, pdf["lang"].to_numpy(str))
@@ -175,7 +176,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         used = np.flatnonzero(np.abs(w).sum(axis=1))
         return pd.DataFrame({"at": np.append(used, -1), "w": [*w[used], np.array([t])]})
 
-    found = (sample.mapInPandas(shrink, "one int, doc_id string, lang string, at array<int>, counts array<int>")
+    found = (sample.mapInPandas(shrink, "one int, mark long, lang string, at array<int>, counts array<int>")
              .groupBy("one").applyInPandas(learn, "at int, w array<double>").collect())
     weights, t = np.zeros((BUCKETS + 1, len(languages))), 1.0
     for r in found:
