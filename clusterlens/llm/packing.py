@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ MAX_LENGTH = 2048
 END_ID = 1
 #: Bytes of text split into words at once, and words kept by a worker.
 SEGMENT, HELD = 1 << 22, 600_000
+#: Fixed value: the pattern by which the default tokenizer splits a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that need no normalising but lower case: Latin letters, then punctuation.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]*)([.,!?;:]*)")
 
@@ -47,10 +50,33 @@ def byte_symbol(b: int) -> str:
     return chr(b) if printable(b) else chr(256 + sum(not printable(x) for x in range(b)))
 
 
+def _splits_words(spec: dict) -> bool:
+    """Whether a tokenizer file normalises and splits in the way that remembered words need.
+
+    Lower case, and white space dropped; letters, single digits and other marks apart,
+    each merged by itself as bytes; special tokens that begin with ``<|``.
+    """
+    def kinds(part: dict | None, inner: str) -> list[dict]:
+        return (part or {}).get(inner) or ([part] if part else [])
+
+    normal = [(x["type"], x.get("pattern"), x.get("content")) for x in kinds(spec["normalizer"], "normalizers")]
+    split = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"),
+              x.get("use_regex")) for x in kinds(spec["pre_tokenizer"], "pretokenizers")]
+    model = spec["model"]
+    return (normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and split == [("Split", {"Regex": WORD_PATTERN}, "Removed", True, None, None),
+                          ("ByteLevel", None, None, None, False, False)]
+            and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix"))
+            and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback",
+                                               "ignore_merges"))
+            and all(x["content"].startswith("<|") for x in spec["added_tokens"]))
+
+
 class WordTokens:
     """Token ids of texts through a tokenizer file, by remembered words.
 
-    The tokenizer never joins characters over white space and drops it, so a
+    A file of which what follows may not hold (see ``_splits_words``) is applied
+    to whole texts instead. The tokenizer never joins characters over white space and drops it, so a
     text's ids are the ids of its words in a row. Words are cut at ASCII white
     space only; the tokenizer itself sees to any other. It also never joins
     letters with punctuation, so a word of Latin letters with punctuation
@@ -63,7 +89,11 @@ class WordTokens:
         from tokenizers.models import BPE
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        self.by_word = _splits_words(spec)
+        if not self.by_word:
+            return
+        model = spec["model"]
         self.merges = BPE(vocab=model["vocab"], cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"],
                           merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
         self.symbols = {c: "".join(map(byte_symbol, chr(c).encode()))
@@ -98,6 +128,9 @@ class WordTokens:
         """All ids in a row, and for each text where its own end; null counts as empty."""
         # a copy, since kernels misread a cast slice whose first offset isn't 0
         texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")
+        if not self.by_word:
+            found = [x.ids for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), "<u4"), np.cumsum([len(x) for x in found], dtype=np.int64)
         # lower-casing early makes fewer words, but must not make special tokens
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)

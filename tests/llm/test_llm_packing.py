@@ -85,3 +85,26 @@ def test_empty_table_repeats_and_buckets(spark, tmp_path):
     pk.write_buckets(pk.pack(docs), f"{tmp_path}/b")
     got = spark.read.parquet(f"{tmp_path}/b")
     assert sorted((str(r.doc_id), r.start, r.length) for r in got.collect()) == [("1", 0, 4), ("1", 0, 4), ("None", 0, 2)]
+
+
+def test_other_tokenizer_files_are_applied_to_whole_texts(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    with open(pk.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert pk._splits_words(spec)
+    spec["normalizer"] = None
+    cased = str(tmp_path / "cased.json")
+    with open(cased, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    rows = [(i, t) for i, t in enumerate(texts())]
+    for path in (other, cased):
+        tokenizer = Tokenizer.from_file(path)
+        got = {}
+        for r in pk.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        for i, t in rows:
+            ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
+            assert [x for r in sorted(got[i], key=lambda r: r.start) for x in r.ids] == ids
