@@ -37,5 +37,18 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return by_place.select(*[F.col(f"c{place(old)}").alias(new) for new, old in columns.items()])
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with as many underscores behind it as no column of ``df`` has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(name: str) -> str:
+    """The name as a column reference, also if it holds dots or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

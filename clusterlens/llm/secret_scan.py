@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clusterlens.llm.common import text_or_empty
+from clusterlens.llm.common import free_name, quoted, text_or_empty
 
 #: Code points between the starts of parts that belong together.
 SCOPE = 256
@@ -75,24 +75,25 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(text.rlike(PATTERNS[kind]), F.filter(made, lambda x: x["own"].isNotNull())).otherwise(none)
 
 
-def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, either: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, either: bool = False,
+         found: str = "found") -> DataFrame:
     """One row for each row of ``docs``: the ``carry`` columns (default: all) and
-    ``found``, the array of struct(start, kind, end, name) of all reported
+    ``found`` (or the name given), the array of struct(start, kind, end, name) of all reported
     spans in order of start, then kind as listed; ``start`` counts code
     points, ``end`` is exclusive. ``either`` reports keys by one other role.
 
     Null text counts as empty and has no spans. Matches are leftmost and
     non-overlapping for each kind over the whole text, whatever its length;
     spans of different kinds may overlap. Rows that repeat are scanned each by
-    itself; an empty table gives no rows. A carried column named ``found``
-    raises, others may have any name.
+    itself; an empty table gives no rows. A carried column with the name of the
+    result, in any spelling, raises; others may have any name, dots included.
     """
     carry = docs.columns if carry is None else carry
-    if "found" in carry:
-        raise ValueError("the column name 'found' is taken by the result")
-    t = text_or_empty(text)
+    if found.lower() in (c.lower() for c in carry):
+        raise ValueError(f"the column name {found!r} is taken by the result")
+    t = text_or_empty(quoted(text))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.struct(*carry).alias("own_columns"),
+        F.monotonically_increasing_id().alias("row"), F.struct(*map(quoted, carry)).alias("own_columns"),
         F.concat(*[_pieces(t, k) for k in KINDS]).alias("pieces"))
     rows = rows.select(
         "row", F.posexplode_outer("pieces").alias("at", "piece"), "own_columns")
@@ -128,8 +129,8 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None, ei
     span = F.when(F.col("reported"), F.struct("start", "kind", "end", name.alias("name")))
     return (linked.groupBy("row")
             .agg(F.first("own_columns", ignorenulls=True).alias("own_columns"),
-                 F.sort_array(F.collect_list(span)).alias("found"))
-            .select("own_columns.*", "found"))
+                 F.sort_array(F.collect_list(span)).alias("spans"))
+            .select("own_columns.*", F.col("spans").alias(found)))
 
 
 def _count(spans: Column, kind: str) -> Column:
@@ -143,20 +144,23 @@ def _listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", either: bool = False) -> DataFrame:
     """``docs`` with every reported span of the text replaced by a placeholder;
     overlapping and touching spans are replaced together. Rows without spans
-    keep their text, null included; all columns stay. ``either`` as for ``scan``."""
-    spans = F.col("found")
+    keep their text, null included; all columns stay, whatever their names.
+    ``either`` as for ``scan``."""
+    name = free_name(docs, "found")
+    spans, own = F.col(name), F.col(quoted(text))
     cut = F.aggregate(
         spans, F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.struct(
             F.when(x["end"] <= s["at"], s["done"])
             .when((x["start"] <= s["at"]) & (s["at"] > 0), s["done"])
-            .otherwise(F.concat(s["done"], F.substring(F.col(text), s["at"].cast("int") + 1,
+            .otherwise(F.concat(s["done"], F.substring(own, s["at"].cast("int") + 1,
                                                        (x["start"] - s["at"]).cast("int")), F.lit(PLACEHOLDER)))
             .alias("done"),
             F.greatest(s["at"], x["end"]).alias("at")))
-    new = F.concat(cut["done"], F.substring(F.col(text), cut["at"].cast("int") + 1, F.char_length(text)))
-    return (scan(docs, text, either=either).withColumn(text, F.when(F.size(spans) > 0, new).otherwise(F.col(text)))
-            .select(*docs.columns))
+    new = F.concat(cut["done"], F.substring(own, cut["at"].cast("int") + 1, F.char_length(own)))
+    made = F.when(F.size(spans) > 0, new).otherwise(own).alias(text)
+    return scan(docs, text, either=either, found=name).select(
+        *[made if c == text else F.col(quoted(c)) for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +168,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("found")
     count = [_count(spans, k).alias(f"n_{k}") for k in BASE]
     base = F.filter(spans, lambda x: x["kind"] < len(BASE))
-    return scan(docs, carry=["doc_id"]).select(
+    return scan(docs, carry=["doc_id"], either=True).select(
         "doc_id", *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
 
 
@@ -195,7 +199,12 @@ f AS (
   WHERE kind < {len(BASE)} OR (
     EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND abs(x.start - h.start) <= {SCOPE} AND x.name IN ('access', 'login'))
     AND EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND abs(x.start - h.start) <= {SCOPE} AND x.name IN ('assign', 'key'))
-    AND EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND abs(x.start - h.start) <= {SCOPE} AND x.name = 'host'))),
+    AND EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND abs(x.start - h.start) <= {SCOPE} AND x.name = 'host'))
+  OR (name = 'key'
+    AND EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND abs(x.start - h.start) <= {SCOPE}
+                AND x.name IN ('access', 'login', 'host'))
+    AND NOT EXISTS (SELECT 1 FROM h x WHERE x.r = h.r AND x.name IN ('access', 'login', 'host')
+                    AND x.start < h.stop AND x.stop > h.start))),
 g AS (
   SELECT r, count(*) FILTER (name = 'assign') AS n_assign, count(*) FILTER (name = 'access') AS n_access,
          count(*) FILTER (name = 'hex') AS n_hex,
