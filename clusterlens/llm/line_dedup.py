@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm.common import SPACES, stage, text_or_empty
+from clusterlens.llm.common import SPACES, quoted, stage, text_or_empty
 
 DEPTH = 2
 MIN_DOCS = 10
@@ -86,8 +86,8 @@ def _staged(docs: DataFrame, text: str, depth: int, by_text: bool) -> tuple[Data
     and a narrow row (row, doc, line, shape, leaf, exact) for each line that isn't white;
     ``exact`` is the digest of a line of which more than half is digits, else null."""
     row = F.monotonically_increasing_id()
-    doc = F.xxhash64(F.translate(text_or_empty(F.col(text)), SPACES, "")) if by_text else row
-    rows = stage(docs.select(row.alias("row"), doc.alias("doc"), F.struct(*docs.columns).alias("own")), "rows")
+    doc = F.xxhash64(F.translate(text_or_empty(F.col(quoted(text))), SPACES, "")) if by_text else row
+    rows = stage(docs.select(row.alias("row"), doc.alias("doc"), F.struct(*map(quoted, docs.columns)).alias("own")), "rows")
     blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
     variables = (F.char_length("mask") - F.char_length(F.replace("mask", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
     exact = F.when(2 * variables > blanks + 1, _digest(_evened(F.col("raw"))))
@@ -126,17 +126,14 @@ def drop_recurring(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS
                 .where(F.col("n") >= min_docs).select("exact"))
     found = seen.join(known, "shape").select("row", "line").union(heavy.join(repeated, "exact").select("row", "line"))
     gone = found.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    # a flag for each line: runs of lines that stay, each ended by one that goes
     own = F.col("own")
-    lines = F.split(own[text], "\n")
-    flags = F.aggregate(
-        F.concat("gone", F.array(F.size(lines))),
-        F.struct(F.array().cast("array<boolean>").alias("flags"), F.lit(0).alias("next")),
-        lambda s, x: F.struct(
-            F.concat(s["flags"], F.array_repeat(F.lit(True), x - s["next"]), F.array(F.lit(False))).alias("flags"),
-            (x + 1).alias("next")))["flags"]
-    left = F.filter(F.arrays_zip(lines.alias("line"), flags.alias("stays")), lambda x: x["stays"])
-    new = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
+
+    def left(lines: Column) -> Column:
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(stays, lambda at: F.get(lines, at)), "\n")
+
+    # the text is split once, as the only entry of an array
+    new = F.get(F.transform(F.array(F.split(own[text], "\n")), left), F.lit(0))
     return rows.join(gone, "row", "left").select(
         *[(F.when(F.col("gone").isNotNull(), new).otherwise(own[c]) if c == text else own[c]).alias(c)
           for c in base.columns],

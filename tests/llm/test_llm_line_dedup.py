@@ -104,3 +104,18 @@ def test_lines_of_numbers_recur_too(spark):
         assert [got[i][0].split("\n")[0] for i in range(10)] == [f"Tel 040 {i} {i}{i}" for i in range(10)]
     few = ld.drop_recurring(docs.where("doc_id < 9"))
     assert {r.lines_dropped for r in few.collect()} == {0}
+
+
+def test_many_dropped_lines_and_dotted_names(spark):
+    """A long text that loses every second line keeps the others in order."""
+    from clusterlens.llm import line_dedup as ld
+    long = "\n".join(line for i in range(20_000) for line in ("shared footer line of all", f"own{'abcdefghij'[i % 10] * (i // 10 + 1)}"[:40]))
+    rows = [(i, f"shared footer line of all\nword{'abcdefghijklmnop'[i]}", 1) for i in range(12)] + [(99, long, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    out = ld.drop_recurring(docs)
+    assert out.columns == ["doc_id", "text", "a.b", "lines_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert "shared footer" not in got[99].text and got[99].lines_dropped >= 20_000
+    assert got[3].text == "wordd"
+    left = got[99].text.split("\n")
+    assert left == [x for x in long.split("\n") if x in set(left)]
