@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.llm.common import free_name
 from clusterlens.session import ship_package
 
 BUCKETS = 1 << 15
@@ -219,7 +220,7 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float, text: str
     learn from) all rows stay whose text has a letter. An empty table gives no rows."""
     if model is None:
         return docs.where(F.col(text).rlike("\\p{L}"))
-    own = "_language_" + "_".join(docs.columns)[:40]
+    own = free_name(docs, "_language")
     return (docs.withColumn(own, prediction(model, text))
             .where((F.col(own)["lang_pred"] != UNKNOWN) & (F.col(own)["score"] >= min_score)).drop(own))
 

@@ -33,8 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm.common import stage
-from clusterlens.llm.components import components
+from clusterlens.llm.common import free_name, stage
+from clusterlens.llm.components import components, with_least
 from clusterlens.llm.shingles import shingle_set, signature, signature_seeds, similarity
 from clusterlens.session import ship_package
 
@@ -144,7 +144,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, text: a text for each of the wanted nodes."""
-    owner = nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("least").alias("owner"))
+    # written, so that the size is known when the join is planned: a few owners needn't move all texts
+    owner = stage(nodes.join(wanted.distinct(), "node", "left_semi")
+                  .select("node", F.col("least").alias("owner")), "owners")
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:  # of rows that share a doc_id, those whose set the node is
@@ -269,8 +271,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
     whole = (nodes.select("node", "least").join(labels, "node", "left")
              .select("node", "least", F.coalesce("component", "node").alias("component")))
-    ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = whole.join(ids, "component").select("node", "component_id")
+    by_node = (with_least(whole, "component", "least", nodes.count())
+               .select("node", F.col("m").alias("component_id")))
     return (found.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
             .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id",
@@ -291,7 +293,7 @@ def keep_one(docs: DataFrame, words: int = 5, doc_id: str = "doc_id") -> DataFra
     ``docs`` must be a written table: its rows are numbered by their place in it
     when components are found, and once more when they are picked.
     """
-    own = "_row_" + "_".join(docs.columns)[:40]
+    own = free_name(docs, "_row")
     placed = docs.withColumn(own, F.monotonically_increasing_id())
     found = near_duplicates(placed, words, doc_id=own)
     ids = placed.select(F.col(own).alias("doc_id"), F.col(doc_id).cast("long").alias("id"))

@@ -155,3 +155,21 @@ def test_one_row_stays_of_near_copies_that_repeat_or_lack_ids(spark):
     assert got.columns == docs.columns
     assert sorted(r["component_id"] for r in got.collect()) in ([1, 5, 6, 7], [2, 5, 6, 7])
     assert nd.keep_one(docs.limit(0)).count() == 0
+
+
+def test_hot_key_is_not_shuffled(spark):
+    """A third of all rows on one key: its rows meet their least by a broadcast, the others by a join."""
+    from clusterlens.llm.components import with_least
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, -1, id) AS u", "id AS v", "id AS extra")
+    out = with_least(rows, "u", "v", 9000)
+    assert sorted(map(tuple, out.collect())) == sorted((-1, i, i, 0) if i % 3 == 0 else (i, i, i, i) for i in range(9000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert with_least(rows.limit(0), "u", "v", 0).count() == 0
+
+
+def test_hub_of_links(spark):
+    from clusterlens.llm.components import components
+    links = spark.range(5000).selectExpr("5000L AS a", "id AS b")
+    got = components(links)
+    assert got.where("component = 0").count() == got.count() == 5000
