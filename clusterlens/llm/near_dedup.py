@@ -161,10 +161,12 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between members(band, key, node, component, blocks) of different components.
+    """Links (a, b) between members(band, key, node, component, main, apart, inside) of different components.
 
-    A bucket's members are dealt into blocks by hash, and each pair of blocks
-    is one group. Groups are first compared by signatures alone; only members
+    ``main`` is the component with most members of the bucket, ``inside`` their
+    number, ``apart`` that of the others. Members of the main component need no
+    comparison with each other: both sorts are dealt into blocks by hash, and
+    each block of the others makes one group with every block of either sort. Groups are first compared by signatures alone; only members
     with a candidate that no batch prunes come back with their full shingle
     sets. A pair that shares an earlier band is left to that band, and once a
     link joins two components, their other pairs in the group are passed over,
@@ -214,9 +216,11 @@ def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                     component[component == component[other]] = component[k]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    paired = (members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-              .withColumn("other", F.explode(blocks))
+    stays, mark = F.col("component") == F.col("main"), F.xxhash64("node")
+    first, second = F.ceil(F.col("apart") / BLOCK), F.ceil(F.col("inside") / BLOCK)
+    block = F.when(stays, first + F.pmod(mark, second)).otherwise(F.pmod(mark, first))
+    others = F.sequence(F.lit(0).cast("long"), F.when(stays, first).otherwise(first + second) - 1)
+    paired = (members.select("band", "key", "node", "component", block.alias("block"), F.explode(others).alias("other"))
               .join(nodes.select("node", "sig"), "node")
               .select("band", "key", F.least("block", "other").alias("i"),
                       F.greatest("block", "other").alias("j"), "block", "node", "component", "sig"))
@@ -259,9 +263,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
 
     rest = (rows.join(labels, "node", "left")
             .select("band", "key", "node", F.coalesce("component", "node").alias("component")))
-    split = (rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                     F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-             .where("lo < hi").select("key", "blocks"))
+    split = (rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+             .select("key", F.col("most.component").alias("main"), F.col("most.n").alias("inside"),
+                     (F.col("n") - F.col("most.n")).alias("apart")).where("apart > 0"))
     members = stage(rest.join(split, "key"), "members")
     more = stage(_across(members, nodes, docs, words, percent), "more-links")
     if not more.isEmpty():

@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from clusterlens.llm import near_dedup as nd
 from clusterlens.llm.common import stage
@@ -89,7 +91,8 @@ def test_unlike_members_of_a_bucket_send_no_full_set(spark, monkeypatch):
     texts[9] = texts[8] + " " + texts[8]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = stage(nd.features(docs, 2).selectExpr("node", "sig", "doc_id AS least"), "nodes")
-    members = nodes.selectExpr("0 AS band", "7L AS key", "node", "node AS component", f"{-(-n // nd.BLOCK)}L AS blocks")
+    members = nodes.selectExpr("0 AS band", "7L AS key", "node", "node AS component", "node AS main", "1L AS inside",
+                               f"{n - 1}L AS apart").withColumn("main", F.first("node").over(Window.partitionBy(F.lit(1))))
     fetched = nd._texts
 
     def counted(wanted, *rest):
