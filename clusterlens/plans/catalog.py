@@ -165,7 +165,7 @@ def q_table_snapshots(spark, sf):
 
 def q_ingest_batches(spark, sf):
     """Two batches of log lines, the second one replayed, as the merged series."""
-    lines, out = fx.lines(spark, sf), new_path(spark, "ingest")
+    lines, out = compute(fx.lines(spark, sf), "lines"), new_path(spark, "ingest")
     early = F.length("value") % 2 == 0
     for i, part in enumerate((lines.where(early), lines.where(~early), lines.where(~early))):
         ingest.write_batch(part, min(i, 1), out)
@@ -196,7 +196,7 @@ def q_ingest_unique(spark, sf):
 
 def q_ingest_stream(spark, sf):
     """Log files that arrive in three lots, streamed with one checkpoint, compacted in between."""
-    lines = fx.lines(spark, sf).withColumn("lot", F.length("value") % 3)
+    lines = compute(fx.lines(spark, sf).withColumn("lot", F.length("value") % 3), "lines")
     base = new_path(spark, "stream")
     for lot in range(3):
         lines.where(F.col("lot") == lot).select("value").write.text(f"{base}/logs/lot{lot}")

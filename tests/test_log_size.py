@@ -1,0 +1,30 @@
+"""Work and memory of logs that are many times the size of the table they come from."""
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from clusterlens.functions.tokens import _WS, has_empty_segment, strip_ws
+from clusterlens.operators import parse as P
+from clusterlens.operators.parse_arrow import batch_parser
+from clusterlens.plans import catalog
+from clusterlens.plans import fixtures as fx
+from clusterlens.sources.tables import compute
+from clusterlens.templates import TEMPLATES
+
+SF = "/root/testdata/sf0.001"
+TPL = TEMPLATES["JOB_FINISH"]
+
+
+def test_stream_and_batches_render_each_line_once(spark, monkeypatch):
+    seen, make = spark.sparkContext.accumulator(0), fx.lines
+
+    def one(value):
+        seen.add(1)
+        return value
+
+    counted = F.udf(one, "string").asNondeterministic()
+    monkeypatch.setattr(fx, "lines", lambda *a: make(*a).select(counted("value").alias("value")))
+    n = fx.table(spark, SF, "events").count()
+    for k, query in enumerate((catalog.q_ingest_stream, catalog.q_ingest_batches), 1):
+        assert query(spark, SF).count() > 0
+        assert seen.value == k * n
