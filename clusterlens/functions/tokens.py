@@ -15,8 +15,16 @@ TOKEN_PATTERN = r'((?:[^ "]++|"[^"]*+")++)'
 _WS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+# The same characters as a list.
+_WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c) -> Column:
-    return F.regexp_replace(as_col(c), f"^{_WS}+|{_WS}+$", "")
+    """Without white space at the ends. The regular expression, which tries every character of
+    a line, is left to text that is no valid UTF-8, as trimming by characters may cut into that."""
+    c = as_col(c)
+    return (F.when(F.is_valid_utf8(c), F.btrim(c, F.lit(_WS_CHARS)))
+            .otherwise(F.regexp_replace(c, f"^{_WS}+|{_WS}+$", "")))
 
 
 def strip_left(c) -> Column:
@@ -49,9 +57,11 @@ def quoted_tokens(c) -> Column:
 
 def has_empty_segment(line, tokens) -> Column:
     """True when splitting ``line`` on spaces outside quotes would yield an
-    empty field: the fields joined by single spaces no longer rebuild it."""
-    return (F.size(as_col(tokens)) == 0) | (
-        F.length(as_col(line)) != F.length(F.array_join(as_col(tokens), " ")))
+    empty field: the fields joined by single spaces no longer rebuild it. That is
+    compared only where a space lies beside another one or at an end, and for invalid UTF-8."""
+    line, tokens = as_col(line), as_col(tokens)
+    doubtful = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ") | ~F.is_valid_utf8(line)
+    return (F.size(tokens) == 0) | (doubtful & (F.length(line) != F.length(F.array_join(tokens, " "))))
 
 
 def unquote(t) -> Column:

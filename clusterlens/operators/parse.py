@@ -12,7 +12,7 @@ scales with the number of input splits.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +64,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it. Bodies of
+    lambdas run without code generation, where equal parts are else computed again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fold(tokens: Column, tpl: Template) -> Column:
     """Walk the groups in log order, carrying the running shift.
 
@@ -82,13 +88,17 @@ def _fold(tokens: Column, tpl: Template) -> Column:
 
     def step(acc, g):
         p = g["i"] + acc["shift"]
-        c = unquote(F.get(tokens, p)).try_cast("bigint")
-        # Bounded by the field count so that w * n never overflows.
-        n = F.least(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)), n_tok.cast("bigint")).cast("int")
-        ok = acc["ok"] & c.isNotNull() & (p + n * g["w"] < n_tok)
-        return F.struct((acc["shift"] + (n - 1) * g["w"]).alias("shift"), ok.alias("ok"),
-                        F.array_append(acc["shifts"], acc["shift"]).alias("shifts"),
-                        F.array_append(acc["cnts"], n).alias("cnts"))
+
+        def counted(c):
+            # Bounded by the field count so that w * n never overflows.
+            n = F.least(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)), n_tok.cast("bigint")).cast("int")
+            return _let(n, lambda n: F.struct(
+                (acc["shift"] + (n - 1) * g["w"]).alias("shift"),
+                (acc["ok"] & c.isNotNull() & (p + n * g["w"] < n_tok)).alias("ok"),
+                F.array_append(acc["shifts"], acc["shift"]).alias("shifts"),
+                F.array_append(acc["cnts"], n).alias("cnts")))
+
+        return _let(_let(F.get(tokens, p), unquote).try_cast("bigint"), counted)
 
     return F.aggregate(spec, init, step)
 

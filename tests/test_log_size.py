@@ -15,6 +15,17 @@ SF = "/root/testdata/sf0.001"
 TPL = TEMPLATES["JOB_FINISH"]
 
 
+def _events(spark, tmp_path, n):
+    """A small table in one file: with ``n`` rows, some of them alike, and null values."""
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") % 9 != 0, F.col("id") % 5).alias("user_id"),
+        F.when(F.col("id") % 4 != 1, F.lit("view")).alias("event_type"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), (F.col("id") % 300).cast("double").alias("value"),
+        F.lit('{"k": 7}').alias("props"))
+    rows.union(rows.where("event_id % 10 = 0")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
 def test_stream_and_batches_render_each_line_once(spark, monkeypatch):
     seen, make = spark.sparkContext.accumulator(0), fx.lines
 
@@ -28,3 +39,24 @@ def test_stream_and_batches_render_each_line_once(spark, monkeypatch):
     for k, query in enumerate((catalog.q_ingest_stream, catalog.q_ingest_batches), 1):
         assert query(spark, SF).count() > 0
         assert seen.value == k * n
+
+
+def test_a_group_count_is_read_once(spark):
+    plan = spark.createDataFrame([(["1"],)], "t array<string>").select(P._fold(F.col("t"), TPL).alias("f"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert text.count("startswith(") == 1
+
+
+def test_strip_and_empty_fields_as_by_plain_rules(spark):
+    ends = ["", " ", "\t", "\r\n", "\x1c", "\x85", " 　", "  ", "​"]
+    lines = [f"{a}{b}{c}" for a in ends for b in ("", "a", "a  b", '"x  y" z', "é ü", " ") for c in ends]
+    df = compute(spark.createDataFrame([(s,) for s in [*lines, None]], "l string"), "lines")
+    bad = spark.sql("SELECT cast(unhex(h) AS string) AS l FROM VALUES ('6180'), ('80612080'), ('61E28020') t(h)")
+    df = df.union(bad)
+    plain = F.regexp_replace("l", f"^{_WS}+|{_WS}+$", "")
+    assert df.where(~strip_ws("l").eqNullSafe(plain)).select(F.hex("l"), F.hex(strip_ws("l")), F.hex(plain)).collect() == []
+    tokens = F.split("l", " ")
+    kept = F.filter(tokens, lambda t: t != "")
+    empty = (F.size(kept) == 0) | F.exists(tokens, lambda t: t == "")
+    plain_lines = df.where("is_valid_utf8(l) AND NOT contains(l, '\"')")
+    assert plain_lines.where(has_empty_segment(F.col("l"), kept) != empty).select(F.hex("l")).collect() == []
