@@ -174,8 +174,8 @@ def q_ingest_batches(spark, sf):
 
 def q_ingest_falling(spark, sf):
     """Batches that come latest events first: each one moves the first event back."""
-    jobs, out = _jobs(spark, sf), new_path(spark, "ingest")
-    low, high = jobs.agg(F.min("event_time"), F.max("event_time")).first()
+    jobs, out = fx.log_jobs(spark, sf), new_path(spark, "ingest")
+    low, high = _jobs(spark, sf).agg(F.min("event_time"), F.max("event_time")).first()
     third = F.floor((F.col("event_time") - low) * 3 / F.lit(high - low + 1)) if low is not None else F.lit(0)
     for i, part in enumerate((2, 1, 0)):
         ingest.write_batch(fx.render_lines(jobs.where(third == part)), i, out)
@@ -184,7 +184,7 @@ def q_ingest_falling(spark, sf):
 
 def q_ingest_unique(spark, sf):
     """Job instances repeated within a load and across loads: what stays, and what is rejected and why."""
-    jobs, out = _jobs(spark, sf), new_path(spark, "ingest")
+    jobs, out = fx.log_jobs(spark, sf), new_path(spark, "ingest")
     some = jobs.where("job_id % 3 <> 0")
     again = jobs.withColumn("num_processors", F.col("num_processors") + 1)
     ingest.write_batch(fx.render_lines(some.unionAll(some.where("job_id % 7 = 0"))), 0, out)
@@ -227,7 +227,7 @@ def q_log_groups(spark, sf):
 
 
 def q_log_resize(spark, sf):
-    parsed = P.parse_log(fx.resize_lines(fx.jobs(spark, sf)), "JOB_RESIZE")
+    parsed = P.parse_log(fx.resize_lines(fx.log_jobs(spark, sf)), "JOB_RESIZE")
     return P.parsed_rows(parsed).select(*[
         F.array_join(f.name, "|").alias(f.name) if f.dataType.typeName() == "array" else f.name
         for f in parsed.schema.fields if f.name not in ("status", "line", "event_type", "resize_type")])
@@ -235,7 +235,7 @@ def q_log_resize(spark, sf):
 
 def q_log_status_mixed(spark, sf):
     """Finish and resize records and a reservation record in one log, by status."""
-    jobs = fx.jobs(spark, sf)
+    jobs = fx.log_jobs(spark, sf)
     reserved = jobs.where("job_id % 100 = 1").select(F.lit('"EVENT_ADRSV_FINISH" 1 2').alias("value"))
     mixed = fx.render_lines(jobs).unionAll(fx.resize_lines(jobs)).unionAll(reserved)
     return P.parse_audit(P.parse_log(mixed, fields=[], keep_line=False))

@@ -26,6 +26,15 @@ def _events(spark, tmp_path, n):
     return str(tmp_path)
 
 
+def test_rows_are_dealt_before_they_become_lines(spark, tmp_path, monkeypatch):
+    sf = _events(spark, tmp_path, 100)
+    monkeypatch.setattr(fx, "LOG_ROWS", 20)
+    lines = fx.lines(spark, sf)
+    assert lines.rdd.getNumPartitions() == 6  # 110 rows
+    plain = fx.render_lines(fx.jobs(spark, sf))
+    assert lines.count() == 110 and lines.exceptAll(plain).count() == 0 == plain.exceptAll(lines).count()
+
+
 def test_stream_and_batches_render_each_line_once(spark, monkeypatch):
     seen, make = spark.sparkContext.accumulator(0), fx.lines
 
