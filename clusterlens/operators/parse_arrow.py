@@ -31,7 +31,7 @@ _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 #: Largest digits of a 64-bit integer without and with a minus.
 _INT_MAX, _INT_MIN = str((1 << 63) - 1), str(1 << 63)
 #: Bytes of text parsed at once, however many lines a batch has.
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
 
 
 def arrow_type(kind: str) -> pa.DataType:

@@ -69,3 +69,16 @@ def test_strip_and_empty_fields_as_by_plain_rules(spark):
     empty = (F.size(kept) == 0) | F.exists(tokens, lambda t: t == "")
     plain_lines = df.where("is_valid_utf8(l) AND NOT contains(l, '\"')")
     assert plain_lines.where(has_empty_segment(F.col("l"), kept) != empty).select(F.hex("l")).collect() == []
+
+
+def _slices(spark, fields):
+    lines = [r.value for r in fx.lines(spark, SF).collect()]
+    lines = lines * (-(-(5 << 20) // sum(map(len, lines))))
+    batch = pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    out = list(batch_parser(TPL, "JOB_FINISH", list(TEMPLATES), True, "value", fields)(iter([batch])))
+    return len(lines), out
+
+
+def test_a_batch_is_parsed_in_small_slices(spark):
+    n, out = _slices(spark, ["job_id", "queue"])
+    assert len(out) >= 3 and sum(b.num_rows for b in out) == n
