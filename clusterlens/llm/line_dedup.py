@@ -20,6 +20,9 @@ distinct masked lines with their numbers of documents, and only leaves with
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +34,15 @@ VARIABLE = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens, separated by blanks, with tokens that hold a digit as variables."""
+    """The line's tokens, separated by blanks, with tokens that hold a digit as variables.
+
+    One look at a line tells whether there is anything to replace; most have nothing.
+    """
     uneven = F.contains(line, F.lit("  ")) | line.rlike(r"[\x09-\x0D]")
     even = F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
-    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE))
-                  .otherwise(even))
+    other = F.when(line.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(even)
+    plain = ~(F.contains(line, F.lit("  ")) | line.rlike(r"[\x09\x0A\x0B\x0C\x0D0123456789]"))  # listed: faster than ranges
+    return F.trim(F.when(plain, line).otherwise(other))
 
 
 def _evened(line: Column) -> Column:
@@ -46,13 +53,26 @@ def _digest(c: Column) -> Column:
     return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
 
 
+def _unspaced(text: Column) -> Column:
+    """The text without white space; blanks and newlines go without a look at every character."""
+    rest = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    others = [c for c in SPACES if c not in " \n"]
+    return F.when(reduce(or_, [F.contains(rest, F.lit(c)) for c in others]),
+                  F.translate(rest, "".join(others), "")).otherwise(rest)
+
+
+def _times(part: str, c: Column) -> Column:
+    """How often the text holds ``part``, by bytes."""
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def _lines(rows: DataFrame, text: str, depth: int) -> DataFrame:
-    """row, doc, line (from 0), raw, mask, leaf: the lines of rows(row, doc, own) that aren't white."""
+    """row, doc, line (from 0), raw, mask, blanks, leaf: the lines of rows(row, doc, own) that aren't white."""
     lines = rows.select("row", "doc", F.posexplode(F.split(text_or_empty(F.col("own")[text]), "\n")).alias("line", "raw"))
     lines = lines.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
-    leaf = F.xxhash64(blanks, F.substring_index("mask", " ", depth))
-    return lines.select("row", "doc", "line", "raw", masked(F.col("raw")).alias("mask")).withColumn("leaf", leaf)
+    made = lines.select("row", "doc", "line", "raw", masked(F.col("raw")).alias("mask"))
+    return (made.withColumn("blanks", _times(" ", F.col("mask")))
+            .withColumn("leaf", F.xxhash64("blanks", F.substring_index("mask", " ", depth))))
 
 
 def _recurring(rows: DataFrame, seen: DataFrame, text: str, min_docs: int, depth: int) -> DataFrame:
@@ -86,11 +106,9 @@ def _staged(docs: DataFrame, text: str, depth: int, by_text: bool) -> tuple[Data
     and a narrow row (row, doc, line, shape, leaf, exact) for each line that isn't white;
     ``exact`` is the digest of a line of which more than half is digits, else null."""
     row = F.monotonically_increasing_id()
-    doc = F.xxhash64(F.translate(text_or_empty(F.col(quoted(text))), SPACES, "")) if by_text else row
+    doc = F.xxhash64(_unspaced(text_or_empty(F.col(quoted(text))))) if by_text else row
     rows = stage(docs.select(row.alias("row"), doc.alias("doc"), F.struct(*map(quoted, docs.columns)).alias("own")), "rows")
-    blanks = F.char_length("mask") - F.char_length(F.replace("mask", F.lit(" "), F.lit("")))
-    variables = (F.char_length("mask") - F.char_length(F.replace("mask", F.lit(VARIABLE), F.lit("")))) / len(VARIABLE)
-    exact = F.when(2 * variables > blanks + 1, _digest(_evened(F.col("raw"))))
+    exact = F.when(2 * _times(VARIABLE, F.col("mask")) > F.col("blanks") + 1, _digest(_evened(F.col("raw"))))
     seen = _lines(rows, text, depth).select(
         "row", "doc", "line", _digest(F.col("mask")).alias("shape"), "leaf", exact.alias("exact"))
     return rows, stage(seen, "lines")

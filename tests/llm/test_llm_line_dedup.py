@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from clusterlens.llm import line_dedup as ld
 
@@ -119,3 +120,23 @@ def test_many_dropped_lines_and_dotted_names(spark):
     assert got[3].text == "wordd"
     left = got[99].text.split("\n")
     assert left == [x for x in long.split("\n") if x in set(left)]
+
+
+def test_common_lines_are_looked_at_once_and_get_the_same_masks(spark):
+    rnd = random.Random(5)
+    parts = ["a", "é", "b7", "9", "<*>", " ", "  ", "\t", "\x0b", "\x0c", "\r", "\n", "x\x1cy", " "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(9))) for _ in range(600)] + ["", " ", None]
+    t = F.col("t")
+    even = F.regexp_replace(t, r"[\x20\x09-\x0D]+", " ")
+    plain = F.trim(F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", ld.VARIABLE))
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("u", F.translate("t", ld.SPACES, ""))
+    assert df.where(~ld.masked(t).eqNullSafe(plain)).collect() == []
+    assert df.where(~ld._unspaced(t).eqNullSafe(F.col("u"))).collect() == []
+    blanks = F.char_length("t") - F.char_length(F.replace("t", F.lit(" "), F.lit("")))
+    assert df.where(~ld._times(" ", t).eqNullSafe(blanks)).collect() == []
+
+    text = df.select("u", ld.masked(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < text.find("0123456789])") < text.find("[0-9]")  # the other patterns only behind this one
+    rows = spark.createDataFrame([(1, 1, ("one line",))], "row long, doc long, own struct<text: string>")
+    text = ld._lines(rows, "text", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("replace(mask") == 1 and "char_length" not in text and "length(mask" in text
