@@ -31,7 +31,7 @@ _INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 #: Largest digits of a 64-bit integer without and with a minus.
 _INT_MAX, _INT_MIN = str((1 << 63) - 1), str(1 << 63)
 #: Bytes of text parsed at once, however many lines a batch has.
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def arrow_type(kind: str) -> pa.DataType:
@@ -231,4 +231,5 @@ def batch_parser(tpl: Template, record_type: str, known: list[str], keep_line: b
                     parsed = pa.RecordBatch.from_arrays([*parsed.columns, *more], [*parsed.schema.names, *carry])
                 yield parsed
                 at = end
+            pa.default_memory_pool().release_unused()  # else the worker, which lives on, keeps it
     return run

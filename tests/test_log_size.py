@@ -88,3 +88,9 @@ def test_arrays_of_a_batch_are_made_in_small_slices(spark):
     n, out = _slices(spark, ["job_id", *[TPL.columns[t] for t in sorted(TPL.array_columns())]])
     assert len(out) >= 3 and sum(b.num_rows for b in out) == n
     assert max(b.nbytes for b in out) < 4 << 20
+
+
+def test_slices_are_of_one_megabyte(spark):
+    n, out = _slices(spark, ["job_id", *[TPL.columns[t] for t in sorted(TPL.array_columns())]])
+    assert len(out) >= 5 and sum(b.num_rows for b in out) == n
+    assert max(b.nbytes for b in out) < 2 << 20
