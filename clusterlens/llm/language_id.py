@@ -16,7 +16,7 @@ grows with the number of different languages.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,7 +94,22 @@ def _proximal(z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, alpha: float = 0.5,
+class Rows(Sequence):
+    """(positions, values) of the given texts with the intercept behind, made from the counts when
+    asked for: kept for all texts they take twice the memory of the counts."""
+
+    def __init__(self, at: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
+        self.at, self.counts, self.idf = at, counts, idf
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        a = self.at[k]
+        return np.append(a, BUCKETS), np.append(_values(a, self.counts[k], self.idf), 1.0)
+
+
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, alpha: float = 0.5,
         beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = EPOCHS) -> np.ndarray:
     """FTRL-proximal, one pass over (positions, values) rows for each epoch."""
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
@@ -167,12 +182,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["mark", "lang"], kind="stable")
-        rows = [(np.append(a, BUCKETS), np.append(_values(a, c, idf), 1.0))
-                for a, c in zip(pdf["at"], pdf["counts"], strict=True)]
         labels = np.searchsorted(languages, pdf["lang"].to_numpy(str))
-        checked = np.arange(len(rows)) % 5 == 4
-        w = fit([r for r, x in zip(rows, checked, strict=True) if not x], labels[~checked], len(languages))
-        scores = np.array([v @ w[at] for (at, v), x in zip(rows, checked, strict=True) if x])
+        checked = np.arange(len(pdf)) % 5 == 4
+        fitted, others = (Rows(pdf["at"][x].tolist(), pdf["counts"][x].tolist(), idf) for x in (~checked, checked))
+        w = fit(fitted, labels[~checked], len(languages))
+        scores = np.array([v @ w[at] for at, v in others])
         t = temperature(scores, labels[checked])
         used = np.flatnonzero(np.abs(w).sum(axis=1))
         return pd.DataFrame({"at": np.append(used, -1), "w": [*w[used], np.array([t])]})

@@ -30,7 +30,7 @@ from clusterlens.session import ship_package
 MAX_LENGTH = 2048
 END_ID = 1
 #: Bytes of text split into words at once, and words kept by a worker.
-SEGMENT, HELD = 1 << 22, 600_000
+SEGMENT, HELD = 1 << 20, 600_000
 #: Fixed value: the pattern by which the default tokenizer splits a text.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that need no normalising but lower case: Latin letters, then punctuation.
@@ -206,6 +206,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, t
                     out.append(pa.ListArray.from_arrays(
                         pa.array(np.append(0, np.cumsum(made[2])), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, columns + ["ids"] * with_ids)
+            pa.default_memory_pool().release_unused()  # else the worker, which lives on, keeps it
 
     schema = ", ".join(f"{c} long" for c in columns) + ", ids array<int>" * with_ids
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

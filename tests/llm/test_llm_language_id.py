@@ -177,3 +177,17 @@ def test_a_text_with_many_copies_does_not_fill_the_sample(spark):
     model = li.train(docs, per_lang=60)
     asked = spark.createDataFrame([("the weather was fine in town",), ("das wetter ist gut",)], "text string")
     assert [r.p.lang_pred for r in asked.select(li.prediction(model).alias("p")).collect()] == ["en", "de"]
+
+
+def test_fitted_rows_are_made_when_asked_for():
+    idf = np.linspace(1, 2, li.BUCKETS)
+    grams = [li.ngrams(t) for t in ("the cat sat", "die Katze", "the dog", "der Hund") * 3]
+    at, counts = ([x[k].astype(np.int32) for x in grams] for k in (0, 1))
+    rows = li.Rows(at, counts, idf)
+    plain = [(np.append(a, li.BUCKETS), np.append(li._values(a, c, idf), 1.0)) for a, c in zip(at, counts, strict=True)]
+    assert len(rows) == len(plain)
+    for (a, v), (b, w) in zip(rows, plain, strict=True):
+        assert a.tolist() == b.tolist() and v.tolist() == w.tolist()
+    assert rows[0] is not rows[0]  # nothing is kept but the counts
+    labels = np.array([0, 1] * 6)
+    assert (li.fit(rows, labels, 2) == li.fit(plain, labels, 2)).all()

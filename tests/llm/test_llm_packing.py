@@ -108,3 +108,10 @@ def test_other_tokenizer_files_are_applied_to_whole_texts(spark, tmp_path):
         for i, t in rows:
             ids = tokenizer.encode(t, add_special_tokens=False).ids + [1]
             assert [x for r in sorted(got[i], key=lambda r: r.start) for x in r.ids] == ids
+
+
+def test_texts_are_split_a_megabyte_at_a_time():
+    import pyarrow as pa
+    batch = pa.array(["word " * 2000] * 500)  # 5 MB
+    sizes = [len(part) for _, part in pk._segments(batch)]
+    assert sum(sizes) == 500 and len(sizes) >= 5
